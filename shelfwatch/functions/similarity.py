@@ -19,6 +19,10 @@ def sequence_ratio():
 
     Built inside a function so that it ships to the workers by value. Pairs are
     visited in order of the right text, because the matcher indexes that side.
+
+    Marked non-deterministic on purpose: a filter on a deterministic score of
+    two grouping columns is pushed below the aggregates and into the join, and
+    the function would then run once per join row and not once per pair.
     """
 
     @F.pandas_udf("double")
@@ -40,7 +44,7 @@ def sequence_ratio():
             out[i] = matcher.ratio()
         return pd.Series(out).where(~np.isnan(out), None)
 
-    return score
+    return score.asNondeterministic()
 
 
 def min_length(length: Column, threshold: float) -> Column:
@@ -93,10 +97,15 @@ def grams_for_partners(text: Column, threshold: float) -> Column:
 
 
 def char_bag(text: Column) -> Column:
-    """Characters labelled by occurrence, so set intersection counts multisets."""
+    """Characters labelled by occurrence, so set intersection counts multisets.
+
+    The sorted characters are bound once by a one-element outer transform; named
+    directly inside the inner lambda they would be sorted again per character.
+    """
     ordered = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    return F.transform(ordered, lambda c, i: F.concat(
-        c, (i.cast("long") - F.array_position(ordered, c)).cast("string")))
+    return F.get(F.transform(F.array(ordered), lambda chars: F.transform(
+        chars, lambda c, i: F.concat(
+            c, (i.cast("long") - F.array_position(chars, c)).cast("string")))), F.lit(0))
 
 
 def bag_bound(left: Column, right: Column) -> Column:

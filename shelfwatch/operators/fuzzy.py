@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions import similarity as S
 from shelfwatch.functions.text import title_key
+from shelfwatch.operators.keyed import spread_for_compute
 
 
 class AbsoluteBand:
@@ -74,8 +75,9 @@ def _product_values(products: DataFrame) -> DataFrame:
 
 def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: float) -> DataFrame:
     """Distinct (lt, rt) pairs that can reach the threshold inside the band."""
-    lefts = (left.select("retailer", "lt", _near_buckets(band, F.col("lp")).alias("bucket"))
-             .distinct()
+    lefts = (spread_for_compute(
+        left.select("retailer", "lt", _near_buckets(band, F.col("lp")).alias("bucket")).distinct(),
+        "retailer", "lt", "bucket")
              .withColumn("piece", F.explode(S.grams_for_partners(F.col("lt"), threshold))))
     rights = (right.select("retailer", "rt", band.bucket(F.col("rp")).alias("bucket"))
               .distinct()
@@ -88,13 +90,20 @@ def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: fl
             .filter(rl.between(S.min_length(ll, threshold), S.max_length(ll, threshold)))
             .groupBy("retailer", "bucket", "lt", "rt").agg(F.sum("copies").alias("shared"))
             .filter(F.col("shared") >= total_pieces - S.pair_edits(ll, rl, threshold))
-            .select("lt", "rt").filter(F.col("lt") != F.col("rt")).distinct())
+            .filter(F.col("lt") != F.col("rt"))
+            .groupBy("lt", "rt").agg(F.max("shared").alias("shared")))
 
 
 def scored_title_pairs(pairs: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
-    """Score distinct title pairs; keeps those at the threshold."""
-    bounded = pairs.filter(S.bag_bound(F.col("lt"), F.col("rt")) >= threshold - 1e-9)
-    scored = bounded.withColumn("ratio", S.sequence_ratio()(F.col("lt"), F.col("rt")))
+    """Score distinct title pairs; keeps those at the threshold.
+
+    The bound is tied to the aggregate ``shared``: on the titles alone the
+    optimizer would push it below the aggregates and into the join condition,
+    where it would run once per shared piece instead of once per pair.
+    """
+    bounded = pairs.filter(F.when(
+        F.col("shared") > 0, S.bag_bound(F.col("lt"), F.col("rt")) >= threshold - 1e-9))
+    scored = spread_for_compute(bounded.select("lt", "rt"), "lt", "rt").withColumn("ratio", S.sequence_ratio()(F.col("lt"), F.col("rt")))
     keep = F.col("ratio") >= threshold if inclusive else F.col("ratio") > threshold
     return scored.filter(keep)
 

@@ -36,3 +36,14 @@ def first_of(*pairs) -> Column:
     for test, value in pairs:
         out = F.when(test, value) if out is None else out.when(test, value)
     return out
+
+
+def spread_for_compute(df: DataFrame, *keys: str) -> DataFrame:
+    """Full shuffle width ahead of a stage whose cost is computing, not bytes.
+
+    Adaptive execution merges partitions by size; exploding titles into pieces
+    or scoring pairs multiplies the work per byte, so an explicit number of
+    partitions keeps every core busy. Rows must already be distinct on ``keys``.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
