@@ -101,7 +101,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_bindings(sql)
+            ORACLE[name] = sql
         return fn
 
     return register
