@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from catalog_queries import bindings, changing, linking, reviewing  # noqa: F401
+from catalog_queries import bindings, changing, learned, linking, reviewing  # noqa: F401
