@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
-from catalog_queries import bindings, changing, learned, linking, reviewing  # noqa: F401
+from catalog_queries import (  # noqa: F401
+    bindings, changing, checking, learned, linking, reviewing, showing)  # noqa: F401

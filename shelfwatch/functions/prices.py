@@ -41,7 +41,7 @@ def price_from_block(text: Column, low: float | None = None, high: float | None
     is nothing but a number of two to four digits inside [20, 9999]. With
     ``low`` and ``high`` only ``$n`` lines inside that range count.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     dollar = r"\$\s*(\d+\.?\d*)"
 
     def marked_value(line):

@@ -117,7 +117,7 @@ def valid_brand(brand: Column) -> Column:
 
 
 def _split_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def parse_sizes(text: Column) -> Column:
