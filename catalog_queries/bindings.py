@@ -14,8 +14,9 @@ SELECT p_partkey,
 FROM part
 """
 
+# An order line can occur more than once; only ``seq`` tells all rows apart.
 BINDINGS["b_snapshots"] = """
-SELECT l.l_orderkey, l.l_linenumber, p.retailer, CAST(l.l_shipdate AS DATE) AS discovered_date,
+SELECT l.l_orderkey, l.l_linenumber, ((l.l_orderkey * 8 + l.l_linenumber) * 1000000 + l.l_partkey) * 10000 + l.l_suppkey AS seq, p.retailer, CAST(l.l_shipdate AS DATE) AS discovered_date,
   CASE WHEN l.l_linestatus = 'O' THEN 'monitor' ELSE 'baseline' END AS scan_type,
   CASE l.l_linenumber % 7
     WHEN 1 THEN p.url

@@ -265,24 +265,23 @@ def merge_reviews(v):
     return changes.merge_remote_reviews(v.b_products_full.select(*cols), remote)
 
 
-def sequenced(v):
-    return v.b_snapshots.withColumn(
-        "seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+# A chunk of the sequence spans a thousand orders of the binding.
+CHUNK = 8 * 1000 * 10**10
 
 
 @query("W2_price_history", """
 SELECT catalog_url, discovered_date, seq, price, lag(price) OVER w AS previous_price, price - lag(price) OVER w AS price_change
-FROM (SELECT *, l_orderkey * 8 + l_linenumber AS seq FROM b_snapshots) WINDOW w AS (PARTITION BY catalog_url ORDER BY discovered_date, seq)""")
+FROM b_snapshots WINDOW w AS (PARTITION BY catalog_url ORDER BY discovered_date, seq)""")
 def price_history(v):
-    return ordered.price_history(sequenced(v), "seq").select(
+    return ordered.price_history(v.b_snapshots, "seq", CHUNK).select(
         "catalog_url", "discovered_date", "seq", "price", "previous_price", "price_change")
 
 
 @query("W3_latest_snapshot", """
-SELECT catalog_url, discovered_date, seq, price FROM (SELECT *, l_orderkey * 8 + l_linenumber AS seq FROM b_snapshots)
+SELECT catalog_url, discovered_date, seq, price FROM b_snapshots
 QUALIFY row_number() OVER (PARTITION BY catalog_url ORDER BY discovered_date DESC, seq DESC) = 1""")
 def latest(v):
-    rows = sequenced(v).select("catalog_url", "discovered_date", "seq", "price")
+    rows = v.b_snapshots.select("catalog_url", "discovered_date", "seq", "price")
     return ordered.latest_per_url(rows, "seq")
 
 
@@ -300,17 +299,17 @@ def disappeared(v):
 
 @query("W4_run_positions", """
 SELECT batch_id, seq, row_number() OVER (PARTITION BY batch_id ORDER BY seq) - 1 AS position, count(*) OVER (PARTITION BY batch_id) AS total
-FROM (SELECT retailer AS batch_id, l_orderkey * 8 + l_linenumber AS seq FROM b_snapshots)""")
+FROM (SELECT retailer AS batch_id, seq FROM b_snapshots)""")
 def positions(v):
-    rows = sequenced(v).select(F.col("retailer").alias("batch_id"), "seq",
-                               ordered.chunk_of(F.col("seq"), 5000).alias("_chunk"))
+    rows = v.b_snapshots.select(F.col("retailer").alias("batch_id"), "seq",
+                               ordered.chunk_of(F.col("seq"), CHUNK).alias("_chunk"))
     return ordered.with_position(rows, ["batch_id"], ["_chunk"], ["_chunk", "seq"]).drop("_chunk")
 
 
 @query("W6_checkpoint_marks", """
 WITH p AS (SELECT batch_id, seq, row_number() OVER (PARTITION BY batch_id ORDER BY seq) - 1 AS position, count(*) OVER (PARTITION BY batch_id) AS total
-FROM (SELECT retailer AS batch_id, l_orderkey * 8 + l_linenumber AS seq FROM b_snapshots))
+FROM (SELECT retailer AS batch_id, seq FROM b_snapshots))
 SELECT batch_id, seq, position, total, (position % 5 = 0 OR position = total - 1) AS save FROM p""")
 def marks(v):
-    rows = sequenced(v).select(F.col("retailer").alias("batch_id"), "seq")
-    return ordered.checkpoint_marks(rows, "seq")
+    rows = v.b_snapshots.select(F.col("retailer").alias("batch_id"), "seq")
+    return ordered.checkpoint_marks(rows, "seq", width=CHUNK)

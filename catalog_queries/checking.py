@@ -23,7 +23,7 @@ def sql_errors(*pairs):
 
 # Listings whose fields are damaged in many ways; fields come from the data.
 BINDINGS["b_rough"] = """
-SELECT l_orderkey * 8 + l_linenumber AS seq, retailer, catalog_url AS url,
+SELECT seq, retailer, catalog_url AS url,
   CASE l_orderkey % 13 WHEN 0 THEN NULL WHEN 1 THEN 'N/A' WHEN 2 THEN 'Shop now' WHEN 3 THEN 'sale' WHEN 4 THEN concat('Product ', CAST(l_orderkey AS STRING)) WHEN 5 THEN 'Extracted by us' WHEN 6 THEN '' ELSE title END AS title,
   CASE l_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 WHEN 3 THEN 20000.0 ELSE price END AS price,
   CASE l_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://i.example.com/a.jpg' ELSE concat('https://i.example.com/a', CAST(l_linenumber AS STRING), '.jpg,https://i.example.com/b.jpg') END AS image_csv,
@@ -357,7 +357,9 @@ def complete(v):
 
 def two_extractions(v):
     """Two readings of each order's lines as one page's tiles."""
-    s = v.b_snapshots
+    s = (v.b_snapshots.groupBy("l_orderkey", "l_linenumber")
+         .agg(F.min(F.struct("seq", "catalog_url", "title", "price")).alias("m"))
+         .select("l_orderkey", "l_linenumber", "m.*"))
     first = s.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("position"),
                      F.col("catalog_url").alias("url"), F.col("title").alias("dom_title"),
                      F.concat(F.lit("$"), F.round("price", 2).cast("string")).alias("dom_price"))
@@ -431,13 +433,12 @@ def greedy(v):
                                                "product_code"), "seq")
 
 
-FIRST = "SELECT {cols} FROM (SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey AS page_id, catalog_url AS url FROM b_snapshots) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq) = 1"
+FIRST = "SELECT {cols} FROM (SELECT seq, l_orderkey AS page_id, catalog_url AS url FROM b_snapshots) QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq) = 1"
 BARE_PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://', '')"
 
 
 def urls(v):
-    return v.b_snapshots.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
-                                F.col("l_orderkey").alias("page_id"),
+    return v.b_snapshots.select("seq", F.col("l_orderkey").alias("page_id"),
                                 F.col("catalog_url").alias("url"))
 
 

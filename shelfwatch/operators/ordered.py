@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def chunk_of(seq: Column, width: int = 1_000_000) -> Column:
-    """Chunk number of an integer order column."""
-    return F.floor(seq / F.lit(width)).cast("long")
+    """Chunk of an integer order column, by its start; exact for long integers."""
+    return (seq - F.pmod(seq, F.lit(width))).cast("long")
 
 
 def with_previous(df: DataFrame, keys: list[str], chunk: list[str], order: list[str],
@@ -46,9 +46,9 @@ def with_position(df: DataFrame, keys: list[str], chunk: list[str], order: list[
             .withColumn("position", F.col("_before") + F.col("_rn") - 1).drop("_rn", "_before"))
 
 
-def price_history(snapshots: DataFrame, seq: str) -> DataFrame:
+def price_history(snapshots: DataFrame, seq: str, width: int = 1_000_000) -> DataFrame:
     """Price per listing and date with the previous price and the change."""
-    rows = snapshots.withColumn("_chunk", chunk_of(F.col(seq)))
+    rows = snapshots.withColumn("_chunk", chunk_of(F.col(seq), width))
     out = with_previous(rows, ["catalog_url"], ["discovered_date", "_chunk"],
                         ["discovered_date", "_chunk", seq], "price", "previous_price")
     return out.drop("_chunk").withColumn("price_change",
@@ -63,9 +63,10 @@ def latest_per_url(snapshots: DataFrame, seq: str) -> DataFrame:
             .select("catalog_url", "m.*"))
 
 
-def checkpoint_marks(batch: DataFrame, seq: str, every: int = 5) -> DataFrame:
+def checkpoint_marks(batch: DataFrame, seq: str, every: int = 5,
+                     width: int = 1_000_000) -> DataFrame:
     """Rows at which a batch would save its progress: first, every n-th, last."""
-    rows = batch.withColumn("_chunk", chunk_of(F.col(seq)))
+    rows = batch.withColumn("_chunk", chunk_of(F.col(seq), width))
     out = with_position(rows, ["batch_id"], ["_chunk"], ["_chunk", seq]).drop("_chunk")
     return out.withColumn("save", (F.col("position") % every == 0)
                           | (F.col("position") == F.col("total") - 1))
