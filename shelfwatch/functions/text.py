@@ -196,6 +196,13 @@ def description_html(description: Column) -> Column:
 
 
 def fenced_json(reply: Column) -> Column:
-    """Reply text without code fences and outer white space."""
-    return F.regexp_replace(
-        F.regexp_replace(reply, r"^\s*```(json)?\s*", ""), r"\s*```\s*$", "")
+    """Reply text; a fenced one loses its first and last line."""
+    bare = F.regexp_replace(reply, r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, r"^[^\n]*\n", ""), r"\n[^\n]*$", "")
+    return F.when(bare.startswith("```"), inner).otherwise(bare)
+
+
+def reply_json(reply: Column, kind: str) -> Column:
+    """Parsed reply if it is of the kind asked for (``object`` or ``array``), else NULL."""
+    parsed = F.try_parse_json(fenced_json(reply))
+    return F.when(F.schema_of_variant(parsed).startswith(kind.upper()), parsed)

@@ -47,3 +47,14 @@ def spread_for_compute(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions read as values and do not recompute.
+
+    A column used in many places is otherwise copied into each of them, and a
+    parsed page would be parsed once per field. A generator over a one-element
+    array is not merged with its neighbours.
+    """
+    values = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
