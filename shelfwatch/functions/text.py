@@ -56,6 +56,10 @@ SINGULAR_TAGS = {
 NOT_MODEST_WORDS = ["mini", "crop", "bikini", "revealing", "sheer"]
 MODEST_WORDS = ["modest", "maxi", "long sleeve", "high neck", "ankle length"]
 
+# The characters that count as white space around a title.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # Status spellings brought to one form.
 SALE_STATUS_FORMS = {"on sale": "on_sale", "on_sale": "on_sale",
                      "not on sale": "regular", "regular": "regular"}
@@ -99,7 +103,7 @@ def title_case(text: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """Lower case, trimmed of all white space."""
-    return F.lower(F.regexp_replace(title, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(title, F.lit(WHITE_SPACE)))
 
 
 def clean_title(title: Column, retailer: Column) -> Column:

@@ -7,9 +7,9 @@ threshold is lost, and nothing is capped.
    however many, are a single row from here on.
 2. Equal titles have ratio 1.0, the best there is, and need no scoring: one
    equi-join on the title settles them.
-3. The rest is blocked on (retailer, price bucket, piece of the title). A title
-   is cut into so many pieces that a partner above the threshold must contain
-   one of them unchanged, and the number of pieces it shares is checked too.
+3. The rest is blocked on (retailer, price bucket, piece of the title). A
+   listing's title is cut into so many pieces that a partner above the threshold
+   must contain one of them unchanged, and the number it shares is checked too.
    A popular price therefore does not pair all its titles with each other.
 4. Distinct title pairs pass the character-multiset bound and are scored once.
 """
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions import similarity as S
 from shelfwatch.functions.text import title_key
 from shelfwatch.operators.keyed import spread_for_compute
+from shelfwatch.session import staged
 
 
 class AbsoluteBand:
@@ -74,21 +75,24 @@ def _product_values(products: DataFrame) -> DataFrame:
 
 
 def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: float) -> DataFrame:
-    """Distinct (lt, rt) pairs that can reach the threshold inside the band."""
+    """Distinct (lt, rt) pairs that can reach the threshold inside the band.
+
+    The larger side, the listings, is cut into its few pieces; the products
+    list every substring a piece may equal.
+    """
     lefts = (spread_for_compute(
         left.select("retailer", "lt", _near_buckets(band, F.col("lp")).alias("bucket")).distinct(),
         "retailer", "lt", "bucket")
-             .withColumn("piece", F.explode(S.grams_for_partners(F.col("lt"), threshold))))
-    rights = (right.select("retailer", "rt", band.bucket(F.col("rp")).alias("bucket"))
-              .distinct()
-              .withColumn("piece", F.explode(S.pieces(F.col("rt"), threshold)))
-              .groupBy("retailer", "bucket", "rt", "piece")
-              .agg(F.count(F.lit(1)).alias("copies")))
+        .withColumn("piece", F.explode(S.pieces(F.col("lt"), threshold))))
+    rights = (spread_for_compute(
+        right.select("retailer", "rt", band.bucket(F.col("rp")).alias("bucket")).distinct(),
+        "retailer", "rt", "bucket")
+        .withColumn("piece", F.explode(S.grams_for_partners(F.col("rt"), threshold))))
     ll, rl = F.length("lt"), F.length("rt")
-    total_pieces = F.floor(rl / S.piece_width(rl, threshold))
+    total_pieces = F.floor(ll / S.piece_width(ll, threshold))
     return (lefts.join(rights, ["retailer", "bucket", "piece"])
             .filter(rl.between(S.min_length(ll, threshold), S.max_length(ll, threshold)))
-            .groupBy("retailer", "bucket", "lt", "rt").agg(F.sum("copies").alias("shared"))
+            .groupBy("retailer", "bucket", "lt", "rt").agg(F.count(F.lit(1)).alias("shared"))
             .filter(F.col("shared") >= total_pieces - S.pair_edits(ll, rl, threshold))
             .filter(F.col("lt") != F.col("rt"))
             .groupBy("lt", "rt").agg(F.max("shared").alias("shared")))
@@ -112,8 +116,14 @@ def best_fuzzy(listings: DataFrame, products: DataFrame, band, threshold: float)
     """Best product per distinct (retailer, lt, lp): ``url`` and ``ratio``.
 
     Ratio must exceed ``threshold``; ties go to the smallest url.
+
+    The distinct values of both sides are used several times below, and the
+    listings of a cascade come at the end of a chain of joins: they are written
+    to the shared folder once and not derived anew for each use. The files also
+    give the planner true sizes to choose the joins by.
     """
-    left, right = _listing_values(listings), _product_values(products)
+    left = staged(_listing_values(listings), "listing-titles")
+    right = staged(_product_values(products), "product-titles")
     right = right.withColumn("bucket", band.bucket(F.col("rp")))
     near = left.withColumn("bucket", _near_buckets(band, F.col("lp")))
     in_band = band.holds(F.col("lp"), F.col("rp"))

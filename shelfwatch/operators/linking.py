@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from shelfwatch.functions import urls as U
 from shelfwatch.functions.text import title_key
 from shelfwatch.operators import fuzzy
-from shelfwatch.operators.keyed import first_of, smallest_per_key, spread_nulls
+from shelfwatch.operators.keyed import (
+    first_of, smallest_per_key, spread_for_compute, spread_nulls)
 
 # Confidence of each level when linking and when classifying.
 LINK_CONFIDENCE = {"exact_url": 1.0, "normalized_url": 0.95, "product_code": 0.90,
@@ -87,9 +88,9 @@ def match_product_code(listings: DataFrame, products: DataFrame,
 
 
 def _substrings(text: Column, width: int) -> Column:
-    return F.when(F.length(text) >= width, F.array_distinct(F.transform(
+    return F.when(F.length(text) >= width, F.transform(
         F.sequence(F.lit(1), F.length(text) - F.lit(width - 1)),
-        lambda i: F.substring(text, i, F.lit(width))))).otherwise(
+        lambda i: F.substring(text, i, F.lit(width)))).otherwise(
         F.array().cast("array<string>"))
 
 
@@ -103,7 +104,7 @@ def codes_in_urls(codes: DataFrame, products: DataFrame) -> DataFrame:
     """
     codes = codes.select("retailer", "code").filter(F.col("code") != "").distinct()
     size = F.length("code")
-    url_rows = products.select("retailer", "url")
+    url_rows = spread_for_compute(products.select("retailer", "url"), "url")
 
     long_form = (F.when(size >= LONG_GRAM, F.right("code", F.lit(LONG_GRAM)))
                  .when(size >= SHORT_GRAM, F.right("code", F.lit(SHORT_GRAM))))
@@ -263,9 +264,8 @@ def _with_policy(listings: DataFrame, patterns: DataFrame | None) -> DataFrame:
 
 def _add_hit(listings: DataFrame, known: DataFrame, keys: dict[str, Column], hit: str) -> DataFrame:
     """Left join on a one-row-per-key table, adding the column ``hit``."""
-    for name, key in keys.items():
-        listings = listings.withColumn(name, key)
-    return listings.join(known, ["retailer", *keys], "left").drop(*keys)
+    keyed = listings.select("*", *[key.alias(name) for name, key in keys.items()])
+    return keyed.join(known, ["retailer", *keys], "left").drop(*keys)
 
 
 def _key_levels(listings: DataFrame, products: DataFrame) -> DataFrame:
