@@ -16,6 +16,7 @@ from shelfwatch.functions.text import title_key
 from shelfwatch.operators import fuzzy
 from shelfwatch.operators.keyed import (
     first_of, smallest_per_key, spread_for_compute, spread_nulls)
+from shelfwatch.session import staged
 
 # Confidence of each level when linking and when classifying.
 LINK_CONFIDENCE = {"exact_url": 1.0, "normalized_url": 0.95, "product_code": 0.90,
@@ -189,50 +190,82 @@ def match_first_image(listings: DataFrame, products: DataFrame) -> DataFrame:
                                                   F.lit(CLASS_CONFIDENCE["image_url"]))))
 
 
+def _image_set(images: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(images, lambda x: x.isNotNull())))
+
+
+def _shared_images(left_sets: DataFrame, right_sets: DataFrame) -> DataFrame:
+    """Pairs of image sets that share at least half of the left set, and two images.
+
+    A left set of n images that must share k of them shares one of its n-k+1
+    rarest. Only those are joined on, so an image a third of all products carry
+    (a size chart) pairs nothing unless the sets agree on rarer images too.
+    Sets that share a single image are found without pairs, see the caller.
+    """
+    spread = right_sets.select("retailer", F.explode("rimgs").alias("i")) \
+        .groupBy("retailer", "i").agg(F.count(F.lit(1)).alias("f"))
+    n = F.size("imgs")
+    need = F.greatest(F.ceil(n / 2).cast("int"), F.lit(2))
+    ranked = (left_sets.filter(n >= 2).select("retailer", "imgs", F.explode("imgs").alias("i"))
+              .join(spread, ["retailer", "i"])
+              .groupBy("retailer", "imgs")
+              .agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("known")))
+    # Images no product has cannot be shared, so they count as the rarest ones.
+    width = n - need + 1 - (n - F.size("known"))
+    rare = ranked.filter(width > 0).select("retailer", "imgs", F.explode(
+        F.slice("known", F.lit(1), width)).alias("k"))
+    return (rare.select("retailer", "imgs", F.col("k.i").alias("i"))
+            .join(right_sets.select("retailer", "rimgs", F.explode("rimgs").alias("i")),
+                  ["retailer", "i"])
+            .select("retailer", "imgs", "rimgs").distinct()
+            .withColumn("shared", F.size(F.array_intersect("imgs", "rimgs")))
+            .filter(F.col("shared") >= need)
+            .select("retailer", "imgs", "rimgs", (F.col("shared") / n).alias("overlap")))
+
+
 def image_overlap_values(listings: DataFrame, products: DataFrame,
                          patterns: DataFrame | None = None) -> DataFrame:
     """Best image-set overlap per distinct (retailer, price, image set).
 
-    Prices within ten dollars, at least half of the listing's images shared.
-    An image that very many products carry (a size chart) would pair everything
-    with everything, so both sides are first reduced to distinct image sets;
-    each set keeps its prices apart.
+    Prices within ten dollars, at least half of the listing's images shared,
+    the smallest url on ties. Both sides are reduced to distinct (image set,
+    price) values first. Sharing one image is only enough for sets of one or
+    two; there the smallest url per (image, price) decides, and no sets are
+    paired.
     """
-    def image_set(c):
-        return F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
-
-    left = (listings.select("retailer", F.coalesce(F.col("price"), F.lit(0.0)).alias("lp"),
-                            image_set(F.col("image_urls")).alias("imgs"))
-            .filter(F.size("imgs") > 0).distinct())
-    left_sets = left.select("retailer", "imgs").distinct()
-    right = (products.select("retailer", F.col("price").alias("rp"), "url",
-                             image_set(F.col("image_urls")).alias("rimgs"))
-             .filter((F.size("rimgs") > 0) & F.col("rp").isNotNull())
-             .groupBy("retailer", "rp", "rimgs").agg(F.min("url").alias("url")))
-    right_sets = right.select("retailer", "rimgs").distinct()
-
-    shared = (left_sets.select("retailer", "imgs", F.explode("imgs").alias("i"))
-              .join(right_sets.select("retailer", "rimgs", F.explode("rimgs").alias("i")),
-                    ["retailer", "i"])
-              .groupBy("retailer", "imgs", "rimgs").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("overlap", F.col("n") / F.size("imgs"))
-              .filter(F.col("overlap") >= 0.5))
     band = fuzzy.AbsoluteBand(10.0)
-    best = (left.withColumn("bucket", fuzzy._near_buckets(band, F.col("lp")))
-            .join(shared, ["retailer", "imgs"])
-            .join(right.withColumn("bucket", band.bucket(F.col("rp"))),
-                  ["retailer", "rimgs", "bucket"])
-            .filter(band.holds(F.col("lp"), F.col("rp")))
-            .groupBy("retailer", "lp", "imgs")
+    left = staged(listings.select("retailer", F.coalesce("price", F.lit(0.0)).alias("lp"),
+                                  _image_set(F.col("image_urls")).alias("imgs"))
+                  .filter(F.size("imgs") > 0).distinct(), "listing-images")
+    right = staged(products.select("retailer", F.col("price").alias("rp"), "url",
+                                   _image_set(F.col("image_urls")).alias("rimgs"))
+                   .filter((F.size("rimgs") > 0) & F.col("rp").isNotNull())
+                   .groupBy("retailer", "rp", "rimgs").agg(F.min("url").alias("url")),
+                   "product-images").withColumn("bucket", band.bucket(F.col("rp")))
+    near = left.withColumn("bucket", fuzzy._near_buckets(band, F.col("lp")))
+    in_band = band.holds(F.col("lp"), F.col("rp"))
+    key = ["retailer", "lp", "imgs"]
+
+    pairs = _shared_images(left.select("retailer", "imgs").distinct(),
+                           right.select("retailer", "rimgs").distinct())
+    several = (near.join(pairs, ["retailer", "imgs"])
+               .join(right, ["retailer", "rimgs", "bucket"]).filter(in_band)
+               .select(*key, "overlap", "url"))
+    per_image = (right.select("retailer", "bucket", "rp", "url", F.explode("rimgs").alias("i"))
+                 .groupBy("retailer", "bucket", "rp", "i").agg(F.min("url").alias("url")))
+    single = (near.filter(F.size("imgs") <= 2)
+              .select("*", F.explode("imgs").alias("i"))
+              .join(per_image, ["retailer", "bucket", "i"]).filter(in_band)
+              .select(*key, (F.lit(1.0) / F.size("imgs")).alias("overlap"), "url"))
+    best = (several.unionByName(single).groupBy(*key)
             .agg(F.min(F.struct((-F.col("overlap")).alias("n"), "url")).alias("m"))
-            .select("retailer", "lp", "imgs", F.col("m.url").alias("url"),
-                    (-F.col("m.n")).alias("overlap")))
+            .select(*key, F.col("m.url").alias("url"), (-F.col("m.n")).alias("overlap")))
     if patterns is None:
         steady = F.lit(False)
     else:
         best = best.join(patterns.select("retailer", "image_urls_consistent"), "retailer", "left")
         steady = F.coalesce(F.col("image_urls_consistent").cast("boolean"), F.lit(False))
-    return best.select("retailer", "lp", "imgs", "url", "overlap", F.when(
+    return best.select(*key, "url", "overlap", F.when(
         steady, F.lit(0.75) + F.col("overlap") * 0.20).otherwise(
         F.lit(0.65) + F.col("overlap") * 0.15).alias("confidence"))
 
@@ -242,8 +275,7 @@ def match_image_overlap(listings: DataFrame, products: DataFrame,
     best = image_overlap_values(listings, products, patterns).select(
         "retailer", F.col("lp").alias("_p"), F.concat_ws("\u0001", "imgs").alias("_s"),
         F.col("url").alias("linked_product_url"), F.col("confidence").alias("link_confidence"))
-    own = F.concat_ws("\u0001", F.array_sort(F.array_distinct(
-        F.filter("image_urls", lambda x: x.isNotNull()))))
+    own = F.concat_ws("\u0001", _image_set(F.col("image_urls")))
     return (listings.withColumn("_p", F.coalesce(F.col("price"), F.lit(0.0)))
             .withColumn("_s", spread_nulls(F.nullif(own, F.lit("")), F.col("catalog_url")))
             .join(best, ["retailer", "_p", "_s"], "left").drop("_p", "_s"))
@@ -310,8 +342,7 @@ def link_listings(listings: DataFrame, products: DataFrame, patterns: DataFrame
         best = image_overlap_values(open_rows, products, patterns).select(
             "retailer", F.col("lp").alias("_p"), F.concat_ws("\u0001", "imgs").alias("_s"),
             F.col("url").alias("_img"), F.col("confidence").alias("_iconf"))
-        own = F.concat_ws("\u0001", F.array_sort(F.array_distinct(
-            F.filter("image_urls", lambda x: x.isNotNull()))))
+        own = F.concat_ws("\u0001", _image_set(F.col("image_urls")))
         chain = _add_hit(chain, best, {
             "_p": F.coalesce(F.col("price"), F.lit(0.0)),
             "_s": spread_nulls(F.nullif(own, F.lit("")), F.col("catalog_url"))}, "_img")

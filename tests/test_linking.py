@@ -175,3 +175,25 @@ def test_hot_values_do_not_multiply(spark):
         F.lit(50.5).alias("price"), F.lit(None).cast("string").alias("product_code"))
     out = linking.backfill_links(x, p).groupBy("link_method").count().collect()
     assert {r.link_method: r["count"] for r in out} == {"fuzzy_title_price": n // 3, None: n - n // 3}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_image_overlap_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"i{k}" for k in range(25)]
+
+    def images():
+        return rng.sample(pool, rng.randint(0, 5)) + rng.choice([[], ["chart"], ["chart", "chart"]])
+
+    listings = [(i, "r", float(rng.choice([10, 15, 24.99, 40])), images()) for i in range(60)]
+    products = [(f"u{i:03d}", "r", float(rng.choice([10, 20, 25, 34.9, 50])), images()) for i in range(80)]
+    x = spark.createDataFrame(listings, "id int, retailer string, price double, image_urls array<string>").withColumn(
+        "catalog_url", F.col("id").cast("string"))
+    p = spark.createDataFrame(products, "url string, retailer string, price double, image_urls array<string>")
+    got = {r.id: r.linked_product_url for r in linking.match_image_overlap(x, p).collect()}
+    want = {}
+    for i, _, price, mine in listings:
+        hits = [(-len(set(mine) & set(theirs)) / len(set(mine)), u) for u, _, pp, theirs in products
+                if mine and abs(price - pp) < 10 and len(set(mine) & set(theirs)) * 2 >= len(set(mine))]
+        want[i] = min(hits)[1] if hits else None
+    assert got == want
