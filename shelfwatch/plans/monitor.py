@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.operators import linking
+from shelfwatch.operators import changes, linking, patterns, profiles, review
+from shelfwatch.schemas import DOMAINS
 
 
 def monitor_report(listings: DataFrame, products: DataFrame) -> DataFrame:
@@ -25,3 +26,41 @@ def monitor_report(listings: DataFrame, products: DataFrame) -> DataFrame:
                      F.col("price").alias("new_price"), F.lit("normal").alias("priority"),
                      as_of.alias("detected_at")))
     return changes.unionByName(fresh)
+
+
+def monitor_run(listings: DataFrame, products: DataFrame, queue: DataFrame, category, as_of,
+                seq: str, history: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All outputs of one monitor run: snapshot, price changes, queue items, counters."""
+    rows = linking.unify_fields(listings)
+    found = linking.classify_listings(rows, products, history)
+    suspect = F.col("status") == "suspected_duplicate"
+    items = found.filter(F.col("status") != "confirmed_existing").select(
+        seq, F.col("catalog_url").alias("product_url"), "retailer",
+        F.when(suspect, "duplication").otherwise("modesty").alias("review_type"),
+        F.when(suspect, "normal").otherwise("high").alias("priority"),
+        F.lit("catalog_monitor").alias("source_workflow"))
+    return {
+        "snapshot": changes.snapshot_rows(rows, category, as_of),
+        "price_changes": linking.price_changes(rows, products, as_of),
+        "queue_items": review.add_to_queue(queue, items, as_of, seq),
+        "counters": profiles.run_counters(found, "retailer", "status", DOMAINS["match_status"]),
+    }
+
+
+def update_run(products: DataFrame, extracts: DataFrame, as_of) -> dict[str, DataFrame]:
+    """All outputs of one refresh: next product version, counters, failure records."""
+    outcomes = changes.update_outcomes(extracts, products)
+    applied = outcomes.filter(~F.col("action").isin("failed", "not_found"))
+    return {
+        "products": changes.apply_updates(products, applied, as_of),
+        "counters": profiles.run_counters(outcomes, "retailer", "action", DOMAINS["action"]),
+        "failures": changes.failures(outcomes),
+    }
+
+
+def backfill_run(snapshots: DataFrame, products: DataFrame,
+                 policy: DataFrame | None = None) -> dict[str, DataFrame]:
+    """History linked to products, with the statistics and retailer policy learned from it."""
+    links = linking.backfill_links(snapshots, products, policy)
+    return {"links": links, "statistics": patterns.linking_statistics(links),
+            "patterns": patterns.retailer_patterns(links)}
