@@ -456,3 +456,34 @@ def unique_products(v):
 @query("D4_unique_in_page", FIRST.format(cols="seq, page_id, url", key="page_id, url"))
 def unique_in_page(v):
     return dedup.unique_in_page(urls(v), "seq")
+
+
+@query("X1b_url_key_v2", f"SELECT page_id, {V2} AS url_key FROM b_mixed_urls")
+def key_v2(v):
+    return v.b_mixed_urls.select("page_id", U.url_key_v2(F.col("u")).alias("url_key"))
+
+
+@query("X1c_url_key_v3", f"SELECT page_id, lower(rtrim({V2}, '/')) AS url_key FROM b_mixed_urls")
+def key_v3(v):
+    return v.b_mixed_urls.select("page_id", U.url_key_v3(F.col("u")).alias("url_key"))
+
+
+@query("X1d_url_key_v4", f"SELECT page_id, {BARE.format('u')} AS url_key FROM b_mixed_urls")
+def key_v4(v):
+    return v.b_mixed_urls.select("page_id", U.url_key_v4(F.col("u")).alias("url_key"))
+
+
+@query("X11_url_hash", "SELECT l_orderkey, l_linenumber, sha256(catalog_url) AS url_hash FROM b_snapshots")
+def hashes(v):
+    return v.b_snapshots.select("l_orderkey", "l_linenumber",
+                                U.url_hash(F.col("catalog_url")).alias("url_hash"))
+
+
+@query("U5_matched_and_remainder", """
+SELECT s.seq, s.catalog_url, p.url AS linked_product_url FROM b_snapshots s LEFT JOIN b_products p ON s.retailer = p.retailer AND s.catalog_url = p.url""")
+def matched_and_rest(v):
+    rows = v.b_snapshots.select("seq", "retailer", "catalog_url")
+    matched = linking.match_exact_url(rows, v.b_products).filter("linked_product_url IS NOT NULL")
+    rest = rows.withColumnRenamed("catalog_url", "url")
+    rest = linking.remaining_urls(rest, v.b_products).withColumnRenamed("url", "catalog_url")
+    return linking.with_remainder(matched, rest).select("seq", "catalog_url", "linked_product_url")

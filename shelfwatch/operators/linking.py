@@ -512,3 +512,8 @@ def disappeared_since(snapshots: DataFrame, latest: Column, previous: Column) ->
         .select("retailer", "catalog_url").distinct()
     now = snapshots.filter(F.col("discovered_date") == latest).select("retailer", "catalog_url")
     return before.join(now, ["retailer", "catalog_url"], "left_anti")
+
+
+def with_remainder(matched: DataFrame, remainder: DataFrame) -> DataFrame:
+    """Matched rows together with the rows no match was found for; the latter lack the link columns."""
+    return matched.unionByName(remainder, allowMissingColumns=True)
