@@ -415,8 +415,10 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
         products, {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}, "url", "_code")
     chain = _add_hit(chain, eq, {"_k": spread_nulls(F.col("_c"), by)}, "_code")
     hits = ["_exact"] + (["_seen"] if history is not None else []) + ["_norm", "_code"]
-    open_codes = chain.filter(F.coalesce(*hits).isNull()).select(
-        "retailer", F.col("_c").alias("code")).filter(F.col("code").isNotNull())
+    # Codes no product has as its own; a lookup table, so it needs no join chain.
+    open_codes = (listings.select("retailer", code.alias("code")).filter(F.col("code").isNotNull())
+                  .distinct().join(eq.select("retailer", F.col("_k").alias("code")),
+                                   ["retailer", "code"], "left_anti"))
     inside = codes_in_urls(open_codes, products).select(
         "retailer", F.col("code").alias("_k"), F.col("url").alias("_inside"))
     chain = _add_hit(chain, inside, {"_k": spread_nulls(F.col("_c"), by)}, "_inside")
