@@ -419,7 +419,8 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
     open_codes = (listings.select("retailer", code.alias("code")).filter(F.col("code").isNotNull())
                   .distinct().join(eq.select("retailer", F.col("_k").alias("code")),
                                    ["retailer", "code"], "left_anti"))
-    inside = codes_in_urls(open_codes, products).select(
+    # Taking all urls apart is the dear step and the result is small: once, to the shared folder.
+    inside = staged(codes_in_urls(open_codes, products), "codes-in-urls").select(
         "retailer", F.col("code").alias("_k"), F.col("url").alias("_inside"))
     chain = _add_hit(chain, inside, {"_k": spread_nulls(F.col("_c"), by)}, "_inside")
     hits.append("_inside")
