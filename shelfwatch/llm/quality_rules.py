@@ -57,8 +57,9 @@ def line_removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """(id, copy, n_removed, depleted) of the documents that hold boilerplate lines; ``copy`` is the text's hash."""
     text = blank_null(text_col)
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host")
-    lines = docs.select(F.col(id_col).alias("id"), host, F.xxhash64(text).alias("copy"), F.size(words_of(text)).alias("of"),
-                        F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    # What belongs to the text is computed before its lines are made, not again for every line.
+    lines = docs.select(F.col(id_col).alias("id"), host, F.xxhash64(text).alias("copy"), F.size(words_of(text)).alias("of"), F.split(text, "\n").alias("lines"))
+    lines = lines.select("id", "host", "copy", "of", F.posexplode("lines").alias("place", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), _LINE_SPACE, " "))).where("line <> ''")
     lines = lines.select("id", "host", "copy", "of", "place", F.xxhash64("line").alias("mark"), F.size(F.split("line", " ")).alias("n"))
     hosts = docs.select(host, F.xxhash64(text).alias("copy")).groupBy("host").agg(F.count_distinct("copy").alias("copies"))

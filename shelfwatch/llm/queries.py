@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import array_merge, chat, content_sort, mixing, quality_rules, word_table
+from shelfwatch.llm import array_merge, chat, content_sort, crf, mixing, output_codes, quality_rules, word_table
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_weight(documents(spark, sf_dir))
 
 
+@query("op3_language_codes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = output_codes.fit(docs.where(~output_codes.held_out() & F.col("doc_id").isNotNull()))
+    found = output_codes.predict(docs, model)
+    return found.select("doc_id", output_codes.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 _CHAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -83,6 +91,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = crf.scan(docs, crf.fit(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"), count("crf"))
+
+
 @query("op8_bpe_words")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
