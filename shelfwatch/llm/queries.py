@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import array_merge, chat, content_sort, crf, mixing, output_codes, quality_rules, word_table
+from shelfwatch.llm import array_merge, chat, content_sort, crf, dart_minhash, mixing, output_codes, quality_rules, word_table
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_weight(documents(spark, sf_dir))
 
 
+@query("op2_dart_minhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(documents(spark, sf_dir))
+
+
 @query("op3_language_codes")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
