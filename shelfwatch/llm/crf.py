@@ -40,7 +40,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _TRIGGERS = ("passw", "secret", "token", "api")
 
-_DIGIT_LINE = re.compile(r"[^\n]*[0-9][^\n]*")
+_DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]+")
 _KEY = re.compile(r"(?=.*[0-9])[A-Za-z0-9+/_.=-]{8,}")
 
@@ -72,11 +72,21 @@ def _spread(word: str) -> int:
     return int(2 * -sum(k / n * math.log2(k / n) for k in map(word.count, set(word))))
 
 
+def _digit_lines(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the lines that hold a digit."""
+    hit = _DIGIT.search(text)
+    while hit:
+        start, end = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.start())
+        end = len(text) if end < 0 else end
+        yield start, end
+        hit = _DIGIT.search(text, end)
+
+
 def chains(text: str) -> Iterator[list[tuple[int, int, list[int]]]]:
     """Runs of neighbouring taggable tokens of a line: (start, end, features)."""
     file = None
-    for line in _DIGIT_LINE.finditer(text):
-        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, line.start(), line.end())]
+    for line_start, line_end in _digit_lines(text):
+        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, line_start, line_end)]
         chain: list = []
         for j, (start, end, word) in enumerate(tokens):
             if not _KEY.fullmatch(word):
