@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import array_merge, chat, content_sort, crf, dart_minhash, mixing, output_codes, quality_rules, word_table
+from shelfwatch.llm import array_merge, bucket_pointers, chat, content_sort, crf, dart_minhash, mixing, output_codes, quality_rules, word_table
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op6_bucket_pointers")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bucket_pointers.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_secret_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
