@@ -7,9 +7,11 @@ stage's ``docs``; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwatch.llm import content_sort, mixing, quality_rules
+from shelfwatch.llm import content_sort, dart_minhash, mixing, quality_rules, word_table
 from shelfwatch.llm.common import documents, staged
+from shelfwatch.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,26 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return content_sort.drop_copies(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return dart_minhash.drop_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and digests of the ids and of what they decode to."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = docs.select(F.struct("doc_id", "source", "lang").alias("row"), "text")
+    both = word_table.decode(word_table.encode(rows, path, id_col="row"), path)
+    return both.select("row.*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mix), ("tokens", tokens)]
 
 ORACLE_SQL = None
 

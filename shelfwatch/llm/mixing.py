@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,11 @@ def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
                        F.array(source_col).alias("sources"))
 
 
+def drawn(doc_id: Column, seed: str) -> Column:
+    """Where a document stands in the seeded order."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+
+
 def mix(members: DataFrame, quotas_of, *, max_epochs: int = MAX_EPOCHS, seed: str = SEED, max_patterns: int = 100_000) -> DataFrame:
     """How often each document is used for each source.
 
@@ -112,8 +117,7 @@ def mix(members: DataFrame, quotas_of, *, max_epochs: int = MAX_EPOCHS, seed: st
     spark: SparkSession = members.sparkSession
     name = lambda x: F.when(x.isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), x))
     rows = members.withColumn("pattern", F.array_join(F.array_sort(F.array_distinct(F.transform("sources", name))), "\x00"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = staged(rows.withColumns({"lot": F.substring(digest, 1, RANGE_DIGITS), "draw": digest}), "mix-sizes")
+    rows = staged(rows.withColumn("draw", drawn(F.col("doc_id"), seed)).withColumn("lot", F.substring("draw", 1, RANGE_DIGITS)), "mix-sizes")
     lots = staged(rows.groupBy("pattern", "lot").agg(F.sum("size").alias("lot_size")), "mix-lots")
     found = lots.groupBy("pattern").agg(F.sum("lot_size").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
@@ -140,7 +144,7 @@ def mix(members: DataFrame, quotas_of, *, max_epochs: int = MAX_EPOCHS, seed: st
     uses = lambda end: F.greatest(F.lit(0), F.ceil((2 * F.col(end) - middle) / (2 * F.col("whole"))))
     joined = placed.join(shares_df, "pattern", "left")
     copies = F.when((F.col("whole") > 0) & (F.col("size") > 0), uses("to") - uses("from")).otherwise(0).cast("long")
-    return joined.select("doc_id", "size", "sources", "pattern", "for_source", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "size", "sources", "pattern", "for_source", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "draw")
 
 
 def by_rank(sources: list[str | None]) -> dict[str | None, int]:
@@ -164,4 +168,20 @@ def mix_by_weight(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     used = used.withColumn("source", F.col("sources")[0])
     kinds = T.StructType([T.StructField("name", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     totals = docs.sparkSession.createDataFrame([(s, n, float(t)) for s, (n, t) in plan.items()], kinds)
-    return used.join(totals, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
+    return used.join(totals, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source", "source_size", "target", "copies", "taken", "draw")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns, as often as it takes them.
+
+    In the seeded order of a source the number of uses falls once, by one: the place of that step is a row per source,
+    so whole documents are filtered and repeated where they are read.
+    """
+    used = mix_by_weight(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed).where("size > 0")
+    steps = staged(used.groupBy("source").agg(F.max("copies").alias("most"), F.max(F.struct("copies", "draw")).alias("at")), "mix-steps")
+    kinds = T.StructType([T.StructField("_source", docs.schema[source_col].dataType), T.StructField("_most", T.LongType()), T.StructField("_upto", T.StringType())])
+    few = docs.sparkSession.createDataFrame([(r.source, r.most, r["at"].draw) for r in steps.collect()], kinds)
+    draw = drawn(F.col(id_col), seed)
+    rows = docs.join(few, F.col(source_col).eqNullSafe(F.col("_source"))).where(blank_null(text_col).rlike(WORD))
+    uses = F.when(draw <= F.col("_upto"), F.col("_most")).otherwise(F.greatest(F.lit(0), F.col("_most") - 1)).cast("int")
+    return rows.withColumn("_use", F.explode(F.array_repeat(F.lit(0), uses))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -91,7 +91,9 @@ def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     whole, gone = tag("row"), tag("gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(text_col).alias("text"),
                        F.col(id_col).alias("id"), F.xxhash64(blank_null(text_col)).alias("text_hash"))
-    rows = base_counts(rows).where("not base_failed")
+    # A filter on the verdict alone would be pushed below the projections, which then work out the windows once per
+    # window; one on a row number as well stays where it is.
+    rows = base_counts(rows).withColumn("row_number", F.monotonically_increasing_id()).where("not base_failed and row_number >= 0")
     removed = line_removals(docs, id_col=id_col, text_col=text_col, host_col=host_col).where("depleted").select(F.col("id").alias(gone), "copy")
     rows = rows.join(removed, rows["id"].eqNullSafe(removed[gone]) & (rows["text_hash"] == removed["copy"]), "left_anti")
     return rows.select(f"{whole}.*")

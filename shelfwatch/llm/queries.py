@@ -52,7 +52,7 @@ FROM p
 
 @query("op1_mix_sources", _MIX_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_by_weight(documents(spark, sf_dir))
+    return mixing.mix_by_weight(documents(spark, sf_dir)).drop("draw")
 
 
 @query("op2_dart_minhash")
