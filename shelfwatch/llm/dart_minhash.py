@@ -22,6 +22,7 @@ not compared and stay. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +108,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                pa.array([s.tobytes() for s in sketch], pa.binary())], ["id", "copy", "bands", "sketch"])
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are about to be shuffled more than once."""
+    for batch in batches:
+        packed = [zlib.compress(t.encode(), 1) for t in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
+
+
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Similarity that two signatures of one byte a coordinate point to."""
     return ((left == right).mean(1) - 1 / 256) / (1 - 1 / 256)
@@ -148,8 +156,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         unit, owner = [], []
-        for c in ("left_text", "right_text"):
-            u, o = units(*shingles(batch.column(c), WIDTH))
+        for c in ("left", "right"):
+            texts = pa.array([zlib.decompress(x).decode() for x in batch.column(c).to_pylist()], pa.large_string())
+            u, o = units(*shingles(texts, WIDTH))
             unit.append(u)
             owner.append(o)
         sizes = [np.bincount(o, minlength=n) for o in owner]
@@ -178,7 +187,8 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     popular = popular.join(texts.select("id", "sketch"), "id")
     members = staged(keys.join(popular, "id"), "dart-members")
     wanted = members.select("id").distinct()
-    whole = staged(rows.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
+    whole = rows.select("id", "text").mapInArrow(_pressed, "id long, packed binary")
+    whole = staged(whole.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
     links = None
     for turn in range(ROUNDS):
         now = members
@@ -197,9 +207,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         large = F.col("size") > SMALL
         now = now.repartitionByRange("bucket", F.when(large, F.col("order")), F.when(large, F.col("id"))).sortWithinPartitions("bucket", "order", "id")
         pairs = staged(now.mapInArrow(_sides, "a long, b long").distinct(), "dart-pairs")
-        judged = pairs.join(whole.select(F.col("id").alias("a"), F.col("text").alias("left_text")), "a")
-        judged = judged.join(whole.select(F.col("id").alias("b"), F.col("text").alias("right_text")), "b")
-        found = staged(judged.select("a", "b", "left_text", "right_text").mapInArrow(_judged, "a long, b long"), "dart-links")
+        judged = pairs.join(whole.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a")
+        judged = judged.join(whole.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
+        found = staged(judged.select("a", "b", "left", "right").mapInArrow(_judged, "a long, b long"), "dart-links")
         links = found if links is None else links.unionByName(found)
     groups = components(links, "dart-classes")
     classes = of_copy.join(groups.withColumnRenamed("id", "first"), "first", "left").groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("class_id"))
