@@ -1,10 +1,12 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Splitting runs in Spark tasks: a chunk of documents becomes, per document, the codes of its words in the order they
-stand, and the chunk's own list of distinct words. All chunks' words are shuffled by word, each distinct word is
-encoded once, and the ids travel back to their chunk, where they replace the codes by position. What is shuffled is
-thus a chunk's distinct words and compressed codes, not every occurrence with its place; no word is hot (a chunk sends
-it once), nothing is broadcast, and a chunk is bounded by CHUNK_CHARS or one document.
+stand, and the chunk's own list of distinct words. The words are dealt by their hash into as many buckets as the
+session has shuffle partitions, one compressed row per chunk and bucket; a bucket's task encodes each distinct word
+once and sends the ids back to the chunks, where they replace the codes by position. What is shuffled is thus a
+chunk's distinct words and compressed codes, not every occurrence with its place; no word is hot (a chunk sends it
+once), nothing is broadcast, and a chunk is bounded by CHUNK_CHARS or one document. A bucket's task holds its share of
+the distinct words, so more shuffle partitions make it smaller.
 
 Splitting runs once for each side, so its input must give the same partitions when it is read again (a file scan
 does); a seal over the chunk's words is checked and a difference is an error, never a wrong result.
@@ -19,6 +21,7 @@ are rows of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +35,14 @@ from pyspark.sql import types as T
 from shelfwatch.llm.common import BATCH_ROWS
 
 #: Code points a chunk may hold before the next one begins.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 12_000_000
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The pre-tokenizer's word pattern (fixed value), its white space class spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: The same for texts of ASCII and Latin-1 letters only, which the faster of the two engines can express.
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \t-\r{_LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+
 
 def _added(path: str) -> list[str]:
     """Strings that the tokenizer takes out of a text before it looks for words, longest first."""
@@ -58,10 +65,11 @@ def pieces(path: str) -> list[bytes]:
 def _splitter(path: str):
     import regex
 
-    word, added = regex.compile(PATTERN), _added(path)
-    special = regex.compile("|".join(map(regex.escape, added))) if added else None
+    any_word, latin_word, other, added = regex.compile(PATTERN), re.compile(LATIN_PATTERN), re.compile(rf"[^\x00-\x7f{_LATIN}]"), _added(path)
+    special = re.compile("|".join(map(re.escape, added))) if added else None
 
     def words(text: str) -> list[str]:
+        word = any_word if other.search(text) else latin_word
         if special is None or not special.search(text):
             return word.findall(text)
         out, at = [], 0
@@ -82,26 +90,53 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, pa.Array, list[bytes], list[str]]]:
-    """(chunk number, ids, packed codes, distinct words) of each chunk of a partition."""
+class _Codes(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, pa.Array, list[np.ndarray], list[str]]]:
+    """(chunk number, ids, codes of each document, distinct words) of each chunk of a partition; frequent words first."""
     words_of, part, number = _splitter(path), TaskContext.get().partitionId(), 0
-    code_of: dict[str, int] = {}
-    ids, codes, chars = [], [], 0
+    code_of, ids, codes, chars = _Codes(), [], [], 0
+
+    def chunk():
+        words = list(code_of)
+        count = np.bincount(np.concatenate(codes), minlength=len(words)) if words else np.empty(0, np.int64)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        return part << 24 | number, pa.concat_arrays(ids), [rank[c] for c in codes], [words[i] for i in order]
+
     for batch in batches:
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            text = text or ""
+        for i, text in enumerate(batch.column(1)):
+            text = text.as_py() or ""
             if chars and chars + len(text) > CHUNK_CHARS:
-                yield part << 24 | number, pa.concat_arrays(ids), codes, list(code_of)
-                code_of, ids, codes, chars, number = {}, [], [], 0, number + 1
+                yield chunk()
+                code_of, ids, codes, chars, number = _Codes(), [], [], 0, number + 1
             ids.append(batch.column(0).slice(i, 1))
-            codes.append(_packed(np.fromiter([code_of.setdefault(w, len(code_of)) for w in words_of(text)], np.uint32)))
+            codes.append(np.array(list(map(code_of.__getitem__, words_of(text))), np.uint32))
             chars += len(text)
     if ids:
-        yield part << 24 | number, pa.concat_arrays(ids), codes, list(code_of)
+        yield chunk()
 
 
 def _seal(words: list[str]) -> bytes:
-    return b"%d:%d" % (len(words), zlib.crc32("\n".join(words).encode("utf-8", "surrogatepass")))
+    return b"%d:%d" % (len(words), zlib.crc32("\n".join(words).encode()))
+
+
+def _joined(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and contents of byte strings, both compressed."""
+    return _packed(np.array([len(p) for p in parts], np.uint32)), zlib.compress(b"".join(parts), 1)
+
+
+def _parts(sizes: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(_unpacked(sizes)).tolist()
+    data = zlib.decompress(data)
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,22 +147,27 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
 
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, packed, words in _chunks(batches, path):
+        for chunk, ids, found, words in _chunks(batches, path):
             seal = _seal(words)
-            for at in range(0, len(packed), BATCH_ROWS):
-                some = packed[at:at + BATCH_ROWS]
+            for at in range(0, len(found), BATCH_ROWS):
+                some = [_packed(c) for c in found[at:at + BATCH_ROWS]]
                 yield pa.record_batch([pa.array([chunk] * len(some), pa.int64()), ids.slice(at, BATCH_ROWS).cast(id_type), pa.array(some, pa.binary()),
                                        pa.array([seal] * len(some), pa.binary())], ["chunk", "id", "codes", "seal"])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, _, words in _chunks(batches, path):
-            words.append(_seal(words).decode())  # the last row of a chunk, told by its negative code
-            for at in range(0, len(words), 20_000):
-                some = words[at:at + 20_000]
-                code = np.arange(at, at + len(some), dtype=np.int32)
-                code[code == len(words) - 1] = -1
-                yield pa.record_batch([pa.array([chunk] * len(some), pa.int64()), pa.array(code), pa.array(some, pa.string())], ["chunk", "code", "word"])
+            raw, seal, rows = [w.encode() for w in words], _seal(words), []
+            bucket = np.array([zlib.crc32(w) for w in raw], np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            for b, own in zip(*(lambda u, at: (u, np.split(order, at[1:])))(*np.unique(bucket[order], return_index=True))):
+                rows.append((int(b), _packed(np.diff(own, prepend=0)), *_joined([raw[i] for i in own])))
+            rows = rows or [(0, _packed(np.empty(0, np.uint32)), *_joined([]))]
+            yield pa.record_batch([pa.array([chunk] * len(rows), pa.int64()), pa.array([seal] * len(rows), pa.binary()),
+                                   *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary())))],
+                                  ["chunk", "seal", "bucket", "codes", "sizes", "data"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -135,28 +175,28 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, last_ids = None, b""
-        for batch in batches:  # sorted by word
-            word, code = batch.column("word").to_pylist(), batch.column("code").to_pylist()
-            new = [w for w, before, c in zip(word, [last, *word], code) if c >= 0 and w != before]
-            ids = (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))
-            out = []
-            for w, c in zip(word, code):
-                if c < 0:
-                    out.append(w.encode())
-                    continue
-                if w != last:
-                    last, last_ids = w, next(ids)
-                out.append(last_ids)
-            yield pa.record_batch([batch.column("chunk"), batch.column("code"), pa.array(out, pa.binary())], ["chunk", "code", "ids"])
+        memo: dict[bytes, bytes] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("sizes", "data")}
+                words = _parts(row["sizes"], row["data"])
+                new = [w for w in words if w not in memo]
+                memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
+                sizes, data = _joined([memo[w] for w in words])
+                yield pa.record_batch([batch.column("chunk").slice(i, 1), batch.column("seal").slice(i, 1), batch.column("codes").slice(i, 1),
+                                       pa.array([sizes], pa.binary()), pa.array([data], pa.binary())], ["chunk", "seal", "codes", "sizes", "data"])
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
-        code = right.column("code").to_numpy()
-        values = right.column("ids").to_pylist()
-        seal = {v for c, v in zip(code.tolist(), values) if c < 0}
-        order = np.argsort(code, kind="stable")[int((code < 0).sum()):]
-        if left.num_rows and (seal != set(left.column("seal").to_pylist()) or int(next(iter(seal)).split(b":")[0]) != len(order)):
-            raise ValueError("a chunk was split differently when it was read again; write the input to a table first")
+        code, values = [], []
+        for c, sizes, data in zip(*(right.column(n).to_pylist() for n in ("codes", "sizes", "data"))):
+            code.append(np.cumsum(_unpacked(c), dtype=np.uint32))
+            values += _parts(sizes, data)
+        code = np.concatenate(code) if code else np.empty(0, np.uint32)
+        if left.num_rows:
+            seal = set(left.column("seal").to_pylist())
+            if len(seal) != 1 or seal != set(right.column("seal").to_pylist()) or int(next(iter(seal)).split(b":")[0]) != len(code):
+                raise ValueError("a chunk was split differently when it was read again; write the input to a table first")
+        order = np.argsort(code)
         size = np.array([len(values[i]) // 4 for i in order], np.int64)
         flat = np.frombuffer(b"".join([values[i] for i in order]), "<u4")
         starts = np.append(0, np.cumsum(size))
@@ -168,12 +208,13 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)].astype("<u4").tobytes())
         return pa.table([left.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
 
-    table = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("word", T.StringType())])
-    words = rows.mapInArrow(distinct, table).repartition("word").sortWithinPartitions("word")
-    words = words.mapInArrow(encoded, "chunk long, code int, ids binary")
-    lines = rows.mapInArrow(codes, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("id", kind), T.StructField("codes", T.BinaryType()),
-                                                 T.StructField("seal", T.BinaryType())]))
-    whole = lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
+    binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
+    chunk = T.StructField("chunk", T.LongType())
+    table = T.StructType([chunk, *binary("seal"), T.StructField("bucket", T.IntegerType()), *binary("codes", "sizes", "data")])
+    words = rows.mapInArrow(distinct, table).repartition("bucket").drop("bucket")
+    words = words.mapInArrow(encoded, T.StructType([chunk, *binary("seal", "codes", "sizes", "data")]))
+    lines = rows.mapInArrow(codes, T.StructType([chunk, T.StructField("id", kind), *binary("codes", "seal")]))
+    whole = lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, T.StructType([T.StructField("id", kind), *binary("ids")]))
     return whole.select(F.col("id").alias(id_col), "ids")
 
 
