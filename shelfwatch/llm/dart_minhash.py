@@ -8,12 +8,14 @@ rank is below t / weight(text) are thrown, about t = k ln k + 2k whatever the te
 coordinates and the earliest dart of a coordinate is its value. Texts left with an empty coordinate throw further.
 
 Joining. Exact copies collapse first (a 128-bit digest of the lower-cased text). BANDS bands of ROWS values
-are bucket keys; a pair at 0.8 shares no bucket with probability 5e-5. Inside a bucket no pairs are multiplied out:
-every text is compared with the bucket's most popular text (the one with the largest buckets overall, which in a group
-of copies is the one nearest to all) and with its neighbours in the order of the rest of the signature, first to
-ROUNDS rounds, each over what the links so far leave apart and in another order. Signatures discard pairs far below
-0.8, the rest are compared shingle by shingle on whole texts. Classes are the connected components of the links.
-Buckets of at most SMALL texts are compared in full.
+are bucket keys; a pair at 0.8 shares no bucket with probability 5e-5. Inside a bucket no pairs are multiplied out.
+First every text is compared with the bucket's most popular text (the one with the largest buckets overall, which in a
+group of copies is the one nearest to all) and with its neighbours in the order of the rest of the signature; buckets
+of at most SMALL texts are thereby compared in full. Signatures discard pairs far below 0.8, the rest are compared
+shingle by shingle on whole texts. In buckets that these links leave in more than one part, the texts outside the
+lead's part are then compared with all others, BLOCK by BLOCK, as products of two matrices; only links come out, one
+for each text and part. So no bucket is cut short, and a group costs more than its size only where it is not one
+class. Classes are the connected components of the links.
 
 Null texts count as empty; texts without words are copies of each other only if equal. The class id is the smallest
 doc_id of the class, and that document stays; repeated rows with one id count as one document. Rows without an id are
@@ -42,7 +44,9 @@ COORDINATES = BANDS * ROWS
 SKETCH_LEAST = 0.65
 #: Buckets of at most so many texts are compared in full; in larger ones so many neighbours are looked at.
 SMALL, NEIGHBOURS = 8, 4
-ROUNDS = 2
+#: Texts a side has in a block of the full comparison, and shingles a matrix has at a time.
+BLOCK = 256
+COLUMNS = 20_000
 
 _STEP, _SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -171,6 +175,49 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
+def _block(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the texts of two sides, one for each left text and part of the right side."""
+    none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+    if not left.num_rows or not right.num_rows:
+        return none
+    sides = []
+    for t in (left, right):
+        texts = pa.array([zlib.decompress(x).decode() for x in t.column("packed").to_pylist()], pa.large_string())
+        sides.append(units(*shingles(texts, WIDTH)))
+    both = np.intersect1d(*(np.unique(u) for u, _ in sides), assume_unique=True)
+    shared = np.zeros((left.num_rows, right.num_rows), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        some, parts = both[at:at + COLUMNS], []
+        for (u, o), t in zip(sides, (left, right)):
+            column = np.searchsorted(some, u)
+            hit = some[np.minimum(column, len(some) - 1)] == u
+            parts.append(np.zeros((t.num_rows, len(some)), np.float32))
+            parts[-1][o[hit], column[hit]] = 1
+        shared += parts[0] @ parts[1].T
+    size = [np.bincount(o, minlength=t.num_rows) for (_, o), t in zip(sides, (left, right))]
+    ids, part = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "component"))
+    link = (shared > 0) & (shared >= LEAST * (size[0][:, None] + size[1][None] - shared) - 1e-4) & (part[0][:, None] != part[1][None])
+    x, y = np.nonzero(link)
+    _, first = np.unique(np.stack([x, part[1][y]]), axis=1, return_index=True)
+    x, y = x[first], y[first]
+    return pa.table([pa.array(np.minimum(ids[0][x], ids[1][y])), pa.array(np.maximum(ids[0][x], ids[1][y]))], names=["a", "b"])
+
+
+def _rest(now: DataFrame, whole: DataFrame) -> DataFrame:
+    """Links that buckets in more than one part still hold; ``now`` has each row's part and its bucket's lead's."""
+    open_ = now.where(F.col("size") > SMALL)
+    outside = F.col("component") != F.col("lead_component")
+    n = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = open_.groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(outside).alias("outside"))
+    rows = open_.select("id", "component", "lead_component", "bucket").join(sizes, "bucket").join(whole, "id")
+    mark = F.xxhash64("id")
+    left = rows.where(outside).withColumn("x", F.pmod(mark, n("outside"))).withColumn("y", F.explode(F.sequence(F.lit(0), n("all") - 1)))
+    right = rows.withColumn("y", F.pmod(mark, n("all"))).withColumn("x", F.explode(F.sequence(F.lit(0), n("outside") - 1)))
+    names = ["bucket", "x", "y", "id", "component", "packed"]
+    left, right = (d.select(*(F.col(c).cast("int").alias(c) if c in "xy" else F.col(c).alias(c) for c in names)).groupBy("bucket", "x", "y") for d in (left, right))
+    return left.cogroup(right).applyInArrow(_block, "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, class_size, kept) of each row."""
     low = F.lower(blank_null(text_col))
@@ -189,28 +236,24 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("id").distinct()
     whole = rows.select("id", "text").mapInArrow(_pressed, "id long, packed binary")
     whole = staged(whole.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
-    links = None
-    for turn in range(ROUNDS):
-        now = members
-        if links is not None:
-            groups = components(links, "dart-components")
-            now = now.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            now = now.withColumn("component", F.col("id"))
-        first_look = F.col("popular") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        leads = now.groupBy("bucket").agg(F.max(F.struct(first_look.alias("look"), (-F.col("id")).alias("low"), "id", "component", "sketch")).alias("lead"),
-                                          F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-        leads = leads.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.component").alias("lead_component"), F.col("lead.sketch").alias("lead_sketch"))
-        order = F.substring("sketch", 1 + turn * (COORDINATES // ROUNDS), COORDINATES // ROUNDS)
-        now = now.join(leads, "bucket").select("id", "component", "bucket", "size", "sketch", "lead", "lead_component", "lead_sketch", order.alias("order"))
-        # Splitters may fall inside a large bucket, never inside a small one.
-        large = F.col("size") > SMALL
-        now = now.repartitionByRange("bucket", F.when(large, F.col("order")), F.when(large, F.col("id"))).sortWithinPartitions("bucket", "order", "id")
-        pairs = staged(now.mapInArrow(_sides, "a long, b long").distinct(), "dart-pairs")
-        judged = pairs.join(whole.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a")
-        judged = judged.join(whole.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
-        found = staged(judged.select("a", "b", "left", "right").mapInArrow(_judged, "a long, b long"), "dart-links")
-        links = found if links is None else links.unionByName(found)
+
+    def led(rows: DataFrame) -> DataFrame:
+        """Rows of buckets in more than one part, each with its bucket's lead."""
+        leads = rows.groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("id")).alias("low"), "id", "component", "sketch")).alias("lead"),
+                                           F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        return rows.join(leads.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.component").alias("lead_component"), F.col("lead.sketch").alias("lead_sketch")), "bucket")
+
+    large = F.col("size") > SMALL  # splitters may fall inside a large bucket, never inside a small one
+    now = led(members.withColumn("component", F.col("id"))).withColumn("order", F.substring("sketch", 1, 16))
+    now = now.repartitionByRange("bucket", F.when(large, F.col("order")), F.when(large, F.col("id"))).sortWithinPartitions("bucket", "order", "id")
+    now = now.select("id", "component", "bucket", "size", "sketch", "lead", "lead_component", "lead_sketch")
+    pairs = staged(now.mapInArrow(_sides, "a long, b long").distinct(), "dart-pairs")
+    judged = pairs.join(whole.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a")
+    judged = judged.join(whole.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
+    links = staged(judged.select("a", "b", "left", "right").mapInArrow(_judged, "a long, b long"), "dart-links")
+    parts = components(links, "dart-parts")
+    now = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = links.unionByName(staged(_rest(led(now), whole), "dart-rest"))
     groups = components(links, "dart-classes")
     classes = of_copy.join(groups.withColumnRenamed("id", "first"), "first", "left").groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("class_id"))
     classes = staged(classes, "dart-class-ids")
