@@ -17,7 +17,7 @@ c AS (SELECT *, concat_ws(',', CASE WHEN coalesce(abs(op - price) > 0.01, true)
   CASE WHEN os IS DISTINCT FROM sale_status THEN 'sale_status' END,
   CASE WHEN ok IS DISTINCT FROM stock_status THEN 'stock_status' END,
   CASE WHEN lower(trim(coalesce(ot, ''))) <> lower(trim(coalesce(title, ''))) THEN 'title' END,
-  CASE WHEN substr(lower(trim(coalesce(od, ''))), 1, 500) <> substr(lower(trim(coalesce(description, ''))), 1, 500) THEN 'description' END,
+  CASE WHEN lower(trim(coalesce(od, ''))) <> lower(trim(coalesce(description, ''))) THEN 'description' END,
   CASE WHEN coalesce(oi, '') <> image_csv THEN 'images' END) AS changed FROM j),
 a AS (SELECT *, CASE WHEN NOT success THEN 'failed' WHEN stock_status IN ('no_longer_available', 'delisted') THEN 'delisted'
   WHEN coalesce(shopify_id, 0) = 0 THEN 'not_found' WHEN changed = '' THEN 'unchanged' ELSE 'updated' END AS action FROM c)

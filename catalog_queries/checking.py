@@ -69,7 +69,7 @@ def ads(v):
 
 @query("F4_page_validity", f"""
 WITH p AS (SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN 'revolve' ELSE 'hm' END AS retailer FROM pages),
-e AS (SELECT *, CASE WHEN length(html) < 1000 THEN 'too_short' WHEN length(html) < 500000 THEN {"CASE " + " ".join(f"WHEN contains(lower(html), '{p}') THEN 'blocked: {p}'" for p in quality.BLOCK_PHRASES) + " END"} END AS error FROM p)
+e AS (SELECT *, CASE WHEN length(html) < 1000 THEN 'too_short' ELSE {"CASE " + " ".join(f"WHEN contains(lower(html), '{p}') THEN 'blocked: {p}'" for p in quality.BLOCK_PHRASES) + " END"} END AS error FROM p)
 SELECT page_id, error, error IS NULL AS valid, CASE WHEN error IS NULL AND NOT CASE retailer WHEN 'revolve' THEN {sql_any('lower(html)', quality.PAGE_INDICATORS['revolve'])} ELSE {sql_any('lower(html)', quality.PAGE_INDICATORS['hm'])} END THEN 'missing_retailer_indicators' END AS warning FROM e""")
 def validity(v):
     rows = v.pages.withColumn("retailer", F.when(F.col("page_id") % 2 == 0, "revolve").otherwise("hm"))
@@ -84,9 +84,9 @@ BARE = "rtrim(regexp_replace(regexp_replace({}, 'https?://(www\\.)?', ''), '\\?.
 
 
 @query("F5_homepage_redirect", f"""
-WITH s AS (SELECT *, regexp_extract(content[1:500], 'URL Source:\\s*(https?://[^\\s\\n]+)', 1) AS src FROM b_replies),
+WITH s AS (SELECT *, regexp_extract(content, 'URL Source:\\s*(https?://[^\\s\\n]+)', 1) AS src FROM b_replies),
 k AS (SELECT *, {BARE.format('src')} AS got, {BARE.format('url')} AS asked FROM s)
-SELECT page_id, {sql_any('content[1:300]', quality.HOMEPAGE_PHRASES)} OR (src <> '' AND NOT contains(got, asked) AND NOT contains(asked, got)) AS redirected FROM k""")
+SELECT page_id, {sql_any('content', quality.HOMEPAGE_PHRASES)} OR (src <> '' AND NOT contains(got, asked) AND NOT contains(asked, got)) AS redirected FROM k""")
 def redirects(v):
     return v.b_replies.select("page_id", quality.homepage_redirect(
         F.col("content"), F.col("url")).alias("redirected"))
@@ -98,7 +98,7 @@ SELECT page_id, md5(CASE WHEN length(html) > 40000 THEN substr(html, CASE WHEN a
   length(html) // 4 AS tokens, length(html) // 4 > 15000 AS too_large FROM m""")
 def window(v):
     return quality.size_gate(v.pages).select(
-        "page_id", F.md5(quality.listing_window(F.col("html"))).alias("window_hash"),
+        "page_id", F.md5(quality.listing_window(F.col("html"), 40000)).alias("window_hash"),
         "tokens", "too_large")
 
 
@@ -400,12 +400,12 @@ def cross_check(v):
 
 @query("X20_sequence_ratio")
 def ratios(v):
-    left = v.part.select(F.lower("p_name").alias("lt")).distinct()
-    right = v.supplier.select(F.lower("s_name").alias("rt"), F.col("s_nationkey")).join(
-        v.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.lower("n_name").alias("rt")).distinct()
-    pairs = left.withColumn("k", F.substring("lt", 1, 1)).join(
-        right.withColumn("k", F.substring("rt", 1, 1)), "k").select("lt", "rt", F.lit(1).alias("shared"))
+    """Every part and supplier that were ever ordered together."""
+    rows = v.lineitem.select("l_partkey", "l_suppkey").distinct()
+    rows = rows.join(v.part, F.col("l_partkey") == F.col("p_partkey")).join(
+        v.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = rows.select(F.lower("p_name").alias("lt"), F.lower("s_name").alias("rt")).distinct().select(
+        "lt", "rt", F.lit(1).alias("shared"))
     return fuzzy.scored_title_pairs(pairs, 0.0)
 
 

@@ -158,12 +158,14 @@ he AS (SELECT DISTINCT retailer, catalog_url AS k FROM h),
 n AS (SELECT retailer, {V1.format('url')} AS k, min(url) AS u FROM b_products GROUP BY ALL),
 c AS (SELECT retailer, product_code AS k, min(url) AS u FROM b_products GROUP BY ALL),
 t AS (SELECT retailer, lower(trim(title)) AS k, price, min(url) AS u FROM b_products WHERE price <> 0 GROUP BY ALL),
+hc AS (SELECT retailer, product_code AS k, min(catalog_url) AS u FROM h GROUP BY ALL),
 ht AS (SELECT retailer, lower(trim(title)) AS k, price, min(catalog_url) AS u FROM h WHERE price <> 0 GROUP BY ALL),
-j AS (SELECT m.*, e.u AS eu, he.k AS hu, n.u AS nu, c.u AS cu, t.u AS tu, ht.u AS htu FROM m
+j AS (SELECT m.*, e.u AS eu, he.k AS hu, n.u AS nu, coalesce(c.u, hc.u) AS cu, t.u AS tu, ht.u AS htu FROM m
   LEFT JOIN e ON m.catalog_url = e.k
   LEFT JOIN he ON m.retailer = he.retailer AND m.catalog_url = he.k
   LEFT JOIN n ON m.retailer = n.retailer AND {V1.format('m.catalog_url')} = n.k
   LEFT JOIN c ON m.retailer = c.retailer AND m.product_code = c.k
+  LEFT JOIN hc ON m.retailer = hc.retailer AND m.product_code = hc.k
   LEFT JOIN t ON m.retailer = t.retailer AND lower(trim(m.title)) = t.k AND m.price = t.price
   LEFT JOIN ht ON m.retailer = ht.retailer AND lower(trim(m.title)) = ht.k AND m.price = ht.price)
 SELECT l_orderkey, l_linenumber,
@@ -239,12 +241,31 @@ LINKS_SQL = CASCADE_SQL + """, links AS (SELECT *, coalesce(eu, nu, cu, tu) AS u
 """
 
 
+def all_links(v):
+    return linking.backfill_links(v.b_snapshots, v.b_products)
+
+
 def key_links(v):
     """Links of the key levels only, so that plain SQL can check what is built on them."""
     return linking.backfill_links(v.b_snapshots, v.b_products, fuzzy_level=False)
 
 
-@query("A1_linking_statistics", LINKS_SQL + """
+@query("A1_linking_statistics")
+def linking_statistics(v):
+    return patterns.linking_statistics(all_links(v))
+
+
+@query("A2_retailer_patterns")
+def retailer_patterns(v):
+    return patterns.retailer_patterns(all_links(v))
+
+
+@query("A20_linking_summary")
+def linking_summary(v):
+    return patterns.linking_summary(all_links(v))
+
+
+@query("A1_linking_statistics_by_keys", LINKS_SQL + """
 SELECT retailer, count(*) AS total, count(u) AS linked, count(*) FILTER (conf >= 0.95) AS high_confidence,
   count(*) FILTER (conf >= 0.85 AND conf < 0.95) AS medium_confidence, count(*) - count(u) AS unlinked,
   count(*) FILTER (link_method = 'exact_url') AS by_exact_url,
@@ -253,11 +274,11 @@ SELECT retailer, count(*) AS total, count(u) AS linked, count(*) FILTER (conf >=
   count(*) FILTER (link_method = 'exact_title_price') AS by_exact_title_price,
   count(*) FILTER (link_method = 'fuzzy_title_price') AS by_fuzzy_title_price
 FROM links GROUP BY ROLLUP (retailer)""")
-def linking_statistics(v):
+def linking_statistics_by_keys(v):
     return patterns.linking_statistics(key_links(v))
 
 
-@query("A2_retailer_patterns", LINKS_SQL + """,
+@query("A2_retailer_patterns_by_keys", LINKS_SQL + """,
 a AS (SELECT retailer, count(*) AS total, count(u) AS linked, count(*) FILTER (u IS NOT NULL AND u <> catalog_url) AS changes,
   sum(conf::DECIMAL(18,6))::DOUBLE AS s FROM links GROUP BY retailer),
 mm AS (SELECT retailer, link_method, count(*) AS k FROM links WHERE u IS NOT NULL GROUP BY ALL),
@@ -266,7 +287,7 @@ SELECT a.retailer, round(1.0 - changes / linked, 6) AS url_stability_score, link
   round(1.0 - changes / linked, 6) > 0.80 AS path_stable, best_dedup_method,
   round(s / linked, 6) AS dedup_confidence_threshold, changes AS url_changes_detected
 FROM a JOIN best USING (retailer) WHERE linked > 0""")
-def retailer_patterns(v):
+def retailer_patterns_by_keys(v):
     out = patterns.retailer_patterns(key_links(v))
     return out.select("retailer", F.round("url_stability_score", 6).alias("url_stability_score"),
                       "sample_size", "path_stable", "best_dedup_method",
@@ -274,10 +295,10 @@ def retailer_patterns(v):
                       "url_changes_detected")
 
 
-@query("A20_linking_summary", LINKS_SQL + """
+@query("A20_linking_summary_by_keys", LINKS_SQL + """
 SELECT link_method, count(*) AS n, (sum(conf::DECIMAL(18,6)) / count(*))::DECIMAL(18,3)::DOUBLE AS mean_confidence
 FROM links WHERE u IS NOT NULL GROUP BY link_method""")
-def linking_summary(v):
+def linking_summary_by_keys(v):
     return patterns.linking_summary(key_links(v))
 
 

@@ -90,7 +90,7 @@ def page_titles(v):
 @query("E4_listing_links", """
 WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>.*?</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>.*?</a>', 1), 1) AS pos FROM pages)
 SELECT page_id, (pos - 1)::BIGINT AS position, CASE WHEN starts_with(href, '/') THEN concat('https://www.site.com', href) ELSE href END AS url, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS title
-FROM a WHERE contains(href, '/') AND pos <= 100 AND (starts_with(href, '/') OR starts_with(href, 'http'))""")
+FROM a WHERE contains(href, '/') AND (starts_with(href, '/') OR starts_with(href, 'http'))""")
 def links(v):
     rows = v.pages.withColumn("retailer", F.lit("site"))
     return extraction.listing_links(rows).withColumn("position", F.col("position").cast("long"))
@@ -129,7 +129,7 @@ def fallback(v):
 
 @query("E7_listings_with_fallback", """
 WITH a AS (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS n FROM pages)
-SELECT page_id, CASE WHEN n >= 10 THEN 'rules' ELSE 'reply' END AS method, CASE WHEN n >= 10 THEN least(n, 100) ELSE 1 END AS rows FROM a""")
+SELECT page_id, CASE WHEN n >= 10 THEN 'rules' ELSE 'reply' END AS method, CASE WHEN n >= 10 THEN n ELSE 1 END AS rows FROM a""")
 def listing_fallback(v):
     rows = v.pages.withColumn("retailer", F.lit("site"))
     replies = v.pages.select("page_id", F.lit(0).alias("position"), "url", F.lit("reply").alias("title"))
@@ -139,7 +139,7 @@ def listing_fallback(v):
 
 @query("E9_product_section", """
 WITH c AS (SELECT p_partkey, title, printf('%.2f', price) AS pr, concat('https://lp2.hm.com/hmgoepprod?set=', p_partkey, '-', repeat('x', 60)) AS i FROM b_products_full)
-SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('# ', title, chr(10), chr(10), 'Price: $', pr, chr(10), chr(10), 'Images:', chr(10), i, 'a', chr(10), i, 'b', chr(10), chr(10)) END AS section FROM c""")
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('# ', title, chr(10), chr(10), 'Price: $', pr, chr(10), chr(10), 'Images:', chr(10), i, 'a', chr(10), i, 'b', chr(10), chr(10)) ELSE concat('# ', title, chr(10), chr(10), 'Price: $', pr, chr(10), chr(10)) END AS section FROM c""")
 def section(v):
     i = F.concat(F.lit("https://lp2.hm.com/hmgoepprod?set="), F.col("p_partkey"), F.lit("-"), F.repeat(F.lit("x"), 60))
     few = F.concat(F.lit("intro\n# "), F.col("title"), F.lit("\nnow $"), F.format_string("%.2f", "price"))

@@ -43,13 +43,14 @@ def ingest(v):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("ST2_suppress_repeats")
+@query("ST2_suppress_repeats", """
+SELECT DISTINCT lower(rtrim(regexp_replace(catalog_url, '[?#].*$', ''), '/')) AS url_key, discovered_date AS seen_on FROM b_snapshots""")
 def repeats(v):
     live = StreamViews(v, ["lineitem"])
     rows = live.b_snapshots.select(F.col("catalog_url").alias("url"), F.col(
         "discovered_date").cast("timestamp").alias("seen_at"), "retailer")
     out = running.append_available(jobs.suppress_repeats(rows, "seen_at"), *folders(v, "repeats"))
-    return out.select("url_key", "retailer")
+    return out.select("url_key", F.to_date("seen_at").alias("seen_on"))
 
 
 @query("ST3_price_alerts", """
@@ -66,10 +67,9 @@ def alerts(v):
 @query("ST4_retailer_state", "SELECT retailer, sample_size, url_changes_detected, best_dedup_method, dedup_confidence_threshold FROM (" + FOLD + ")")
 def state(v):
     live = StreamViews(v, ["events"])
-    out = running.update_available(jobs.retailer_state(live.b_attempts), *folders(v, "state"))
-    cols = ["url_changes_detected", "best_dedup_method", "dedup_confidence_threshold"]
-    return out.groupBy("retailer").agg(F.max(F.struct("sample_size", *cols)).alias("m")) \
-        .select("retailer", "m.*")
+    rows = live.b_attempts.select("retailer", "seq", "method", "success", "confidence", "url_changed")
+    out = running.update_available(rows, *folders(v, "state"), apply=jobs.retailer_state(), mode="append")
+    return running.latest_updates(out, ["retailer"])
 
 
 RATES = """
@@ -102,18 +102,22 @@ def sliding_batch(v):
                  "window_start", "window_end")
 
 
-@query("ST5_hourly_rates_stream")
+@query("ST5_hourly_rates_stream", RATES)
 def hourly_stream(v):
+    """Windows as they stand when the input ends: the last update of each, open ones too."""
     rates = jobs.success_rates(timed(StreamViews(v, ["events"])), "attempted_at", "1 hour")
-    return plain(running.append_available(rates, *folders(v, "rates")),
-                 "window_start", "window_end")
+    out = running.latest_updates(running.update_available(rates, *folders(v, "rates")), ["retailer", "window_start", "window_end"])
+    return plain(out.withColumn("success_rate", F.round("success_rate", 6)), "window_start", "window_end")
 
 
-@query("ST6_review_sessions_batch", """
+SESSIONS = """
 WITH e AS (SELECT concat('rev', CAST(user_id % 7 AS STRING)) AS reviewed_by, ts FROM events),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM e WINDOW w AS (PARTITION BY reviewed_by ORDER BY ts)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY reviewed_by ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT reviewed_by, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS reviews FROM s GROUP BY reviewed_by, k""")
+SELECT reviewed_by, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS reviews FROM s GROUP BY reviewed_by, k"""
+
+
+@query("ST6_review_sessions_batch", SESSIONS)
 def sessions_batch(v):
     return plain(jobs.review_sessions(reviews(v), "reviewed_at"), "session_start", "session_end")
 
@@ -123,11 +127,12 @@ def reviews(v):
                            .alias("reviewed_by"), F.col("ts").cast("timestamp").alias("reviewed_at"))
 
 
-@query("ST6_review_sessions_stream")
+@query("ST6_review_sessions_stream", SESSIONS)
 def sessions_stream(v):
-    live = jobs.review_sessions(reviews(StreamViews(v, ["events"])), "reviewed_at")
-    return plain(running.append_available(live, *folders(v, "sessions")),
-                 "session_start", "session_end")
+    out = running.update_available(reviews(StreamViews(v, ["events"])), *folders(v, "sessions"),
+                                   apply=jobs.merged_sessions("reviewed_at"), mode="append")
+    newest = out.agg(F.max("batch_id")).first()[0]
+    return plain(out.filter(F.col("batch_id") == newest).drop("batch_id"), "session_start", "session_end")
 
 
 @query("ST7_classify_micro_batches")

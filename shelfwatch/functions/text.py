@@ -129,8 +129,7 @@ def parse_sizes(text: Column) -> Column:
            .when(F.contains(text, F.lit(",")), _split_list(text)))
     for span, sizes in SIZE_RANGES.items():
         out = out.when(text == span, F.array(*[F.lit(s) for s in sizes]))
-    ranged = F.contains(text, F.lit("-")) & (F.length(text) < 10)
-    return out.when(ranged, F.array(text)).otherwise(F.array(F.trim(text)))
+    return out.otherwise(F.array(F.trim(text)))
 
 
 def parse_colors(text: Column) -> Column:

@@ -36,8 +36,8 @@ def changed_fields(old: str, new: str) -> Column:
     """Names of the fields that differ between two struct columns.
 
     Prices within a cent are equal, a missing price on either side is a change;
-    titles compare trimmed and lower case, descriptions by their first 500
-    characters, image lists as sets.
+    titles and whole descriptions compare trimmed and lower case, image lists as
+    sets.
     """
     def o(n):
         return F.col(f"{old}.{n}")
@@ -58,8 +58,7 @@ def changed_fields(old: str, new: str) -> Column:
         ("sale_status", differs("sale_status")),
         ("stock_status", differs("stock_status")),
         ("title", words(o("title")) != words(n("title"))),
-        ("description", F.substring(words(o("description")), 1, 500)
-         != F.substring(words(n("description")), 1, 500)),
+        ("description", words(o("description")) != words(n("description"))),
         ("images", _set_text(o("image_urls")) != _set_text(n("image_urls"))),
     ]
     return F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests]))

@@ -44,9 +44,9 @@ STATE_PATHS = {
 # Listing-tile rules per retailer.
 TILE_RULES = {
     "anthropologie": {"marker": r'<[a-z]+\b[^>]*class="[^"]*\bo-pwa-product-tile(?![\w-])[^"]*"[^>]*>',
-                      "link": r'href="([^"?]*/shop/[^"?]*)', "low": 10, "high": 5000, "cap": 150},
+                      "link": r'href="([^"?]*/shop/[^"?]*)', "low": 10, "high": 5000},
     "revolve": {"marker": r'<li\b[^>]*class="[^"]*\bplp__product(?![\w-])[^"]*"[^>]*>',
-                "link": r'href="([^"?]*/dp/[^"?]*)', "low": 15, "high": 2000, "cap": 100},
+                "link": r'href="([^"?]*/dp/[^"?]*)', "low": 15, "high": 2000},
 }
 
 
@@ -299,23 +299,23 @@ def _with_href(text: str) -> Column:
         F.regexp_extract(a, r'(?i)href="([^"]*)"', 1), F.lit(text)))
 
 
-def listing_links(pages: DataFrame, rules: dict = LINK_RULES, limit: int = 100) -> DataFrame:
-    """Product links of listing pages: the first rule with any, at most ``limit`` a page.
-
-    The limit is the size of a listing, as the job defines it.
-    """
+def listing_links(pages: DataFrame, rules: dict = LINK_RULES, limit: int | None = None) -> DataFrame:
+    """Product links of listing pages: the first rule with any; all of them, or the first ``limit`` of a page."""
     anchors = F.regexp_extract_all("html", F.lit(r'(?is)(<a\b[^>]*href="[^"]*"[^>]*>.*?</a>)'),
                                    F.lit(1))
     rows = computed_once(pages.select("page_id", "retailer", "html"), anchors=anchors)
+    texts = list(dict.fromkeys(t for group in rules.values() for t in group))
+    rows = computed_once(rows, hits=F.array(*[_with_href(t) for t in texts]))
 
-    def picked(texts):
-        return F.coalesce(*[F.when(F.size(_with_href(t)) > 0, _with_href(t)) for t in texts])
+    def picked(group):
+        tried = [F.get("hits", F.lit(texts.index(t))) for t in group]
+        return F.coalesce(*[F.when(F.size(x) > 0, x) for x in tried])
 
     chosen = picked(rules["*"])
-    for name, texts in rules.items():
+    for name, group in rules.items():
         if name != "*":
-            chosen = F.when(F.col("retailer") == name, picked(texts)).otherwise(chosen)
-    out = rows.select("page_id", "retailer", F.posexplode(F.slice(chosen, 1, limit))
+            chosen = F.when(F.col("retailer") == name, picked(group)).otherwise(chosen)
+    out = rows.select("page_id", "retailer", F.posexplode(chosen if limit is None else F.slice(chosen, 1, limit))
                       .alias("position", "a"))
     href = F.regexp_extract("a", r'(?i)href="([^"]*)"', 1)
     return (out.select("page_id", "position",
@@ -329,7 +329,7 @@ def listing_tiles(pages: DataFrame, rules: dict = TILE_RULES) -> DataFrame:
     """Listing tiles: url, title, price in the retailer's range, position; first per url."""
     parts = None
     for name, r in rules.items():
-        cut = F.slice(F.split("html", r["marker"]), 2, r["cap"])
+        cut = F.slice(F.split("html", r["marker"]), 2, 2**31 - 1)  # what stands before the first tile is left out
         parts = F.when(F.col("retailer") == name, cut) if parts is None else parts.when(
             F.col("retailer") == name, cut)
     rows = pages.select("page_id", "retailer", F.posexplode(parts).alias("position", "tile"))
@@ -365,18 +365,21 @@ def tile_coverage(tiles: DataFrame) -> DataFrame:
         F.count("price").alias("with_prices"))
 
 
-def product_section(content: Column) -> Column:
-    """Heading, first price and image links of a long reply; NULL if too little is left."""
+def product_section(content: Column, links: int | None = None, at_least: int = 0) -> Column:
+    """Heading, first price and image links of a long reply.
+
+    All links, or the first ``links``; NULL where no more than ``at_least`` characters are left (0: never NULL).
+    """
     title = F.regexp_extract(content, r"# (.*?)\n", 1)
     price = F.regexp_extract(content, r"(\$\d+\.\d+|\$\d+)", 1)
-    links = F.slice(F.regexp_extract_all(
-        content, F.lit(r"(https?://lp2\.hm\.com/hmgoepprod\?[^\s\)]+)"), F.lit(1)), 1, 10)
+    found = F.regexp_extract_all(content, F.lit(r"(https?://lp2\.hm\.com/hmgoepprod\?[^\s\)]+)"), F.lit(1))
+    found = found if links is None else F.slice(found, 1, links)
     section = F.concat(
         F.lit("# "), title, F.lit("\n\n"),
         F.when(price != "", F.concat(F.lit("Price: "), price, F.lit("\n\n"))).otherwise(""),
-        F.when(F.size(links) > 0, F.concat(F.lit("Images:\n"), F.array_join(links, "\n"),
+        F.when(F.size(found) > 0, F.concat(F.lit("Images:\n"), F.array_join(found, "\n"),
                                            F.lit("\n\n"))).otherwise(""))
-    return F.when(F.length(section) > 200, section)
+    return F.when(F.length(section) > at_least, section)
 
 
 # --- fallbacks ---------------------------------------------------------------------------------

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPREAD = 512
-
-
 def spread_nulls(key: Column, by: Column) -> Column:
-    """Replace NULL keys by one of many values that match nothing.
+    """Replace NULL keys by values that match nothing, one per value of ``by``.
 
     A left join sends every NULL key to the same task; rows without a code or
     title would pile up there.
     """
-    return F.coalesce(key, F.concat(
-        F.lit("\u0000"), F.pmod(F.xxhash64(by), F.lit(_SPREAD)).cast("string")))
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(by).cast("string")))
 
 
 def smallest_per_key(table: DataFrame, keys: dict[str, Column], value: str, name: str) -> DataFrame:

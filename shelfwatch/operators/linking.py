@@ -424,6 +424,11 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
         "retailer", F.col("code").alias("_k"), F.col("url").alias("_inside"))
     chain = _add_hit(chain, inside, {"_k": spread_nulls(F.col("_c"), by)}, "_inside")
     hits.append("_inside")
+    if history is not None:
+        seen_code = smallest_per_key(
+            history, {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}, "catalog_url", "_seencode")
+        chain = _add_hit(chain, seen_code, {"_k": spread_nulls(F.col("_c"), by)}, "_seencode")
+        hits.append("_seencode")
     title = title_key(F.col("title"))
     tp_key = {"_t": spread_nulls(F.nullif(title, F.lit("")), by), "_p": F.col("price")}
     priced = smallest_per_key(products.filter(_truthy_price(F.col("price"))),
@@ -437,7 +442,7 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
         chain = _add_hit(chain, seen_tp, tp_key, "_seentp")
         hits.append("_seentp")
     method_of = {"_exact": "exact_url", "_seen": "exact_url", "_norm": "normalized_url",
-                 "_code": "product_code", "_inside": "product_code", "_tp": "title_price",
+                 "_code": "product_code", "_inside": "product_code", "_seencode": "product_code", "_tp": "title_price",
                  "_seentp": "title_price"}
     known = list(hits)
     outcome = [(h, "confirmed_existing", method_of[h], F.lit(CLASS_CONFIDENCE[method_of[h]]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import similarity as S
@@ -10,7 +12,7 @@ from shelfwatch.functions import text as X
 from shelfwatch.functions import urls as U
 from shelfwatch.functions.prices import price_first_number
 from shelfwatch.functions.text import contains_any
-from shelfwatch.operators.keyed import spread_for_compute
+from shelfwatch.operators.keyed import computed_once, spread_for_compute
 
 # Texts of a blocked page, and words every retailer's page has.
 BLOCK_PHRASES = [
@@ -76,14 +78,15 @@ LISTING_MARKERS = ["product-card", "ProductCard", "product-item", "data-product"
 # --- pages ---------------------------------------------------------------------------
 
 def page_validity(pages: DataFrame) -> DataFrame:
-    """``valid``, ``error`` and ``warning`` per page; the whole page is searched."""
-    low, size = F.lower("html"), F.length("html")
+    """``valid``, ``error`` and ``warning`` per page; the whole page is searched, whatever its size."""
+    pages = computed_once(pages, _low=F.lower("html"))
+    low, size = F.col("_low"), F.length("html")
     blocked = None
     for p in BLOCK_PHRASES:
         hit = F.contains(low, F.lit(p))
         blocked = F.when(hit, p) if blocked is None else blocked.when(hit, p)
-    error = F.when(size < 1000, F.lit("too_short")).when(
-        size < 500000, F.concat(F.lit("blocked: "), blocked))
+    any_phrase = low.rlike("|".join(re.escape(p) for p in BLOCK_PHRASES))
+    error = F.when(size < 1000, F.lit("too_short")).when(any_phrase, F.concat(F.lit("blocked: "), blocked))
     name = F.regexp_replace(F.lower("retailer"), "[ &]", "")
     found = None
     for retailer, words in PAGE_INDICATORS.items():
@@ -93,28 +96,28 @@ def page_validity(pages: DataFrame) -> DataFrame:
     return pages.withColumns({
         "error": error, "valid": error.isNull(),
         "warning": F.when(error.isNull() & ~F.coalesce(found, F.lit(True)),
-                          F.lit("missing_retailer_indicators"))})
+                          F.lit("missing_retailer_indicators"))}).drop("_low")
 
 
 def homepage_redirect(content: Column, url: Column) -> Column:
     """A home page title, or a source line that names another page."""
-    source = F.regexp_extract(F.substring(content, 1, 500),
-                              r"URL Source:\s*(https?://[^\s\n]+)", 1)
+    source = F.regexp_extract(content, r"URL Source:\s*(https?://[^\s\n]+)", 1)
     asked, got = U.url_key_v4(url), U.url_key_v4(source)
     other = (source != "") & ~F.contains(got, asked) & ~F.contains(asked, got)
-    return contains_any(F.substring(content, 1, 300), HOMEPAGE_PHRASES) | other
+    return contains_any(content, HOMEPAGE_PHRASES) | other
 
 
-def listing_window(content: Column) -> Column:
+def listing_window(content: Column, budget: int | None = None) -> Column:
     """The part of a long listing page that holds products.
 
-    Pages up to 40 000 characters stay whole. Longer ones are cut to 40 000
-    from 500 before the first marker: the window of the extraction step, not a
-    limit on what other operators read.
+    Without a ``budget`` pages stay whole. With one, longer pages are cut to so many characters from 500 before the
+    first marker: for a reader that takes no more, never ahead of another operator.
     """
+    if budget is None:
+        return content
     at = F.least(*[F.nullif(F.instr(content, m), F.lit(0)) for m in LISTING_MARKERS])
     start = F.when(at > 1, F.greatest(at - 500, F.lit(1))).otherwise(F.lit(1))
-    return F.when(F.length(content) > 40000, F.substring(content, start, F.lit(40000))) \
+    return F.when(F.length(content) > budget, F.substring(content, start, F.lit(budget))) \
         .otherwise(content)
 
 
@@ -123,8 +126,10 @@ def size_gate(pages: DataFrame, content: str = "html") -> DataFrame:
     return pages.withColumns({"tokens": tokens, "too_large": tokens > 15000})
 
 
-def truncated(text: Column, max_tokens: int = 100000) -> Column:
-    """Text within a token budget for a reply service, marked where it was cut."""
+def truncated(text: Column, max_tokens: int | None = None) -> Column:
+    """Text within a token budget, marked where it was cut; whole without a budget."""
+    if max_tokens is None:
+        return text
     limit = max_tokens * 4
     return F.when(F.length(text) <= limit, text).otherwise(
         F.concat(F.substring(text, 1, limit), F.lit("\n\n[HTML TRUNCATED]")))
@@ -234,7 +239,7 @@ def missing_image_failures(products: DataFrame) -> DataFrame:
 def reconcile_by_position(first: DataFrame, second: DataFrame) -> DataFrame:
     """Merge two extractions of a page row by row where both found as many rows.
 
-    The second gives title and price. A title similarity under 0.7 or a price
+    Rows are matched by their order on the page, whatever numbers the positions are. The second gives title and price. A title similarity under 0.7 or a price
     difference of 1 or more is a mismatch; under 0.5 or from 5 on the first
     extraction overrides. ``first`` has (page_id, position, url, dom_title,
     dom_price), ``second`` (page_id, position, title, price).
@@ -242,7 +247,10 @@ def reconcile_by_position(first: DataFrame, second: DataFrame) -> DataFrame:
     counts = (first.groupBy("page_id").agg(F.count(F.lit(1)).alias("n1"))
               .join(second.groupBy("page_id").agg(F.count(F.lit(1)).alias("n2")), "page_id")
               .filter("n1 = n2").select("page_id"))
-    rows = first.join(counts, "page_id", "left_semi").join(second, ["page_id", "position"])
+    order = Window.partitionBy("page_id").orderBy("position")
+    place = lambda rows: rows.withColumn("_nth", F.row_number().over(order))
+    rows = place(first.join(counts, "page_id", "left_semi")).join(
+        place(second).drop("position"), ["page_id", "_nth"]).drop("_nth")
     both_t = ~_no_text("dom_title") & ~_no_text("title")
     dom_price = price_first_number(F.col("dom_price"), None)
     rows = rows.withColumns({
@@ -276,13 +284,13 @@ def reconcile_by_slug(first: DataFrame, second: DataFrame) -> DataFrame:
     rows = second.withColumn("low", F.lower(F.coalesce("title", F.lit(""))))
     a, b = F.length("low"), F.length("slug")
     reach = 2.0 * F.least(a, b) / F.nullif(a + b, F.lit(0)) > threshold
-    pairs = (rows.select("page_id", "low").distinct()
-             .join(links.select("page_id", "slug").distinct(), "page_id").filter(reach)
-             .select("low", "slug").distinct())
+    on_page = (rows.select("page_id", "low").distinct()
+               .join(links.select("page_id", "slug").distinct(), "page_id").filter(reach))
+    pairs = on_page.select("low", "slug").distinct()
     scored = (spread_for_compute(pairs, "low", "slug")
               .withColumn("similarity", S.sequence_ratio()(F.col("low"), F.col("slug")))
               .filter(F.col("similarity") > threshold))
-    best = (rows.join(scored, "low").join(links, ["page_id", "slug"])
+    best = (rows.join(on_page.join(scored, ["low", "slug"]), ["page_id", "low"]).join(links, ["page_id", "slug"])
             .groupBy("page_id", "position", "title", "price")
             .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "link_position", "url"))
                  .alias("m"))

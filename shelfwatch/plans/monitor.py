@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.operators import changes, linking, patterns, profiles, review
+from shelfwatch.operators import changes, linking, patterns, profiles, quality, review
 from shelfwatch.schemas import DOMAINS
 
 
@@ -28,21 +28,36 @@ def monitor_report(listings: DataFrame, products: DataFrame) -> DataFrame:
     return changes.unionByName(fresh)
 
 
+def new_items(found: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(review items, drafts) of classified listings.
+
+    New listings go to the modesty review with normal priority, suspected duplicates to the duplicate review with low
+    priority. Where the garment type is known, one retailer's new listings of other types become drafts instead.
+    """
+    suspect = F.col("status") == "suspected_duplicate"
+    route = F.lit("assessment")
+    if "clothing_type" in found.columns:
+        route = F.when(suspect, "assessment").otherwise(quality.assessment_route(F.col("retailer"), F.col("clothing_type")))
+    rows = found.filter(F.col("status") != "confirmed_existing").withColumn("route", route)
+    items = rows.filter("route = 'assessment'").select(
+        seq, F.col("catalog_url").alias("product_url"), "retailer",
+        F.when(suspect, "duplication").otherwise("modesty").alias("review_type"),
+        F.when(suspect, "low").otherwise("normal").alias("priority"),
+        F.lit("catalog_monitor").alias("source_workflow"), F.col("matched_url").alias("suspected_match"))
+    return items, rows.filter("route = 'draft'").drop("route")
+
+
 def monitor_run(listings: DataFrame, products: DataFrame, queue: DataFrame, category, as_of,
                 seq: str, history: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All outputs of one monitor run: snapshot, price changes, queue items, counters."""
+    """All outputs of one monitor run: snapshot, price changes, queue items, drafts, counters."""
     rows = linking.unify_fields(listings)
     found = linking.classify_listings(rows, products, history)
-    suspect = F.col("status") == "suspected_duplicate"
-    items = found.filter(F.col("status") != "confirmed_existing").select(
-        seq, F.col("catalog_url").alias("product_url"), "retailer",
-        F.when(suspect, "duplication").otherwise("modesty").alias("review_type"),
-        F.when(suspect, "normal").otherwise("high").alias("priority"),
-        F.lit("catalog_monitor").alias("source_workflow"))
+    items, drafts = new_items(found, seq)
     return {
         "snapshot": changes.snapshot_rows(rows, category, as_of),
         "price_changes": linking.price_changes(rows, products, as_of),
         "queue_items": review.add_to_queue(queue, items, as_of, seq),
+        "drafts": drafts,
         "counters": profiles.run_counters(found, "retailer", "status", DOMAINS["match_status"]),
     }
 

@@ -34,11 +34,15 @@ def apply_recommended(builder):
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test session) is a fresh local
-    folder made, once per session, and written back to the session's setting.
+    A cluster must name one. Only a session whose tasks all run in this process
+    (master ``local``) gets a fresh local folder, once, and written back to the
+    session's setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="shelfwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -1,8 +1,9 @@
 """Writers. Each takes rows an operator made and appends or replaces whole files.
 
 Output folders are partitioned by columns readers prune on. Rows are spread by
-those columns plus a salt before the write, so one large retailer or day is
-written by many tasks and still in few files.
+those columns before the write and large partitions are split by their measured
+size, so one large retailer or day is written by many tasks. Nothing random takes
+part, so a task that runs again writes the same rows.
 """
 
 from __future__ import annotations
@@ -12,15 +13,11 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.urls import url_hash
 from shelfwatch.operators.ordered import top_per_key
+from shelfwatch.session import staged
 
-FILES_PER_PARTITION = 8
 
-
-def append_partitioned(rows: DataFrame, path: str, by: list[str],
-                       files: int = FILES_PER_PARTITION) -> None:
-    salted = rows.withColumn("_salt", F.floor(F.rand() * files).cast("int"))
-    (salted.repartition(*by, "_salt").drop("_salt").write.mode("append")
-     .partitionBy(*by).parquet(path))
+def append_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
+    rows.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def append_snapshot(rows: DataFrame, path: str) -> None:
@@ -51,6 +48,7 @@ def write_failures(failures: DataFrame, path: str) -> None:
 
     One line per record and no collected list: a run may fail on every row.
     """
+    failures = staged(failures, "failures")  # its two outputs must not run the job twice
     failures.write.mode("append").partitionBy("workflow", "batch_id").json(f"{path}/records")
     failure_headers(failures).write.mode("append").json(f"{path}/headers")
 

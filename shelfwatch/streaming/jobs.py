@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.urls import url_key_v3
 from shelfwatch.operators import changes, linking, review
-from shelfwatch.streaming.running import use_rocksdb
+from shelfwatch.plans import monitor
+from shelfwatch.streaming.running import latest_updates, use_rocksdb
 
 
 def snapshot_stream(listings: DataFrame, category: Column) -> DataFrame:
@@ -17,12 +18,46 @@ def snapshot_stream(listings: DataFrame, category: Column) -> DataFrame:
 
 def suppress_repeats(listings: DataFrame, ts: str, freshness: str = "24 hours",
                      url: str = "url") -> DataFrame:
-    """First sight of each listing; repeats within the freshness time are dropped.
+    """Sights of each listing, without repeats inside the freshness time of one that was kept.
 
-    State per url is dropped once the watermark passes its time.
+    Rows are taken in event order, whatever micro-batches they come in; a row older than the last kept sight of its
+    url is a repeat. State is one time per url. The result has url_key and the time column, and whatever else the rows
+    of that sight have.
     """
-    return (listings.withColumn("url_key", url_key_v3(F.col(url))).withWatermark(ts, freshness)
-            .dropDuplicatesWithinWatermark(["url_key"]))
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    use_rocksdb(listings.sparkSession)
+    rows = listings.withColumns({"url_key": url_key_v3(F.col(url)), "event_micros": F.unix_micros(F.col(ts))})
+    columns = [c for c in rows.columns if c != "event_micros"]
+    schema = rows.select(*columns).schema
+    span = listings.sparkSession.sql(f"SELECT timestampdiff(MICROSECOND, TIMESTAMP '1970-01-01', TIMESTAMP '1970-01-01' + INTERVAL {freshness}) AS n").first().n
+
+    class LastKept(StatefulProcessor):
+        def init(self, handle):
+            self.last = handle.getValueState("last", "micros bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows)).sort_values("event_micros", kind="stable")
+            held = self.last.get()
+            held, kept = (held[0] if held else None), []
+            times = batch["event_micros"].to_numpy()
+            at = 0
+            while at < len(times):  # from kept sight to kept sight
+                if held is not None:
+                    at = max(at, int(times.searchsorted(held + span)))
+                if at < len(times):
+                    kept.append(at)
+                    held, at = int(times[at]), at + 1
+            if kept:
+                self.last.update((held,))
+                yield batch.iloc[kept][columns]
+
+        def close(self):
+            pass
+
+    return rows.filter(F.col("event_micros").isNotNull()).groupBy("url_key").transformWithStateInPandas(
+        statefulProcessor=LastKept(), outputStructType=schema, outputMode="append", timeMode="none")
 
 
 def price_alerts(listings: DataFrame, min_change: float = 0.01) -> DataFrame:
@@ -71,47 +106,33 @@ def price_alerts(listings: DataFrame, min_change: float = 0.01) -> DataFrame:
         outputMode="append", timeMode="none")
 
 
-def retailer_state(attempts: DataFrame) -> DataFrame:
-    """Running linking policy per retailer, one row per retailer and micro-batch."""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    use_rocksdb(attempts.sparkSession)
-    columns = ["retailer", "sample_size", "url_changes_detected", "best_dedup_method",
-               "dedup_confidence_threshold"]
+def retailer_state():
+    """Function for one micro-batch of attempts: running linking policy of each retailer it holds.
 
-    class Policy(StatefulProcessor):
-        def init(self, handle):
-            self.state = handle.getValueState(
-                "policy", "n bigint, changes bigint, method string, level double")
-
-        def handleInputRows(self, key, rows, timerValues):
-            batch = pd.concat(list(rows)).sort_values("seq")
-            before = self.state.get()
-            held = tuple(before) if before else None
-            n, changed, method, level = held if held else (0, 0, None, None)
-            n += len(batch)
-            changed += int(batch["url_changed"].sum())
-            if held is None:
-                method, level = batch["method"].iloc[0], float(batch["confidence"].iloc[0])
-            good = batch[batch["success"]]
-            if len(good):
-                top = good["confidence"].max()
-                if top > level:
-                    level = float(top)
-                    method = good.loc[good["confidence"] == top, "method"].iloc[0]
-            self.state.update((n, changed, method, level))
-            yield pd.DataFrame([(key[0], n, changed, method, level)], columns=columns)
-
-        def close(self):
-            pass
+    A batch is folded by aggregates (first attempt, best success, counts) and then joined to the policy before it, one
+    row per retailer; nothing is gathered, so a retailer may hold any share of the rows.
+    """
+    held = ["sample_size", "url_changes_detected", "best_dedup_method", "dedup_confidence_threshold"]
+
+    def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        best = F.when(F.col("success"), F.struct("confidence", (-F.col("seq")).alias("early"), "method"))
+        new = batch.groupBy("retailer").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("url_changed").alias("changes"),
+            F.min(F.struct("seq", "method", "confidence")).alias("first"), F.max(best).alias("best"))
+        if earlier is None:
+            rows = new.withColumn("old", F.lit(None).cast(
+                "struct<sample_size bigint, url_changes_detected bigint, best_dedup_method string, dedup_confidence_threshold double>"))
+        else:
+            rows = new.join(latest_updates(earlier, ["retailer"]).select("retailer", F.struct(*held).alias("old")), "retailer", "left")
+        level = F.coalesce("old.dedup_confidence_threshold", "first.confidence")
+        better = F.coalesce(F.col("best.confidence") > level, F.lit(False))
+        return rows.select(
+            "retailer", (F.coalesce("old.sample_size", F.lit(0)) + F.col("n")).alias(held[0]),
+            (F.coalesce("old.url_changes_detected", F.lit(0)) + F.col("changes")).alias(held[1]),
+            F.when(better, F.col("best.method")).otherwise(F.coalesce("old.best_dedup_method", "first.method")).alias(held[2]),
+            F.when(better, F.col("best.confidence")).otherwise(level).alias(held[3]))
 
-    rows = attempts.select("retailer", "seq", "method", "success", "confidence", "url_changed")
-    return rows.groupBy("retailer").transformWithStateInPandas(
-        statefulProcessor=Policy(),
-        outputStructType="retailer string, sample_size bigint, url_changes_detected bigint, "
-                         "best_dedup_method string, dedup_confidence_threshold double",
-        outputMode="update", timeMode="none")
+    return apply
 
 
 def success_rates(attempts: DataFrame, ts: str, width: str, slide: str | None = None,
@@ -136,19 +157,44 @@ def review_sessions(reviews: DataFrame, ts: str, gap: str = "30 minutes",
                     F.col("w.end").alias("session_end"), "reviews"))
 
 
+def merged_sessions(ts: str, gap: str = "30 minutes"):
+    """Function for one micro-batch of reviews: all sessions as they stand after it.
+
+    A batch's rows are first brought down to one row per reviewer and burst, then merged with the sessions of the
+    version before, so a busy reviewer costs a few rows; late rows join what they touch. Open sessions are part of every
+    version, so nothing is left behind when the input ends.
+    """
+    def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        new = (batch.groupBy(F.session_window(ts, gap).alias("w"), "reviewed_by").agg(F.count(F.lit(1)).alias("reviews"))
+               .select("reviewed_by", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "reviews"))
+        if earlier is None:
+            return new
+        newest = earlier.agg(F.max("batch_id")).first()[0]
+        rows = new.unionByName(earlier.filter(F.col("batch_id") == newest).select(new.columns))
+        order = Window.partitionBy("reviewed_by").orderBy("session_start", "session_end")
+        reach = F.max("session_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        first = F.coalesce((F.col("session_start") >= reach).cast("int"), F.lit(1))  # a session ends one gap after its last review
+        rows = rows.withColumn("_first", first).withColumn("_nth", F.sum("_first").over(order))
+        return rows.groupBy("reviewed_by", "_nth").agg(
+            F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+            F.sum("reviews").alias("reviews")).drop("_nth")
+
+    return apply
+
+
 def classify_and_queue(products: DataFrame, queue: DataFrame, as_of: Column, seq: str):
-    """Function for one micro-batch: listings in, queue rows to append out.
+    """Function for one micro-batch: listings and what earlier batches queued in, queue rows to append out.
 
-    New listings go to review, suspected duplicates to the duplicate queue.
+    New listings go to review, suspected duplicates to the duplicate queue; one
+    item per (product_url, review_type), whatever batches the listings come in.
     """
-    def apply(batch: DataFrame) -> DataFrame:
-        found = linking.classify_listings(batch, products)
-        suspect = F.col("status") == "suspected_duplicate"
-        items = found.filter(F.col("status") != "confirmed_existing").select(
-            seq, F.col("catalog_url").alias("product_url"), "retailer",
-            F.when(suspect, "duplication").otherwise("modesty").alias("review_type"),
-            F.lit("normal").alias("priority"), F.lit("catalog_monitor").alias("source_workflow"),
-            F.col("matched_url").alias("suspected_match"))
-        return review.add_to_queue(queue, items, as_of, seq)
+    keys = ["product_url", "review_type"]
+
+    def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        items, _ = monitor.new_items(linking.classify_listings(batch, products), seq)
+        known = queue.select(*keys)
+        if earlier is not None:
+            known = known.unionByName(earlier.select(*keys))
+        return review.add_to_queue(known, items, as_of, seq)
 
     return apply

@@ -7,6 +7,7 @@ it, so that starting it again goes on where it stopped and repeats nothing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,12 +30,18 @@ def update_available(stream: DataFrame, path: str, checkpoint: str, apply=None,
 
     A repeated batch overwrites its own folder, so a restart after a failure
     between write and commit does not double its rows. ``apply`` turns a
-    micro-batch into the rows to write.
+    micro-batch, and what the batches before it have written (None for the
+    first), into the rows to write.
     """
     spark = stream.sparkSession
 
+    def before(batch_id: int) -> DataFrame | None:
+        if not batch_id:
+            return None
+        return spark.read.option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = apply(batch) if apply else batch
+        rows = apply(batch, before(batch_id)) if apply else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     (stream.writeStream.outputMode(mode).foreachBatch(write)
@@ -43,6 +50,13 @@ def update_available(stream: DataFrame, path: str, checkpoint: str, apply=None,
     return spark.read.option("basePath", path).parquet(path)
 
 
+def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of every key among the folders that :func:`update_available` wrote."""
+    rest = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *rest)).alias("m"))
+    return last.select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest])
+
+
 def use_rocksdb(spark) -> None:
     """State kept by arbitrary stateful operators needs the RocksDB provider."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
