@@ -46,13 +46,21 @@ def with_position(df: DataFrame, keys: list[str], chunk: list[str], order: list[
             .withColumn("position", F.col("_before") + F.col("_rn") - 1).drop("_rn", "_before"))
 
 
-def price_history(snapshots: DataFrame, seq: str, width: int = 1_000_000) -> DataFrame:
-    """Price per listing and date with the previous price and the change."""
-    rows = snapshots.withColumn("_chunk", chunk_of(F.col(seq), width))
+def price_history(snapshots: DataFrame, seq: str, width: int = 1_000_000, heavy_rows: int = 100_000) -> DataFrame:
+    """Price per listing and date with the previous price and the change.
+
+    Listings are counted first (combined before the shuffle). Those of up to ``heavy_rows`` rows fit a window of their
+    own, one exchange in all; only larger ones are cut into chunks.
+    """
+    heavy = (snapshots.groupBy("catalog_url").agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > heavy_rows).select("catalog_url"))
+    own = W.partitionBy("catalog_url").orderBy("discovered_date", seq)
+    light = snapshots.filter(F.col("catalog_url").isNotNull()).join(heavy, "catalog_url", "left_anti").withColumn(
+        "previous_price", F.lag("price").over(own))
+    rows = snapshots.join(heavy, "catalog_url", "left_semi").withColumn("_chunk", chunk_of(F.col(seq), width))
     out = with_previous(rows, ["catalog_url"], ["discovered_date", "_chunk"],
-                        ["discovered_date", "_chunk", seq], "price", "previous_price")
-    return out.drop("_chunk").withColumn("price_change",
-                                         F.col("price") - F.col("previous_price"))
+                        ["discovered_date", "_chunk", seq], "price", "previous_price").drop("_chunk")
+    return light.unionByName(out).withColumn("price_change", F.col("price") - F.col("previous_price"))
 
 
 def latest_per_url(snapshots: DataFrame, seq: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch import session
 from shelfwatch.functions import text as X
-from shelfwatch.operators import changes, extraction, linking, quality
+from shelfwatch.operators import changes, extraction, linking, ordered, quality
 from shelfwatch.plans import monitor
 from shelfwatch.sources import sinks
 
@@ -90,3 +90,10 @@ def test_a_cluster_must_name_the_shared_folder():
         session.scratch_root(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs:///scratch/"
     assert session.scratch_root(Session()) == "hdfs:///scratch"
+
+
+def test_price_history_of_heavy_and_light_listings_agrees(spark):
+    rows = [(i, f"u{i % 3}", dt.date(2025, 1, 1 + (i * 7) % 20), float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, catalog_url string, discovered_date date, price double")
+    light, heavy, mixed = (ordered.price_history(df, "seq", 10, n) for n in (10**9, 0, 66))
+    assert set(light.collect()) == set(heavy.select(light.columns).collect()) == set(mixed.select(light.columns).collect())
