@@ -226,7 +226,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     first = signed.groupBy("copy").agg(F.min("id").alias("first"))
     of_copy = staged(signed.select("id", "copy").join(first, "copy").select("id", "first"), "dart-copies")
     alone = of_copy.where("id = first").select("id").distinct()
-    texts = signed.join(alone, "id", "left_semi").dropDuplicates(["id"])
+    texts = staged(signed.join(alone, "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch"), "dart-texts-signed")
     keys = texts.select("id", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     keys = staged(keys.join(sizes, "bucket"), "dart-buckets")
@@ -235,7 +235,8 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     members = staged(keys.join(popular, "id"), "dart-members")
     wanted = members.select("id").distinct()
     whole = rows.select("id", "text").mapInArrow(_pressed, "id long, packed binary")
-    whole = staged(whole.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
+    # Most documents may be wanted: the plan of large tables, at every size.
+    whole = staged(whole.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
 
     def led(rows: DataFrame) -> DataFrame:
         """Rows of buckets in more than one part, each with its bucket's lead."""
