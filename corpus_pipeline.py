@@ -38,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of the ids and of what they decode to."""
     path = tokenizer_path("byte_bpe_50k.json")
     rows = docs.select(F.struct("doc_id", "source", "lang").alias("row"), "text")
-    both = word_table.decode(word_table.encode(rows, path, id_col="row"), path)
+    both = word_table.encode(rows, path, id_col="row", decoded_col="decoded")
     return both.select("row.*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -116,7 +116,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe_words")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    both = word_table.decode(word_table.encode(documents(spark, sf_dir), path), path)
+    both = word_table.encode(documents(spark, sf_dir), path, decoded_col="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from shelfwatch.llm.common import BATCH_ROWS
 
 #: Code points a chunk may hold before the next one begins.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The pre-tokenizer's word pattern (fixed value), its white space class spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -139,8 +139,15 @@ def _parts(sizes: bytes, data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of each row: ``ids`` holds the token ids as little-endian unsigned 32-bit integers."""
+def _text(ids: bytes, table: list[bytes]) -> str:
+    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """(id, ids) of each row: ``ids`` holds the token ids as little-endian unsigned 32-bit integers.
+
+    ``decoded_col`` adds what the ids decode to, as :func:`decode` would, without another pass through Python.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -176,9 +183,12 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         tokenizer.no_truncation()
         tokenizer.no_padding()
         memo: dict[bytes, bytes] = {}
+        at_bucket = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("sizes", "data")}
+                row = {c: batch.column(c)[i].as_py() for c in ("bucket", "sizes", "data")}
+                if row["bucket"] != at_bucket:  # rows come by bucket
+                    at_bucket, memo = row["bucket"], {}
                 words = _parts(row["sizes"], row["data"])
                 new = [w for w in words if w not in memo]
                 memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
@@ -186,6 +196,8 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 yield pa.record_batch([batch.column("chunk").slice(i, 1), batch.column("seal").slice(i, 1), batch.column("codes").slice(i, 1),
                                        pa.array([sizes], pa.binary()), pa.array([data], pa.binary())], ["chunk", "seal", "codes", "sizes", "data"])
 
+    held: dict[str, list[bytes]] = {}  # the piece table, read once in a task
+
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         code, values = [], []
         for c, sizes, data in zip(*(right.column(n).to_pylist() for n in ("codes", "sizes", "data"))):
@@ -206,16 +218,22 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             n = size[at]
             ends = np.cumsum(n)
             out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)].astype("<u4").tobytes())
-        return pa.table([left.column("id"), pa.array(out, pa.binary())], names=["id", "ids"])
+        table = {"id": left.column("id"), "ids": pa.array(out, pa.binary())}
+        if decoded_col:
+            if path not in held:
+                held[path] = pieces(path)
+            table["decoded"] = pa.array([_text(x, held[path]) for x in out], pa.string())
+        return pa.table(table)
 
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
     chunk = T.StructField("chunk", T.LongType())
     table = T.StructType([chunk, *binary("seal"), T.StructField("bucket", T.IntegerType()), *binary("codes", "sizes", "data")])
-    words = rows.mapInArrow(distinct, table).repartition("bucket").drop("bucket")
+    words = rows.mapInArrow(distinct, table).repartition("bucket").sortWithinPartitions("bucket")
     words = words.mapInArrow(encoded, T.StructType([chunk, *binary("seal", "codes", "sizes", "data")]))
     lines = rows.mapInArrow(codes, T.StructType([chunk, T.StructField("id", kind), *binary("codes", "seal")]))
-    whole = lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, T.StructType([T.StructField("id", kind), *binary("ids")]))
-    return whole.select(F.col("id").alias(id_col), "ids")
+    whole = lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, T.StructType(
+        [T.StructField("id", kind), *binary("ids"), *([T.StructField("decoded", T.StringType())] if decoded_col else [])]))
+    return whole.select(F.col("id").alias(id_col), "ids", *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -228,8 +246,7 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
         for batch in batches:
-            text = [None if ids is None else b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-                    for ids in batch.column(ids_col).to_pylist()]
+            text = [None if ids is None else _text(ids, table) for ids in batch.column(ids_col).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(text, pa.string())], schema=arrow)
 
     return encoded.mapInArrow(joined, schema)
