@@ -111,14 +111,31 @@ def _key(id_col: str, text: Column) -> Column:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places to compare with other batches (n > 0: how many this one stands for) and spans settled here (n = 0).
+
+    Of places with the same stretch in a batch one goes on, so what a text or many texts repeat is a row per batch.
+    """
     for batch in batches:
         data, offsets = bytes_of(batch.column("text"))
         doc, bucket, stretch, first, last = anchors(data, offsets)
+        if not len(doc):
+            continue
         keys = batch.column("key").to_numpy()
-        for at in range(0, len(doc), 100_000):
-            s = slice(at, at + 100_000)
-            yield pa.record_batch([pa.array(bucket[s].view(np.int64)), pa.array(stretch[s].view(np.int64)), pa.array(keys[doc[s]]),
-                                   pa.array(first[s].astype(np.int32)), pa.array(last[s].astype(np.int32))], ["bucket", "stretch", "key", "first", "last"])
+        _, one, of, count = np.unique(stretch, return_index=True, return_inverse=True, return_counts=True)
+        n = np.zeros(len(doc), np.int64)
+        n[one] = count
+        end = last + LENGTH
+        at = np.flatnonzero(n == 0)  # neighbouring settled places make one span
+        if len(at):
+            head = np.flatnonzero(np.append(True, (doc[at[1:]] != doc[at[:-1]]) | (first[at[1:]] > end[at[:-1]])))
+            tail = np.append(head[1:], len(at)) - 1
+            end[at[head]] = end[at[tail]]
+            at = at[head]
+        rows = np.sort(np.append(one, at))
+        for lo in range(0, len(rows), 100_000):
+            r = rows[lo:lo + 100_000]
+            yield pa.record_batch([pa.array(bucket[r].view(np.int64)), pa.array(stretch[r].view(np.int64)), pa.array(keys[doc[r]]),
+                                   pa.array(first[r].astype(np.int32)), pa.array(end[r].astype(np.int32)), pa.array(n[r])], ["bucket", "stretch", "key", "first", "end", "n"])
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +150,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = rows[at:at + 5000]
                 yield pa.record_batch([pa.array([r["bucket"] for r in some], pa.int64()), pa.array([r["settled"] for r in some], pa.bool_()), pa.array([r["classes"] for r in some], pa.int64()),
                                        batch.column("key").slice(i, 1).take(pa.array([0] * len(some))), pa.array([r["first"] for r in some], pa.int32()),
-                                       pa.array([raw[r["first"]:r["last"] + LENGTH] for r in some], pa.binary())], ["bucket", "settled", "classes", "key", "first", "bytes"])
+                                       pa.array([raw[r["first"]:r["end"]] for r in some], pa.binary())], ["bucket", "settled", "classes", "key", "first", "bytes"])
 
 
 def _runs(key: np.ndarray, first: np.ndarray, windows: np.ndarray, owner: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -191,14 +208,16 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(key, start, end): byte spans to remove, overlapping ones not merged; ``key`` names a document."""
     text = blank_null(text_col)
     rows = docs.select(_key(id_col, text).alias("key"), text.alias("text"))
-    places = rows.mapInArrow(_cut, "bucket long, stretch long, key long, first int, last int").repartition("bucket")
+    cut = staged(rows.mapInArrow(_cut, "bucket long, stretch long, key long, first int, end int, n long"), "suffix-cut")
+    here = cut.where("n = 0").select("key", F.col("first").alias("start"), "end")
     bucket, stretch = Window.partitionBy("bucket"), Window.partitionBy("bucket", "stretch")
-    places = places.withColumns({"n": F.count("*").over(stretch), "nth": F.row_number().over(stretch.orderBy("key", "first"))})
-    places = places.withColumns({"in_bucket": F.count("*").over(bucket), "unsettled": F.min("n").over(bucket) == 1,
+    places = cut.where("n > 0").repartition("bucket").withColumns({
+        "all": F.sum("n").over(stretch), "nth": F.row_number().over(stretch.orderBy("key", "first"))})
+    places = places.withColumns({"in_bucket": F.sum("n").over(bucket), "unsettled": F.min("all").over(bucket) == 1,
                                  "classes": F.sum((F.col("nth") == 1).cast("long")).over(bucket)}).where("in_bucket > 1")
-    places = staged(places.select("bucket", "key", "first", "last", "n", "classes", (F.col("unsettled") & (F.col("nth") == 1)).alias("fetch")), "suffix-places")
-    settled = places.where("n > 1").select("key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
-    wanted = places.where("fetch").groupBy("key").agg(F.collect_list(F.struct("bucket", (F.col("n") > 1).alias("settled"), "classes", "first", "last")).alias("wanted"))
+    places = staged(places.select("bucket", "key", "first", "end", "all", "classes", (F.col("unsettled") & (F.col("nth") == 1)).alias("fetch")), "suffix-places")
+    settled = here.unionByName(places.where("all > 1").select("key", F.col("first").alias("start"), "end"))
+    wanted = places.where("fetch").groupBy("key").agg(F.collect_list(F.struct("bucket", (F.col("all") > 1).alias("settled"), "classes", "first", "end")).alias("wanted"))
     bytes_ = rows.join(wanted, "key").select("key", "text", "wanted").mapInArrow(_fetched, "bucket long, settled boolean, classes long, key long, first int, bytes binary")
     bytes_ = staged(bytes_, "suffix-stretches")
     kind = "key long, start int, end int"
