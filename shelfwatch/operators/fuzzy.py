@@ -10,7 +10,8 @@ threshold is lost, and nothing is capped.
 3. The rest is blocked on (retailer, price bucket, piece of the title). A
    listing's title is cut into so many pieces that a partner above the threshold
    must contain one of them unchanged, and the number it shares is checked too.
-   A popular price therefore does not pair all its titles with each other.
+   Pieces are short (two to four characters), so a popular price still joins
+   many titles of like wording; the count and the next step thin them out.
 4. Distinct title pairs pass the character-multiset bound and are scored once.
 """
 
