@@ -424,7 +424,7 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
         "retailer", F.col("code").alias("_k"), F.col("url").alias("_inside"))
     chain = _add_hit(chain, inside, {"_k": spread_nulls(F.col("_c"), by)}, "_inside")
     hits.append("_inside")
-    if history is not None:
+    if history is not None and "product_code" in history.columns:
         seen_code = smallest_per_key(
             history, {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}, "catalog_url", "_seencode")
         chain = _add_hit(chain, seen_code, {"_k": spread_nulls(F.col("_c"), by)}, "_seencode")
