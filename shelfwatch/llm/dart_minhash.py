@@ -46,7 +46,9 @@ SKETCH_LEAST = 0.65
 SMALL, NEIGHBOURS = 8, 4
 #: Texts a side has in a block of the full comparison, and shingles a matrix has at a time.
 BLOCK = 256
-COLUMNS = 20_000
+COLUMNS = 5_000
+#: Rows worked on at a time inside a batch.
+STEP = 200
 
 _STEP, _SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -102,8 +104,15 @@ def _bands(value: np.ndarray) -> np.ndarray:
     return mixed((value * factor).reshape(len(value), BANDS, ROWS).sum(2) + np.arange(BANDS, dtype=np.uint64) * _STEP)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most STEP rows, which bounds what the arrays over them take."""
     for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            yield batch.slice(at, STEP)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(batches):
         element, owner = shingles(batch.column("text"), WIDTH)
         value, has = signatures(element, owner, batch.num_rows)
         bands = _bands(value).view(np.int64)
@@ -157,7 +166,7 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole texts have a weighted similarity of at least 0.8."""
-    for batch in batches:
+    for batch in _pieces(batches):
         n = batch.num_rows
         unit, owner = [], []
         for c in ("left", "right"):
