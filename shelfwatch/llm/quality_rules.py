@@ -2,7 +2,7 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows of each text. The method then hashes
 the normalised lines, counts in how many distinct documents of the same host each occurs, takes lines above the limits
-for boilerplate and rejects documents that are depleted without them. Exact copies of a text count as one document,
+for boilerplate, removes them from the texts and rejects documents that are depleted without them. Exact copies of a text count as one document,
 so a text that many rows repeat is not boilerplate (removing copies is another operator's work).
 
 Window values are compared by their 64-bit hash within one text, lines by theirs within one host. Null texts have no
@@ -11,7 +11,7 @@ words and fail; a null host is a host of its own. Repeated rows get equal verdic
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import blank_null, tag, words_of
@@ -53,47 +53,76 @@ def base_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return rows.drop("_words", "_lines", "_windows", "_ordered", "_places")
 
 
-def line_removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, copy, n_removed, depleted) of the documents that hold boilerplate lines; ``copy`` is the text's hash."""
+def boilerplate_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(id, host, copy, places) of the documents that hold boilerplate lines; ``copy`` is the text's hash, places count from 0."""
     text = blank_null(text_col)
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit("")).alias("host")
+    host = _host(host_col).alias("host")
     # What belongs to the text is computed before its lines are made, not again for every line.
-    lines = docs.select(F.col(id_col).alias("id"), host, F.xxhash64(text).alias("copy"), F.size(words_of(text)).alias("of"), F.split(text, "\n").alias("lines"))
-    lines = lines.select("id", "host", "copy", "of", F.posexplode("lines").alias("place", "line"))
+    lines = docs.select(F.col(id_col).alias("id"), host, F.xxhash64(text).alias("copy"), F.split(text, "\n").alias("lines"))
+    lines = lines.select("id", "host", "copy", F.posexplode("lines").alias("place", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace(F.lower("line"), _LINE_SPACE, " "))).where("line <> ''")
-    lines = lines.select("id", "host", "copy", "of", "place", F.xxhash64("line").alias("mark"), F.size(F.split("line", " ")).alias("n"))
+    lines = lines.select("id", "host", "copy", "place", F.xxhash64("line").alias("mark"))
     hosts = docs.select(host, F.xxhash64(text).alias("copy")).groupBy("host").agg(F.count_distinct("copy").alias("copies"))
     often = lines.groupBy("host", "mark").agg(F.count_distinct("copy").alias("seen")).where(F.col("seen") >= MIN_LINE_DOCS)
     often = often.join(hosts, "host").where(100 * F.col("seen") >= MIN_LINE_PERCENT * F.col("copies"))
     removed = lines.join(often.select("host", "mark"), ["host", "mark"], "left_semi")
-    removed = removed.groupBy("id", "copy", "of", "place").agg(F.max("n").alias("n"))  # repeated rows count once
-    removed = removed.groupBy("id", "copy", "of").agg(F.sum("n").alias("n_removed"))
-    left = F.col("of") - F.col("n_removed")
-    return removed.select("id", "copy", "n_removed", ((left < MIN_LEFT_WORDS) | (100 * left < MIN_LEFT_PERCENT * F.col("of"))).alias("depleted"))
+    return removed.groupBy("id", "host", "copy").agg(F.collect_set("place").alias("places"))  # repeated rows count once
+
+
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
+
+
+def _without(text: Column, places: Column) -> Column:
+    """``text`` without the lines at ``places``, the others as they are and in order; the text itself where places is null."""
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    # One mark per line, in order: sorting them costs less than looking each place up in a long array.
+    marks = F.sort_array(F.concat(F.transform(kept, lambda i: F.struct(i.alias("i"), F.lit(True).alias("stays"))),
+                                  F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(False).alias("stays")))))
+    rest = F.array_join(F.zip_with(lines, marks, lambda line, m: F.when(m["stays"], line)), "\n")
+    return F.when(places.isNull(), text).otherwise(rest)
+
+
+def _cleaned(rows: DataFrame, docs: DataFrame, text: Column, **names: str) -> DataFrame:
+    """``rows`` (with id, host, text_hash and n_words) with clean_text, n_removed and depleted; ``text`` is their text."""
+    found = boilerplate_places(docs, **names).withColumnsRenamed({"id": "_id", "host": "_host", "copy": "_copy", "places": "_places"})
+    rows = rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["host"] == found["_host"]) & (rows["text_hash"] == found["_copy"]), "left")
+    rows = rows.withColumn("clean_text", _without(text, F.col("_places")))
+    left = F.size(words_of(F.col("clean_text"))).cast("long")
+    rows = rows.withColumn("_left", F.when(F.col("_places").isNotNull(), left).otherwise(F.col("n_words")))
+    rows = rows.withColumns({
+        "n_removed": F.col("n_words") - F.col("_left"),
+        "depleted": F.col("_places").isNotNull() & ((F.col("_left") < MIN_LEFT_WORDS) | (100 * F.col("_left") < MIN_LEFT_PERCENT * F.col("n_words")))})
+    return rows.drop("_id", "_host", "_copy", "_places", "_left")
+
+
+def cleaned_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, the base counts, base_failed, n_removed, kept and clean_text, one row per row of ``docs``.
+
+    clean_text is the text without its boilerplate lines, a null text stays null; n_removed counts the words it lacks.
+    """
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _host(host_col).alias("host"), F.xxhash64(blank_null(text_col)).alias("text_hash"))
+    rows = _cleaned(base_counts(few), docs, F.col("text"), id_col=id_col, text_col=text_col, host_col=host_col)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed",
+                       (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), "clean_text")
 
 
 def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed and kept, one row per row of ``docs``."""
-    few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(blank_null(text_col)).alias("text_hash"))
-    base = base_counts(few).drop("text")
-    removed = line_removals(docs, id_col=id_col, text_col=text_col, host_col=host_col)
-    rows = base.join(removed, base["doc_id"].eqNullSafe(removed["id"]) & (base["text_hash"] == removed["copy"]), "left")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-                       (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"))
+    return cleaned_verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col).drop("clean_text")
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the rules keep, with all their columns, their text without its boilerplate lines.
 
-    The base rules are a filter on the scan; only the few depleted documents are joined away.
+    The base rules are a filter on the scan; rows travel once, to meet the places of their boilerplate lines.
     """
-    whole, gone = tag("row"), tag("gone")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(text_col).alias("text"),
-                       F.col(id_col).alias("id"), F.xxhash64(blank_null(text_col)).alias("text_hash"))
+    whole = tag("row")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
+                       _host(host_col).alias("host"), F.xxhash64(blank_null(text_col)).alias("text_hash"))
     # A filter on the verdict alone would be pushed below the projections, which then work out the windows once per
     # window; one on a row number as well stays where it is.
     rows = base_counts(rows).withColumn("row_number", F.monotonically_increasing_id()).where("not base_failed and row_number >= 0")
-    removed = line_removals(docs, id_col=id_col, text_col=text_col, host_col=host_col).where("depleted").select(F.col("id").alias(gone), "copy")
-    rows = rows.join(removed, rows["id"].eqNullSafe(removed[gone]) & (rows["text_hash"] == removed["copy"]), "left_anti")
-    return rows.select(f"{whole}.*")
+    rows = _cleaned(rows.drop("text"), docs, F.col(f"{whole}.`{text_col}`"), id_col=id_col, text_col=text_col, host_col=host_col).where("not depleted")
+    return rows.select(*(F.col("clean_text").alias(c) if c == text_col else F.col(f"{whole}.`{c}`") for c in docs.columns))

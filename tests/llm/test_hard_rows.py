@@ -62,6 +62,23 @@ def test_boilerplate_lines_deplete_a_document(spark):
     assert quality_rules.keep_good(copies).count() == 50  # copies are one document, not boilerplate
 
 
+def test_boilerplate_lines_leave_the_text(spark):
+    import corpus_pipeline
+
+    common = "Home  about contact imprint\tprivacy terms"
+    own = lambda i, n: [" ".join(f"w{i}x{j}y{k}" for k in range(10)) for j in range(n)]
+    rows = [(i, "\n".join([common.upper(), *own(i, 6), "", common, *own(i + 50, 2), "  " + common]), "en", "h", 1) for i in range(20)]
+    rows += [(7, rows[7][1], "en", "h", 1), (7, rows[7][1], "en", "g", 1), (30, "\n".join([common] * 20), "en", "h", 1), (31, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    bare = {i: "\n".join([*own(i, 6), "", *own(i + 50, 2)]) for i in range(20)}
+    want = Counter([*((i, "h", bare[i]) for i in range(20)), (7, "h", bare[7]), (7, "g", rows[7][1])])  # no boilerplate of g
+    assert Counter((r.doc_id, r.source, r.text) for r in quality_rules.keep_good(docs).collect()) == want
+    verdicts = quality_rules.cleaned_verdicts(docs).collect()
+    assert all(r.n_removed == r.n_words - len((r.clean_text or "").split()) for r in verdicts)
+    assert {(r.doc_id, r.clean_text, r.kept) for r in verdicts if r.doc_id > 20} == {(30, "", False), (31, None, False)}
+    assert all(r.n_chars == len(r.text) for r in corpus_pipeline.quality(spark, docs, "").collect())
+
+
 def test_near_classes(hard, nothing):
     got = {r.doc_id: r for r in dart_minhash.near_classes(hard).where("doc_id is not null").collect()}
     assert got[1].class_id == got[2].class_id == 1 and got[1].class_size == 2 and got[1].kept and not got[2].kept
