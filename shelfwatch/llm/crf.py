@@ -1,14 +1,17 @@
 """Secret scan: fixed patterns plus a linear-chain conditional random field.
 
 The patterns (password-like assignments, access keys, long hex strings) give the base spans. The random field tags
-tokens as secret begin, inside or outside from their shape, the neighbouring words and features of the file, decoded
-by Viterbi; spans it finds that touch no base span are added. Only tokens of eight or more key characters with a
-digit may be tagged, so every other token is outside and a line falls into short chains between such tokens; decoding
-the chains is the same as decoding the line.
+every token of every line as secret begin, inside or outside from its shape, length and digits, the neighbouring words
+and features of the file, decoded by Viterbi; spans it finds that touch no base span are added. A line is one chain.
+
+What a word adds to the scores is worked out once per distinct word, a text's scores are sums of such rows. A token at
+which leaving the outside cannot pay whatever its neighbours are tagged splits its line into parts that are decoded
+one by one, with the same result as the whole line (see ``Field._outside``).
 
 The field learns from the base spans of about TRAIN_DOCS documents that a hash of the text picks (tokens covered by
-a span are begin/inside, the others outside): tasks send their chains, at most TRAIN_CHAINS in all, and the driver
-fits the weights by stochastic gradient ascent on the conditional likelihood. Every whole text is scanned.
+a span are begin/inside, the others outside): lines with a span first, then lines with a long token with a digit, then
+one of PLAIN_PART other lines, at most TRAIN_CHAINS in all; lines over TRAIN_LENGTH tokens are learned in parts. The
+driver fits the weights by stochastic gradient ascent on the conditional likelihood. Every whole text is scanned.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Repeated rows, null ids and
 empty tables need no special care.
@@ -16,6 +19,7 @@ empty tables need no special care.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -29,6 +33,10 @@ from pyspark.sql import types as T
 
 TRAIN_DOCS = 20_000
 TRAIN_CHAINS = 40_000
+#: One of so many lines without span and long token with a digit is learned from, and a line in parts of so many tokens.
+PLAIN_PART = 32
+TRAIN_LENGTH = 256
+BATCH = 32
 EPOCHS = 4
 DIMS = 1 << 14
 B, I, O = range(3)
@@ -40,9 +48,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _TRIGGERS = ("passw", "secret", "token", "api")
 
-_DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]+")
-_KEY = re.compile(r"(?=.*[0-9])[A-Za-z0-9+/_.=-]{8,}")
+_PIECE = re.compile(r"\n|" + _TOKEN.pattern)
+_LONG = re.compile(r"[A-Za-z+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*")
+_NEAR = (-3, -2, -1, 1)
+#: A scan forgets its words beyond so many of them, or characters of them.
+MOST_WORDS, MOST_CHARS = 200_000, 20_000_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -57,6 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+@functools.lru_cache(1 << 16)
 def _hashed(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) & (DIMS - 1)
 
@@ -72,38 +84,48 @@ def _spread(word: str) -> int:
     return int(2 * -sum(k / n * math.log2(k / n) for k in map(word.count, set(word))))
 
 
-def _digit_lines(text: str) -> Iterator[tuple[int, int]]:
-    """Bounds of the lines that hold a digit."""
-    hit = _DIGIT.search(text)
-    while hit:
-        start, end = text.rfind("\n", 0, hit.start()) + 1, text.find("\n", hit.start())
-        end = len(text) if end < 0 else end
-        yield start, end
-        hit = _DIGIT.search(text, end)
+def _own(word: str) -> list[int]:
+    """What a token says of itself."""
+    return [_hashed(x) for x in (
+        "bias", f"shape {_shape(word)[:24]}", f"length {min(len(word), 64) // 4}", f"spread {_spread(word[:256])}", f"start {word[:4]}",
+        f"digits {10 * sum(c.isdigit() for c in word) // len(word)}", f"signs {sum(not c.isalnum() for c in word[:32])}",
+        f"cases {any(c.islower() for c in word)}{any(c.isupper() for c in word)}")]
+
+
+def _beside(word: str) -> list[int]:
+    """What a token says of those that have it at each of the places _NEAR; the empty word stands beyond the line."""
+    return [_hashed(f"near{d} {word[:24].lower()[:12]}") for d in _NEAR]
+
+
+def _file(text: str) -> list[int]:
+    return [_hashed(f"file-digits {min(9, 200 * sum(map(text.count, '0123456789')) // max(1, len(text)))}"), _hashed(f"file-marks {min(5, text.count('=') + text.count(':'))}")]
+
+
+def _lines(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """(start, end, word) of the tokens of each line that has any."""
+    line: list = []
+    for m in _PIECE.finditer(text):
+        if m[0] != "\n":
+            line.append((m.start(), m.end(), m[0]))
+        elif line:
+            yield line
+            line = []
+    if line:
+        yield line
+
+
+def _chain(line: list[tuple[int, int, str]], file: list[int]) -> list[tuple[int, int, list[int]]]:
+    beside = [_beside(word) for _, _, word in line]
+    nothing = _beside("")
+    return [(start, end, [*_own(word), *((beside[j + d] if 0 <= j + d < len(line) else nothing)[k] for k, d in enumerate(_NEAR)), *file])
+            for j, (start, end, word) in enumerate(line)]
 
 
 def chains(text: str) -> Iterator[list[tuple[int, int, list[int]]]]:
-    """Runs of neighbouring taggable tokens of a line: (start, end, features)."""
-    file = None
-    for line_start, line_end in _digit_lines(text):
-        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, line_start, line_end)]
-        chain: list = []
-        for j, (start, end, word) in enumerate(tokens):
-            if not _KEY.fullmatch(word):
-                if chain:
-                    yield chain
-                chain = []
-                continue
-            if file is None:
-                file = [f"file-digits {min(9, 200 * sum(map(text.count, '0123456789')) // len(text))}", f"file-marks {min(5, text.count('=') + text.count(':'))}"]
-            near = [tokens[j + d][2].lower()[:12] if 0 <= j + d < len(tokens) else "" for d in (-3, -2, -1, 1)]
-            names = ["bias", f"shape {_shape(word)[:24]}", f"length {min(len(word), 64) // 4}", f"spread {_spread(word)}", f"start {word[:4]}",
-                     f"digits {10 * sum(c.isdigit() for c in word) // len(word)}", f"signs {sum(not c.isalnum() for c in word[:32])}",
-                     f"cases {any(c.islower() for c in word)}{any(c.isupper() for c in word)}",
-                     *(f"near{d} {w}" for d, w in zip((-3, -2, -1, 1), near)), *file]
-            chain.append((start, end, [_hashed(x) for x in names]))
-        if chain:
-            yield chain
+    """All tokens of each line: (start, end, features)."""
+    file = _file(text)
+    for line in _lines(text):
+        yield _chain(line, file)
 
 
 def _labels(chain, spans) -> list[int]:
@@ -123,62 +145,156 @@ class Field:
         self._seen, self._seen_pairs = np.full((DIMS, 3), 1e-2), np.full((3, 3), 1e-2)
         self.barred = np.zeros((3, 3))
         self.barred[O, I] = -1e9
+        self._words: _Words | None = None
 
     def _scores(self, features: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.stack([self.by_feature[f].sum(0) for f in features]), self.pairs + self.barred
 
     def learn(self, features: list[list[int]], tags: list[int], rate: float = 0.2) -> None:
-        """One step up the gradient of the log-likelihood: observed minus expected counts (forward-backward)."""
-        emit, trans = self._scores(features)
-        n = len(tags)
+        """One step up the gradient of a chain's log-likelihood."""
+        self.learn_all([(features, tags)], rate)
+
+    def learn_all(self, batch: list[tuple[list[list[int]], list[int]]], rate: float = 0.2) -> None:
+        """One step up the gradient of the log-likelihood of some chains: observed minus expected counts (forward-backward).
+
+        Shorter chains go on outside to the length of the longest, which adds the same to all their paths.
+        """
+        k, n = len(batch), max(len(t) for _, t in batch)
+        flat = np.concatenate([np.asarray(f, np.int64) for chain, _ in batch for f in chain])
+        width = np.array([len(f) for chain, _ in batch for f in chain])
+        col = np.repeat(np.arange(k), [len(t) for _, t in batch])
+        row = np.concatenate([np.arange(len(t)) for _, t in batch])
+        tags = np.full((n, k), O)
+        tags[row, col] = np.concatenate([np.asarray(t) for _, t in batch])
+        emit, trans = np.full((n, k, 3), -1e9), self.pairs + self.barred
+        emit[:, :, O] = 0
+        emit[row, col] = np.add.reduceat(self.by_feature[flat], np.cumsum(width) - width, axis=0)
         lse = lambda x, axis: (m := x.max(axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis))
-        ahead, back = np.zeros((n, 3)), np.zeros((n, 3))
+        ahead, back = np.zeros((n, k, 3)), np.zeros((n, k, 3))
         ahead[0] = trans[O] + emit[0]
         for i in range(1, n):
-            ahead[i] = lse(ahead[i - 1][:, None] + trans, 0) + emit[i]
+            ahead[i] = lse(ahead[i - 1][:, :, None] + trans, 1) + emit[i]
         back[-1] = trans[:, O]
         for i in range(n - 2, -1, -1):
-            back[i] = lse(trans + emit[i + 1] + back[i + 1], 1)
-        whole = lse(ahead[-1] + back[-1], 0)
-        expected = np.exp(ahead + back - whole)
-        step_pairs = np.zeros((3, 3))
-        for i in range(n + 1):
-            a, b = tags[i - 1] if i else O, tags[i] if i < n else O
-            step_pairs[a, b] += 1
-            left = ahead[i - 1][:, None] if i else np.where(np.arange(3) == O, 0.0, -1e9)[:, None]
-            right = (emit[i] + back[i])[None] if i < n else np.where(np.arange(3) == O, 0.0, -1e9)[None]
-            step_pairs -= np.exp(left + trans + right - whole)
-        for i, f in enumerate(features):
-            step = -expected[i]
-            step[tags[i]] += 1
-            self._seen[f] += step ** 2
-            self.by_feature[f] += rate * step / np.sqrt(self._seen[f])
+            back[i] = lse(trans + (emit[i + 1] + back[i + 1])[:, None], 2)
+        whole = lse(ahead[-1] + back[-1], 1)
+        expected = np.exp(ahead + back - whole[:, None])
+        step_pairs = -np.exp(ahead[:-1, :, :, None] + trans + (emit + back)[1:, :, None] - whole[:, None, None]).sum((0, 1))
+        step_pairs[O] -= expected[0].sum(0)
+        step_pairs[:, O] -= expected[-1].sum(0)
+        out = np.full((1, k), O)
+        np.add.at(step_pairs, (np.concatenate([out, tags]), np.concatenate([tags, out])), 1)
+        step = (np.eye(3)[tags] - expected)[row, col].repeat(width, axis=0)
+        step = np.stack([np.bincount(flat, step[:, t], DIMS) for t in range(3)], axis=1)
+        self._seen += step ** 2
+        self.by_feature += rate * step / np.sqrt(self._seen)
         self._seen_pairs += step_pairs ** 2
         self.pairs += rate * step_pairs / np.sqrt(self._seen_pairs)
+        self._words = None
 
     def viterbi(self, features: list[list[int]]) -> list[int]:
-        emit, trans = self._scores(features)
-        best, came = trans[O] + emit[0], []
-        for e in emit[1:]:
-            paths = best[:, None] + trans
-            came.append(paths.argmax(0))
-            best = paths.max(0) + e
-        tags = [int((best + trans[:, O]).argmax())]
-        for c in reversed(came):
-            tags.append(int(c[tags[-1]]))
+        return self._decode(self._scores(features)[0])
+
+    def _decode(self, emit: np.ndarray) -> list[int]:
+        """The best tags of a chain that begins and ends outside."""
+        trans = (self.pairs + self.barred).tolist()
+        columns, rows = list(zip(*trans)), emit.tolist()
+        best, came = [a + b for a, b in zip(trans[O], rows[0])], []
+        for e in rows[1:]:
+            x, y, z = best
+            best, back = [], []
+            for (p, q, r), s in zip(columns, e):
+                p, q, r = x + p, y + q, z + r
+                top = p if p >= q and p >= r else q if q >= r else r
+                back.append(B if top == p else I if top == q else O)
+                best.append(top + s)
+            came.append(back)
+        last = [a + b for a, b in zip(best, columns[O])]
+        tags = [last.index(max(last))]
+        for back in reversed(came):
+            tags.append(back[tags[-1]])
         return tags[::-1]
 
+    def _outside(self, emit: np.ndarray) -> np.ndarray:
+        """Whether a token is outside in every best path, for rows of scores in which each line is followed by a row of its end.
+
+        Take a path with another tag s at token j, between a and b. If b is not inside, put outside in place of s: the
+        score grows by the gap of j and a difference of pair weights, whose least value over a and b is ``plain``. If b is
+        inside, which must not follow outside, make it begin as well: the scores of j + 1 and the pair after it come in
+        (``begun``). Where both sums are above zero for begin and inside, no best path has anything but outside at j.
+        """
+        t = self.pairs + self.barred
+        swap = np.append(emit[1:, B] - emit[1:, I], 0.0)
+        sure = np.ones(len(emit), bool)
+        for s in (B, I):
+            gap = emit[:, O] - emit[:, s]
+            plain = min(t[a, O] + t[O, b] - t[a, s] - t[s, b] for a in range(3) for b in (B, O))
+            begun = min(t[a, O] + t[O, B] + t[B, c] - t[a, s] - t[s, I] - t[I, c] for a in range(3) for c in range(3))
+            sure &= (gap + plain > 1e-6) & (gap + swap + begun > 1e-6)
+        return sure
+
+    def _emissions(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the tokens and line ends of a text, and which are line ends."""
+        words = self._words
+        if words is None or len(words) > MOST_WORDS or words.chars > MOST_CHARS:
+            words = self._words = _Words(self.by_feature)
+        ids = np.array([0, 0, 0, *map(words.__getitem__, _PIECE.findall(text)), 0, 0])
+        words.score()
+        n = len(ids) - 4
+        own, one, after = ids[3:3 + n], ids[2:2 + n], ids[4:4 + n]
+        two = np.where(one == 0, 0, ids[1:1 + n])  # what lies beyond a line end does not count
+        three = np.where(two == 0, 0, ids[:n])
+        emit = words.own[own] + self.by_feature[_file(text)].sum(0)
+        for k, at in enumerate((three, two, one, after)):
+            emit += words.beside[k][at]
+        return emit, own == 0
+
     def spans(self, text: str) -> list[tuple[int, int]]:
+        emit, ends = self._emissions(text)
+        at = np.flatnonzero(~(self._outside(emit) | ends))
+        if not len(at):
+            return []
+        tags = np.full(len(emit), O)
+        for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            tags[part] = self._decode(emit[part])
+        if (tags == O).all():
+            return []
         out: list[list[int]] = []
-        for chain in chains(text):
-            for (start, end, _), tag in zip(chain, self.viterbi([f for _, _, f in chain])):
-                if tag == B:
-                    out.append([start, end])
-                elif tag == I:
-                    out[-1][1] = end
+        for m, tag in zip(_PIECE.finditer(text), tags.tolist()):
+            if tag == B:
+                out.append([m.start(), m.end()])
+            elif tag == I:
+                out[-1][1] = m.end()
         return [tuple(s) for s in out]
 
 
+class _Words(dict):
+    """Numbers of words, 0 for a line end, and what each adds to the scores of its own and of the tokens beside it."""
+
+    def __init__(self, by_feature: np.ndarray):
+        super().__init__({"\n": 0})
+        self.by_feature, self.fresh, self.chars, self.done = by_feature, [], 0, 1
+        self.own, self.beside = np.zeros((1024, 3)), np.zeros((4, 1024, 3))
+        self.beside[:, 0] = by_feature[_beside("")]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        self.chars += len(word)
+        return n
+
+    def score(self) -> None:
+        """Scores of the words that came since the last call."""
+        if not self.fresh:
+            return
+        if len(self) > len(self.own):
+            more = max(len(self), 2 * len(self.own)) - len(self.own)
+            self.own, self.beside = np.pad(self.own, ((0, more), (0, 0))), np.pad(self.beside, ((0, 0), (0, more), (0, 0)))
+        self.own[self.done:len(self)] = self.by_feature[np.array([_own(w) for w in self.fresh])].sum(1)
+        self.beside[:, self.done:len(self)] = self.by_feature[np.array([_beside(w) for w in self.fresh])].transpose(1, 0, 2)
+        self.done, self.fresh = len(self), []
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Field:
     """A field that has learned from the base spans of some of ``docs``."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
@@ -188,17 +304,34 @@ def fit(docs: DataFrame, *, text_col: str = "text", train_docs: int = TRAIN_DOCS
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                out += [([f for _, _, f in c], _labels(c, spans)) for c in chains(text)]
-            yield pa.record_batch([pa.array([f for f, _ in out], pa.list_(pa.list_(pa.int32()))), pa.array([t for _, t in out], pa.list_(pa.int32()))], ["features", "tags"])
+                spans, file = base_spans(text), None
+                for line in _lines(text):
+                    marked = any(s[3] < line[-1][1] and line[0][0] < s[1] for s in spans)
+                    mark = zlib.crc32("".join(w for _, _, w in line).encode("utf-8", "surrogatepass"))
+                    rank = 0 if marked else 1 if any(len(w) >= 8 and _LONG.fullmatch(w) for _, _, w in line) else 2
+                    if rank == 2 and mark % PLAIN_PART:
+                        continue
+                    file = file or _file(text)
+                    chain = _chain(line, file)
+                    tags = _labels(chain, spans)
+                    while chain:  # a part ends where the next token is no inside
+                        n = next((i for i in range(TRAIN_LENGTH, len(tags)) if tags[i] != I), len(tags))
+                        out.append((rank, mark, np.array([f for _, _, f in chain[:n]], np.uint16).tobytes(), bytes(tags[:n])))
+                        chain, tags = chain[n:], tags[n:]
+            columns = zip(*out) if out else [[]] * 4
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["rank", "mark", "features", "tags"])
 
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    found = sample.mapInArrow(sent, "features array<array<int>>, tags array<int>").limit(TRAIN_CHAINS).collect()
-    found = sorted((r.tags, r.features) for r in found)  # the same order whatever the tasks' order
+    chosen = sample.mapInArrow(sent, "rank int, mark long, features binary, tags binary").orderBy("rank", "mark", "tags", "features").limit(TRAIN_CHAINS)
+    found = sorted((bytes(r.tags), bytes(r.features)) for r in chosen.collect())  # the same order whatever the tasks' order
+    chain = lambda i: (np.frombuffer(found[i][1], np.uint16).reshape(len(found[i][0]), -1), list(found[i][0]))
     field, order = Field(), np.random.default_rng(11)
     for _ in range(EPOCHS):
-        for i in order.permutation(len(found)):
-            field.learn(found[i][1], found[i][0])
+        # Chains of like length go together, the groups in random order.
+        mixed = sorted(order.permutation(len(found)).tolist(), key=lambda i: len(found[i][0]).bit_length())
+        groups = [mixed[lo:lo + BATCH] for lo in range(0, len(mixed), BATCH)]
+        for g in order.permutation(len(groups)):
+            field.learn_all([chain(i) for i in groups[g]])
     return field
 
 

@@ -258,3 +258,35 @@ def test_viterbi_equals_all_paths():
         emit, trans = field._scores(chain)
         score = lambda p: sum(emit[i][t] for i, t in enumerate(p)) + sum(trans[a, b] for a, b in zip((crf.O, *p), (*p, crf.O)))
         assert tuple(field.viterbi(chain)) == max(itertools.product(range(3), repeat=4), key=score)
+
+
+def test_secrets_of_letters_are_tagged_in_whole_lines(spark):
+    draw = np.random.default_rng(4)
+    letters = lambda n: "".join(draw.choice(list("qwertyuiopasdfghQWERTYUIOPASDFGH"), n))
+    rows = [(i, f'some words of prose come first here\nset client_secret = "{letters(16)}" and go on with other words\nand last') for i in range(200)]
+    field = crf.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = 'nothing here\nset client_secret_key = "QwErTyUiOpAsDfGh" and go on'
+    assert [text[a:b] for a, b in field.spans(text)] == ["QwErTyUiOpAsDfGh"]
+    assert [[text[a:b] for a, b, _ in c] for c in crf.chains(text)][0] == ["nothing", "here"]
+
+
+@pytest.mark.parametrize("lean", [0.0, 3.0])
+def test_parts_of_a_line_decode_as_the_whole_line(lean):
+    draw = np.random.default_rng(8)
+    field = crf.Field()
+    field.by_feature, field.pairs = draw.normal(size=field.by_feature.shape), draw.normal(size=(3, 3))
+    field.by_feature[crf._hashed("bias"), crf.O] += 4 * lean
+    words = ["a", "bb1", '"', "secret", "=", "Zx9Yw8Vu", "\n", "\n\n", "ü"]
+    some = 0
+    for _ in range(60):
+        text = " ".join(draw.choice(words, 40))
+        want = []
+        for chain in crf.chains(text):
+            for (a, b, _), tag in zip(chain, field.viterbi([f for _, _, f in chain])):
+                if tag == crf.B:
+                    want.append((a, b))
+                elif tag == crf.I:
+                    want[-1] = (want[-1][0], b)
+        assert field.spans(text) == want
+        some += len(want)
+    assert some
