@@ -49,8 +49,9 @@ def repeats(v):
     live = StreamViews(v, ["lineitem"])
     rows = live.b_snapshots.select(F.col("catalog_url").alias("url"), F.col(
         "discovered_date").cast("timestamp").alias("seen_at"), "retailer")
-    out = running.append_available(jobs.suppress_repeats(rows, "seen_at"), *folders(v, "repeats"))
-    return out.select("url_key", F.to_date("seen_at").alias("seen_on"))
+    out = running.update_available(rows, *folders(v, "repeats"), apply=jobs.kept_sights("seen_at"), mode="append")
+    newest = out.agg(F.max("batch_id")).first()[0]
+    return out.filter((F.col("batch_id") == newest) & F.col("kept")).select("url_key", F.to_date("seen_at").alias("seen_on"))
 
 
 @query("ST3_price_alerts", """

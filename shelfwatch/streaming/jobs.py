@@ -16,48 +16,91 @@ def snapshot_stream(listings: DataFrame, category: Column) -> DataFrame:
     return changes.snapshot_rows(listings, category, F.col("discovered_date"))
 
 
+#: Stands for a missing time; no sight with a time is near it.
+_NO_TIME = -(1 << 62)
+
+
+def _sights(listings: DataFrame, ts: str, url: str) -> DataFrame:
+    return listings.withColumns({"url_key": url_key_v3(F.col(url)), "event_micros": F.coalesce(F.unix_micros(F.col(ts)), F.lit(_NO_TIME))})
+
+
+def _micros(spark, freshness: str) -> int:
+    return spark.sql(f"SELECT timestampdiff(MICROSECOND, TIMESTAMP '1970-01-01', TIMESTAMP '1970-01-01' + INTERVAL {freshness}) AS n").first().n
+
+
 def suppress_repeats(listings: DataFrame, ts: str, freshness: str = "24 hours",
                      url: str = "url") -> DataFrame:
-    """Sights of each listing, without repeats inside the freshness time of one that was kept.
+    """Sights of each listing, without repeats inside the freshness time of one that was kept; appends only.
 
-    Rows are taken in event order, whatever micro-batches they come in; a row older than the last kept sight of its
-    url is a repeat. State is one time per url. The result has url_key and the time column, and whatever else the rows
+    Rows of a micro-batch are taken in event order. State is all kept times of a url (they do not expire), so a late row
+    is kept unless a kept sight lies less than the freshness time before or after it. What has been appended stays, so a
+    late row shortly before a kept sight counts as its repeat; :func:`kept_sights` has the same answer for any batches.
+    Of a url's rows without a time one is kept. The result has url_key and the time column, and whatever else the rows
     of that sight have.
     """
+    import bisect
+
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     use_rocksdb(listings.sparkSession)
-    rows = listings.withColumns({"url_key": url_key_v3(F.col(url)), "event_micros": F.unix_micros(F.col(ts))})
+    rows = _sights(listings, ts, url)
     columns = [c for c in rows.columns if c != "event_micros"]
     schema = rows.select(*columns).schema
-    span = listings.sparkSession.sql(f"SELECT timestampdiff(MICROSECOND, TIMESTAMP '1970-01-01', TIMESTAMP '1970-01-01' + INTERVAL {freshness}) AS n").first().n
+    span = _micros(listings.sparkSession, freshness)
 
-    class LastKept(StatefulProcessor):
+    class KeptTimes(StatefulProcessor):
         def init(self, handle):
-            self.last = handle.getValueState("last", "micros bigint")
+            self.times = handle.getListState("times", "micros bigint")
 
         def handleInputRows(self, key, rows, timerValues):
             batch = pd.concat(list(rows)).sort_values("event_micros", kind="stable")
-            held = self.last.get()
-            held, kept = (held[0] if held else None), []
-            times = batch["event_micros"].to_numpy()
-            at = 0
-            while at < len(times):  # from kept sight to kept sight
-                if held is not None:
-                    at = max(at, int(times.searchsorted(held + span)))
-                if at < len(times):
-                    kept.append(at)
-                    held, at = int(times[at]), at + 1
+            held, kept, new = sorted(t[0] for t in self.times.get()), [], []
+            for i, t in enumerate(batch["event_micros"].tolist()):
+                at = bisect.bisect_right(held, t)
+                if (at and t - held[at - 1] < span) or (at < len(held) and held[at] - t < span):
+                    continue
+                held.insert(at, t)
+                kept.append(i)
+                new.append((t,))
             if kept:
-                self.last.update((held,))
+                self.times.appendList(new)
                 yield batch.iloc[kept][columns]
 
         def close(self):
             pass
 
-    return rows.filter(F.col("event_micros").isNotNull()).groupBy("url_key").transformWithStateInPandas(
-        statefulProcessor=LastKept(), outputStructType=schema, outputMode="append", timeMode="none")
+    return rows.groupBy("url_key").transformWithStateInPandas(
+        statefulProcessor=KeptTimes(), outputStructType=schema, outputMode="append", timeMode="none")
+
+
+def kept_sights(ts: str, freshness: str = "24 hours", url: str = "url"):
+    """Function for one micro-batch of listings: all sights as they stand after it, with ``kept`` false for repeats.
+
+    Each version has every sight, so the kept ones are those of all rows in event order (then by a hash of the row),
+    whatever micro-batches they came in. A sight is a repeat inside the freshness time of a kept one before it; of a url's
+    rows without a time one is kept. A url's sights meet in one task; old versions may be removed.
+    """
+    def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        rows = _sights(batch, ts, url).withColumn("event_hash", F.xxhash64(*batch.columns))
+        if earlier is not None:
+            newest = earlier.agg(F.max("batch_id")).first()[0]
+            rows = rows.unionByName(earlier.filter(F.col("batch_id") == newest).select(*rows.columns))
+        span = _micros(batch.sparkSession, freshness)
+
+        def mark(sights):
+            sights = sights.sort_values(["event_micros", "event_hash"], kind="stable")
+            times = sights["event_micros"].to_numpy()
+            kept, at = [False] * len(times), 0
+            while at < len(times):  # from kept sight to kept sight
+                kept[at] = True
+                at = max(at + 1, int(times.searchsorted(int(times[at]) + span)))
+            return sights.assign(kept=kept)
+
+        schema = rows.withColumn("kept", F.lit(True)).schema
+        return rows.groupBy("url_key").applyInPandas(mark, schema)
+
+    return apply
 
 
 def price_alerts(listings: DataFrame, min_change: float = 0.01) -> DataFrame:

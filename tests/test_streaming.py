@@ -84,6 +84,30 @@ def test_repeats_are_dropped_for_a_day_whatever_the_batches(spark, tmp_path, par
     assert hours == [("a", 0), ("a", 24), ("a", 3000), ("b", 1), ("b", 25)]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_kept_sights_do_not_depend_on_the_order_of_files(spark, tmp_path, parts):
+    schema = "url string, seen_at timestamp"
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    rows = [("https://s.com/a", h) for h in (120, 20, 3000, 40, 0, 24, None, 121, 47, None)]  # not in event order
+    for k in range(parts):
+        put(spark, src, [(u, None if h is None else dt.datetime(2025, 1, 1) + dt.timedelta(hours=h)) for u, h in rows[k::parts]], schema)
+        stream = spark.readStream.schema(schema).parquet(src)
+        got = running.update_available(stream, out, chk, apply=jobs.kept_sights("seen_at"), mode="append")
+    newest = got.agg(F.max("batch_id")).first()[0]
+    times = [r.seen_at for r in got.filter((F.col("batch_id") == newest) & F.col("kept")).collect()]
+    assert times.count(None) == 1
+    assert sorted(round((t - dt.datetime(2025, 1, 1)).total_seconds() / 3600) for t in times if t) == [0, 24, 120, 3000]
+
+
+def test_a_late_file_is_not_lost(spark, tmp_path):
+    schema = "url string, seen_at timestamp"
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    for days in ([5, None], [1, None], [1, 5]):
+        put(spark, src, [("https://s.com/a", d and dt.datetime(2025, 1, d)) for d in days], schema)
+        got = running.append_available(jobs.suppress_repeats(spark.readStream.schema(schema).parquet(src), "seen_at"), out, chk)
+    assert sorted(str(r.seen_at) for r in got.collect()) == ["2025-01-01 00:00:00", "2025-01-05 00:00:00", "None"]
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_an_item_is_queued_once_whatever_the_batches(spark, tmp_path, parts):
     schema = "seq bigint, catalog_url string, retailer string, title string, price double, product_code string"
