@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import array_merge, bucket_pointers, chat, content_sort, crf, dart_minhash, mixing, output_codes, quality_rules, word_table
+from shelfwatch.llm import (array_merge, bucket_pointers, chat, content_sort, crf, dart_minhash, dual_tree, mixing, output_codes, quality_rules,
+                            trie_join, turn_repair, word_table)
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +154,74 @@ FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(documents(spark, sf_dir))
+
+
+def _repair_sql() -> str:
+    """The repair as a recursion over a conversation's rows; a state is its cheapest (cost, audit, text so far)."""
+    def step(state: str, cost: str, letter: str, text: str | None = None) -> str:
+        said = f"{state}.t" if text is None else f"{state}.t || {text} || chr(10)"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {said}}} END"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN kind = 0 AND left(role, 1) = '{initial}' THEN {step(state, 'cut', 'K', 'said')} END"
+
+    def rerole(state: str, role: str) -> str:
+        return f"CASE WHEN kind = 0 THEN {step(state, '2 + cut', 'R', repr(role + ':') + ' || text')} END"
+
+    user, reply = "'user:'", "'assistant:'"
+    insert = f"least(u, {step('n', '2', 'I', user)}, {step('s', '2', 'I', user)}, {step('a', '2', 'I', user)}) AS u, least(a, {step('u', '2', 'I', reply)}) AS a"
+    row = f"""{step('n', '3', 'D')} AS n, least({step('s', '3', 'D')}, {kept('n', 's')}) AS s,
+        least({step('u', '3', 'D')}, {', '.join(f(x, y) for x in 'nsa' for f, y in ((kept, 'u'), (rerole, 'user')))}) AS u,
+        least({step('a', '3', 'D')}, {kept('u', 'a')}, {rerole('u', 'assistant')}) AS a"""
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    return rf"""
+WITH RECURSIVE said AS (SELECT conv_id, turn, row_number() OVER () AS r, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key FROM conversations),
+crc AS (SELECT * EXCLUDE key, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(key, lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 20 AS lot FROM said),
+hurt AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          r, unnest(CASE lot WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc),
+placed AS (SELECT *, row_number() OVER c AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, r, copy) > 1 AS again, lag(left(role, 1)) OVER c || left(role, 1) AS pair,
+          regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last FROM hurt WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, r, copy)),
+faults AS (SELECT conv_id, i, turn, role, text, pair, role || ':' || text AS said, CASE WHEN last = '' THEN 1 WHEN again THEN 2 ELSE 0 END AS kind,
+          (last <> '' AND NOT again AND last NOT IN ('.', '!', '?'))::INT AS cut FROM placed),
+walk AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}}::{state} AS n, NULL::{state} AS s, NULL::{state} AS u, NULL::{state} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, i, {row}
+  FROM (SELECT * EXCLUDE (u, a), {insert} FROM (SELECT w.* EXCLUDE (u, a, i), f.i, f.role, f.text, f.said, f.kind, f.cut, {insert}
+        FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+ended AS (SELECT conv_id, least(n, a) AS best FROM (SELECT * EXCLUDE (u, a), {insert} FROM (SELECT * EXCLUDE (u, a), {insert} FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)))),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum((kind = 1)::INT)::BIGINT AS blank, sum((kind = 2)::INT)::BIGINT AS duplicate, sum(cut)::BIGINT AS truncated,
+          sum((coalesce(pair, 'su') NOT IN ('su', 'ua', 'au'))::INT)::BIGINT AS illegal FROM faults GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       best.c AS cost, best.a AS audit, sha256(left(best.t, greatest(0, length(best.t) - 1)::BIGINT)) AS repaired_sha256
+FROM ended e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op11_turn_repair", _repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return turn_repair.summary(turn_repair.repaired(turn_repair.damaged(turns)))
+
+
+@query("op12_trie_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.near_components(documents(spark, sf_dir))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')"
+
+_SEARCH_SQL = f"""
+WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+s AS (SELECT count(*)::BIGINT AS nn, sum(len(t))::BIGINT AS ll FROM d),
+i AS (SELECT row_number() OVER () AS i, item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), s),
+f AS (SELECT i, item_id, p.r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(t) * nn) // ll))))::BIGINT AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, s GROUP BY i, item_id, p.r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM f WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query("op13_dual_tree", _SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.ranked(spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"), documents(spark, sf_dir))

@@ -97,6 +97,6 @@ def test_secret_scan_base(spark, sample):
 def test_entry_has_the_queries():
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in entry.queries() if name.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in entry.queries() if name.startswith("op")}
     assert "pipeline" in entry.queries()
     json.dumps(entry.oracle_sql())
