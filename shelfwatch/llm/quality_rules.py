@@ -29,6 +29,13 @@ _SYMBOLS = "[#*$%&|<>]"
 _LINE_SPACE = r"[\x20\x09-\x0D]+"
 
 
+def once(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the named columns behind a generator of one row: what filters on them reads them, it is not put in their place."""
+    held = tag("once")
+    made = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in columns), F.explode(F.array(F.struct(*columns))).alias(held))
+    return made.select(*(F.col(f"{held}.{c}") if c in columns else F.col(f"`{c}`") for c in rows.columns))
+
+
 def base_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = blank_null(text_col)
@@ -49,8 +56,9 @@ def base_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at"))
     rows = rows.withColumn("n_repeat_words", F.coalesce(F.aggregate("_places", start, lambda a, i: F.struct(
         (a["n"] + F.least(F.lit(3), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"]), F.lit(0)).cast("long"))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return rows.drop("_words", "_lines", "_windows", "_ordered", "_places")
+    rows = rows.drop("_words", "_lines", "_windows", "_ordered", "_places")
+    rows = once(rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
 def boilerplate_places(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -90,7 +98,7 @@ def _cleaned(rows: DataFrame, docs: DataFrame, text: Column, **names: str) -> Da
     rows = rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["host"] == found["_host"]) & (rows["text_hash"] == found["_copy"]), "left")
     rows = rows.withColumn("clean_text", _without(text, F.col("_places")))
     left = F.size(words_of(F.col("clean_text"))).cast("long")
-    rows = rows.withColumn("_left", F.when(F.col("_places").isNotNull(), left).otherwise(F.col("n_words")))
+    rows = once(rows.withColumn("_left", F.when(F.col("_places").isNotNull(), left).otherwise(F.col("n_words"))), "clean_text", "_left")
     rows = rows.withColumns({
         "n_removed": F.col("n_words") - F.col("_left"),
         "depleted": F.col("_places").isNotNull() & ((F.col("_left") < MIN_LEFT_WORDS) | (100 * F.col("_left") < MIN_LEFT_PERCENT * F.col("n_words")))})
@@ -121,8 +129,6 @@ def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     whole = tag("row")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(text_col).alias("text"), F.col(id_col).alias("id"),
                        _host(host_col).alias("host"), F.xxhash64(blank_null(text_col)).alias("text_hash"))
-    # A filter on the verdict alone would be pushed below the projections, which then work out the windows once per
-    # window; one on a row number as well stays where it is.
-    rows = base_counts(rows).withColumn("row_number", F.monotonically_increasing_id()).where("not base_failed and row_number >= 0")
+    rows = base_counts(rows).where("not base_failed")
     rows = _cleaned(rows.drop("text"), docs, F.col(f"{whole}.`{text_col}`"), id_col=id_col, text_col=text_col, host_col=host_col).where("not depleted")
     return rows.select(*(F.col("clean_text").alias(c) if c == text_col else F.col(f"{whole}.`{c}`") for c in docs.columns))
