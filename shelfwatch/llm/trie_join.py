@@ -286,4 +286,5 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = distinct.join(linked, "fingerprint").groupBy("component").agg(F.min("least").alias("component_id"))
     classes = distinct.join(linked.join(least, "component"), "fingerprint", "left")
     classes = classes.select("fingerprint", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = staged(classes, "trie-components")  # a table of its own, so that a hot fingerprint's rows can be split in the join
     return prints.join(classes, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
