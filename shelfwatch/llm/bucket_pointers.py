@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwatch.llm.common import blank_null, staged
+from shelfwatch.llm.common import STEP_BYTES, blank_null, sliced, staged
 from shelfwatch.llm.shingles import _BASE, _BYTE, _INVERSE, _powers, bytes_of, mixed
 
 LENGTH = 200
@@ -115,7 +115,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Of places with the same stretch in a batch one goes on, so what a text or many texts repeat is a row per batch.
     """
-    for batch in batches:
+    for batch in sliced(batches, "text", most=2 * STEP_BYTES):
         data, offsets = bytes_of(batch.column("text"))
         doc, bucket, stretch, first, last = anchors(data, offsets)
         if not len(doc):
@@ -140,7 +140,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted stretches of each text."""
-    for batch in batches:
+    for batch in sliced(batches, "text", most=4 * STEP_BYTES):
         data, offsets = bytes_of(batch.column("text"))
         wanted = batch.column("wanted")
         for i in range(batch.num_rows):
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     arrow = to_arrow_schema(schema)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text", most=4 * STEP_BYTES):
             data, offsets = bytes_of(batch.column("text"))
             sizes, gone, runs, kept = np.diff(offsets), [], [], []
             for i in range(batch.num_rows):

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwatch.session import staged
 
-__all__ = ["BATCH_ROWS", "WORD", "blank_null", "documents", "staged", "tag", "words_of"]
+__all__ = ["BATCH_ROWS", "STEP_BYTES", "WORD", "blank_null", "documents", "sliced", "staged", "tag", "words_of"]
 
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +33,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+#: Bytes of text that numpy works on at a time; arrays over them take some tens of times as much.
+STEP_BYTES = 2_000_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the named columns of a slice have at most ``most`` bytes together, or one row."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def blank_null(text: str | Column) -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import blank_null, staged
+from shelfwatch.llm.common import STEP_BYTES, blank_null, sliced, staged
 from shelfwatch.llm.components import components
 from shelfwatch.llm.shingles import mixed, shingles
 
@@ -47,8 +47,8 @@ SMALL, NEIGHBOURS = 8, 4
 #: Texts a side has in a block of the full comparison, and shingles a matrix has at a time.
 BLOCK = 256
 COLUMNS = 5_000
-#: Rows worked on at a time inside a batch.
-STEP = 200
+#: Times a text is longer than compressed, about.
+PACKED = 3
 
 _STEP, _SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,15 +104,8 @@ def _bands(value: np.ndarray) -> np.ndarray:
     return mixed((value * factor).reshape(len(value), BANDS, ROWS).sum(2) + np.arange(BANDS, dtype=np.uint64) * _STEP)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most STEP rows, which bounds what the arrays over them take."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            yield batch.slice(at, STEP)
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _pieces(batches):
+    for batch in sliced(batches, "text"):
         element, owner = shingles(batch.column("text"), WIDTH)
         value, has = signatures(element, owner, batch.num_rows)
         bands = _bands(value).view(np.int64)
@@ -123,7 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, as they are about to be shuffled more than once."""
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         packed = [zlib.compress(t.encode(), 1) for t in batch.column("text").to_pylist()]
         yield pa.record_batch([batch.column("id"), pa.array(packed, pa.binary())], ["id", "packed"])
 
@@ -166,12 +159,11 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole texts have a weighted similarity of at least 0.8."""
-    for batch in _pieces(batches):
+    for batch in sliced(batches, "left", "right", most=STEP_BYTES // PACKED):
         n = batch.num_rows
         unit, owner = [], []
         for c in ("left", "right"):
-            texts = pa.array([zlib.decompress(x).decode() for x in batch.column(c).to_pylist()], pa.large_string())
-            u, o = units(*shingles(texts, WIDTH))
+            u, o = _units_of(batch.column(c))
             unit.append(u)
             owner.append(o)
         sizes = [np.bincount(o, minlength=n) for o in owner]
@@ -184,6 +176,12 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
 
+def _units_of(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Units of compressed texts and the text each belongs to."""
+    texts = pa.array([zlib.decompress(x).decode() for x in packed.to_pylist()], pa.large_string())
+    return units(*shingles(texts, WIDTH))
+
+
 def _block(left: pa.Table, right: pa.Table) -> pa.Table:
     """Links between the texts of two sides, one for each left text and part of the right side."""
     none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
@@ -191,8 +189,12 @@ def _block(left: pa.Table, right: pa.Table) -> pa.Table:
         return none
     sides = []
     for t in (left, right):
-        texts = pa.array([zlib.decompress(x).decode() for x in t.column("packed").to_pylist()], pa.large_string())
-        sides.append(units(*shingles(texts, WIDTH)))
+        found, at = [], 0
+        for part in sliced(t.select(["packed"]).to_batches(), "packed", most=STEP_BYTES // PACKED):
+            u, o = _units_of(part.column(0))
+            found.append((u, o + at))
+            at += part.num_rows
+        sides.append(tuple(np.concatenate(x) for x in zip(*found)))
     both = np.intersect1d(*(np.unique(u) for u, _ in sides), assume_unique=True)
     shared = np.zeros((left.num_rows, right.num_rows), np.float32)
     for at in range(0, len(both), COLUMNS):

@@ -36,6 +36,8 @@ from shelfwatch.llm.common import BATCH_ROWS
 
 #: Code points a chunk may hold before the next one begins.
 CHUNK_CHARS = 8_000_000
+#: Words the tokenizer encodes at a time.
+ENCODED = 10_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The pre-tokenizer's word pattern (fixed value), its white space class spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -191,7 +193,9 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                     at_bucket, memo = row["bucket"], {}
                 words = _parts(row["sizes"], row["data"])
                 new = [w for w in words if w not in memo]
-                memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
+                for at in range(0, len(new), ENCODED):
+                    some = new[at:at + ENCODED]
+                    memo.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False))))
                 sizes, data = _joined([memo[w] for w in words])
                 yield pa.record_batch([batch.column("chunk").slice(i, 1), batch.column("seal").slice(i, 1), batch.column("codes").slice(i, 1),
                                        pa.array([sizes], pa.binary()), pa.array([data], pa.binary())], ["chunk", "seal", "codes", "sizes", "data"])
