@@ -388,7 +388,11 @@ def by_slug(v):
     first, second = two_extractions(v)
     slugs = first.withColumn("url", F.concat(F.lit("https://www.example.com/"), F.replace(
         "dom_title", F.lit(" "), F.lit("-"))))
-    return quality.reconcile_by_slug(slugs, second.filter("position > 1"))
+    # Each page has one link more than the second reading has rows, so the readings differ in length.
+    more = slugs.groupBy("page_id").agg(F.max("position").alias("last")).select(
+        "page_id", (F.col("last") + 1).alias("position"), F.lit("https://www.example.com/gift-card").alias("url"),
+        F.lit("gift card").alias("dom_title"), F.lit("$25").alias("dom_price"))
+    return quality.reconcile_by_slug(slugs.unionByName(more), second)
 
 
 @query("J16b_title_cross_check")
@@ -405,8 +409,8 @@ def ratios(v):
     rows = rows.join(v.part, F.col("l_partkey") == F.col("p_partkey")).join(
         v.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = rows.select(F.lower("p_name").alias("lt"), F.lower("s_name").alias("rt")).distinct().select(
-        "lt", "rt", F.lit(1).alias("shared"))
-    return fuzzy.scored_title_pairs(pairs, 0.0)
+        "lt", "rt")
+    return fuzzy.ratios(pairs).filter("ratio > 0")
 
 
 @query("X19_confidences", """

@@ -305,3 +305,65 @@ def linking_summary_by_keys(v):
 @query("D6_title_price_pairs")
 def pairs(v):
     return fuzzy.title_price_pairs(v.b_products)
+
+
+# Patterns as a retailer's own history gives them: the pages of even brands keep their urls, those of odd ones move.
+STABLE = "CAST(regexp_extract(retailer, '([0-9]+)$', 1) AS INT) % 2 = 0"
+POLICY_SQL = CASCADE_SQL + f""", learned AS (SELECT retailer, 1.0 - count(*) FILTER (coalesce(eu, nu, cu, tu) <> catalog_url) / count(*)::DOUBLE AS stability
+  FROM j WHERE coalesce(eu, nu, cu, tu) IS NOT NULL AND (NOT ({STABLE}) OR coalesce(eu, nu, cu, tu) = catalog_url) GROUP BY retailer),
+gated AS (SELECT j.*, coalesce(stability < 0.5, false) AS fuzzy_only FROM j LEFT JOIN learned l ON j.retailer = l.retailer)
+"""
+
+
+def learned_patterns(v):
+    stays = ~F.expr(STABLE) | (F.col("linked_product_url") == F.col("catalog_url"))
+    return patterns.retailer_patterns(key_links(v).filter(stays))
+
+
+@query("J9_policy_key_levels", POLICY_SQL + """
+SELECT retailer, CASE WHEN eu IS NOT NULL THEN 'exact_url' WHEN nu IS NOT NULL THEN 'normalized_url' ELSE 'product_code' END AS link_method,
+  count(*) AS n, count(DISTINCT coalesce(eu, nu, cu)) AS products
+FROM gated WHERE NOT fuzzy_only AND coalesce(eu, nu, cu) IS NOT NULL GROUP BY ALL""")
+def policy_key_levels(v):
+    """The cascade under learned patterns: retailers whose urls move have no link by url or code."""
+    links = linking.link_listings(v.b_snapshots, v.b_products, learned_patterns(v))
+    return (links.filter(F.col("link_method") != "fuzzy_title_price").groupBy("retailer", "link_method")
+            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("linked_product_url").alias("products")))
+
+
+@query("J9b_policy_backfill_by_keys", POLICY_SQL + """
+SELECT l_orderkey, l_linenumber, CASE WHEN NOT fuzzy_only THEN coalesce(eu, nu, cu, tu) ELSE tu END AS linked_product_url,
+  CASE WHEN NOT fuzzy_only AND eu IS NOT NULL THEN 'exact_url' WHEN NOT fuzzy_only AND nu IS NOT NULL THEN 'normalized_url'
+    WHEN NOT fuzzy_only AND cu IS NOT NULL THEN 'product_code' WHEN tu IS NOT NULL THEN 'exact_title_price' END AS link_method
+FROM gated""")
+def policy_backfill(v):
+    links = linking.backfill_links(v.b_snapshots, v.b_products, learned_patterns(v), fuzzy_level=False)
+    return links.select(*KEY, "linked_product_url", "link_method")
+
+
+# A seventh of the listings is known by nothing but its first image.
+UNKNOWN = "l_orderkey % 7 = 0"
+CLASSIFY_IMAGES_SQL = CLASSIFY_SQL.split("SELECT l_orderkey, l_linenumber,")[0].replace(
+    "WITH m AS (SELECT * FROM b_snapshots WHERE scan_type = 'monitor')",
+    f"WITH m AS (SELECT * REPLACE (CASE WHEN {UNKNOWN} THEN concat('https://new.example.com/', l_orderkey, '/', l_linenumber) ELSE catalog_url END AS catalog_url, "
+    f"CASE WHEN {UNKNOWN} THEN 'never seen before' ELSE title END AS title, CASE WHEN {UNKNOWN} THEN NULL ELSE product_code END AS product_code) "
+    "FROM b_listings WHERE scan_type = 'monitor')") + """,
+im AS (SELECT retailer, i AS k, min(url) AS u FROM (SELECT retailer, url, unnest(string_split(image_csv, ',')) AS i FROM b_products_full) WHERE i <> '' GROUP BY ALL),
+ji AS (SELECT j.*, im.u AS iu FROM j LEFT JOIN im ON j.retailer = im.retailer AND string_split(j.image_csv, ',')[1] = im.k)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN coalesce(eu, hu, nu, cu, tu, htu) IS NOT NULL THEN 'confirmed_existing' WHEN iu IS NOT NULL THEN 'suspected_duplicate' ELSE 'confirmed_new' END AS status,
+  CASE WHEN coalesce(eu, hu) IS NOT NULL THEN 'exact_url' WHEN nu IS NOT NULL THEN 'normalized_url' WHEN cu IS NOT NULL THEN 'product_code'
+    WHEN coalesce(tu, htu) IS NOT NULL THEN 'title_price' WHEN iu IS NOT NULL THEN 'image_url' ELSE 'none' END AS match_method,
+  coalesce(eu, hu, nu, cu, tu, htu, iu) AS matched_url
+FROM ji"""
+
+
+@query("J10_classify_by_images", CLASSIFY_IMAGES_SQL)
+def classify_by_images(v):
+    unknown = F.expr(UNKNOWN)
+    now = with_images(v.b_listings.filter("scan_type = 'monitor'")).withColumns({
+        "catalog_url": F.when(unknown, F.concat(F.lit("https://new.example.com/"), "l_orderkey", F.lit("/"), "l_linenumber")).otherwise(F.col("catalog_url")),
+        "title": F.when(unknown, "never seen before").otherwise(F.col("title")), "product_code": F.when(~unknown, F.col("product_code"))})
+    _, history = split_scans(v)
+    found = linking.classify_listings(now, with_images(v.b_products_full), history, use_fuzzy=False)
+    return found.select(*KEY, "status", "match_method", "matched_url")

@@ -47,6 +47,18 @@ def sequence_ratio():
     return score.asNondeterministic()
 
 
+#: From this length of the right text on the matcher leaves frequent characters out.
+FREQUENT_FROM = 200
+
+
+def settled_ratio(left: Column, right: Column) -> Column:
+    """The ratio where it needs no matching, else NULL: texts that are equal, contain one another or share no character."""
+    a, b = F.length(left), F.length(right)
+    inside = F.contains(left, right) | F.contains(right, left)
+    closed = F.when((a == 0) & (b == 0), 1.0).when(inside, 2.0 * F.least(a, b) / (a + b)).when(bag_bound(left, right) == 0, 0.0)
+    return F.when(b < FREQUENT_FROM, closed)
+
+
 def min_length(length: Column, threshold: float) -> Column:
     """Shortest text that can reach ``threshold`` against one of ``length``."""
     return F.ceil(length * F.lit(threshold / (2 - threshold)) - F.lit(_EPS)).cast("int")
@@ -84,16 +96,36 @@ def pieces(text: Column, threshold: float) -> Column:
 
 
 def grams_for_partners(text: Column, threshold: float) -> Column:
-    """Distinct substrings a partner's surviving piece can equal."""
+    """Substrings a partner's surviving piece can equal, each with its place (from 0)."""
     size = F.length(text)
     lengths = F.sequence(F.greatest(min_length(size, threshold), F.lit(1)),
                          max_length(size, threshold))
     widths = F.array_distinct(F.transform(lengths, lambda n: piece_width(n, threshold)))
     widths = F.filter(widths, lambda w: w <= size)
-    return F.array_distinct(F.flatten(F.transform(
+    return F.flatten(F.transform(
         widths,
         lambda w: F.transform(F.sequence(F.lit(0), size - w),
-                              lambda i: F.substring(text, i + 1, w)))))
+                              lambda i: F.struct(F.substring(text, i + 1, w).alias("piece"), i.alias("place")))))
+
+
+def unharmed(shift: Column, left_len: Column, right_len: Column, threshold: float) -> Column:
+    """Whether a piece of the left text may stand unharmed ``shift`` places on in the right text.
+
+    A piece moves by the insertions less the deletions before it; those behind it make up the rest of the difference
+    in length. Together they are no more than the pair's edits.
+    """
+    return F.abs(shift) + F.abs(right_len - left_len - shift) <= pair_edits(left_len, right_len, threshold)
+
+
+def outermost(nth: Column, shift: Column, rest: Column, edits: Column) -> Column:
+    """Whether a piece may be the first unharmed one from an end, with ``nth`` pieces between it and that end.
+
+    Go through the pieces from the end and stop at the first up to whose far side there are at most ``nth`` edits. There
+    is one, as there are more pieces than edits. Before it there are exactly ``nth`` edits and in it none, so it is
+    moved against that end by at most ``nth``, and by an odd number if ``nth`` is odd; against the other end by no
+    more than the edits that are left.
+    """
+    return (F.abs(shift) <= nth) & (F.pmod(shift + nth, F.lit(2)) == 0) & (F.abs(rest) <= edits - nth)
 
 
 def char_bag(text: Column) -> Column:

@@ -96,7 +96,10 @@ def url_hash(url: Column) -> Column:
 
 
 def url_pattern(url: Column) -> Column:
-    """Host plus first path segment, the grain of download statistics."""
+    """Host plus first path segment, the grain of download statistics.
+
+    A link without a host keeps its first 100 characters (fixed value).
+    """
     bare = F.regexp_replace(url, r"^https?://", "")
     return F.when(bare.rlike(r"^[^/]"), F.regexp_extract(bare, r"^([^/]+(/[^/]+)?)", 1)).otherwise(
         F.substring(bare, 1, 100))

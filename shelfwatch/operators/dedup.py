@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import urls as U
 from shelfwatch.functions.text import title_key
+from shelfwatch.operators.groups import connected
 from shelfwatch.session import staged
 
+#: Rows of a connected group that one pass of a task goes through.
+GROUP_ROWS = 200_000
+
 
 def first_per_key(rows: DataFrame, key: Column, seq: str, within: list[str] | None = None) -> DataFrame:
     """First row by ``seq`` per key, found by aggregate so that hot keys shrink early."""
@@ -48,23 +55,56 @@ def identity_keys() -> Column:
         F.when(titled, F.concat(title_key(F.col("title")), F.lit(":"), price_text)))))
 
 
-def greedy_dedup(rows: DataFrame, seq: str, max_rounds: int | None = None) -> DataFrame:
+def greedy_dedup(rows: DataFrame, seq: str, max_rounds: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Keep a row unless an earlier *kept* row shares any of its keys.
 
-    Same result as going through the rows in ``seq`` order (unique integers),
-    found in rounds. A row whose ``seq`` is the smallest undecided one on all
-    its keys is kept; undecided rows that share a key with a kept row are
-    dropped; the rest goes on. Every round settles at least the smallest row of
-    each connected group, so the loop ends; random data takes a handful.
-
-    No pair of rows is ever formed: keys carry one minimum and one flag, both
-    from aggregates, so a key a third of the rows share is still one row per
-    task. Each round is written to the shared folder and read back.
+    Same result as going through the rows in ``seq`` order (unique integers). Keys that only one row has decide
+    nothing. Rows that share keys, over however many steps, form connected groups, found in logarithmic rounds; what
+    happens in one group does not touch another. Groups of up to ``group_rows`` rows are gone through in order, many
+    of them in one task and each held only while it lasts, so a long chain of partial duplicates takes one pass. Only
+    larger groups are decided in rounds of aggregates (see :func:`_in_rounds`).
+    """
+    keyed = staged(rows.select(seq, F.explode(identity_keys()).alias("key")), "dedup-keys")
+    shared = keyed.groupBy("key").agg(F.min(seq).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = staged(keyed.join(shared.select("key", "first"), "key"), "dedup-shared")
+    links = met.select(F.col(seq).alias("a"), F.col("first").alias("b"))
+    found, _ = connected(links)
+    found = staged(found.select(F.col("id").alias(seq), "group"), "dedup-groups")
+    large = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select("group")
+    open_rows = met.select(seq, "key").join(found, seq)
+    lines = open_rows.join(large, "group", "left_anti").groupBy("group", seq).agg(F.collect_list("key").alias("keys"))  # a row's own keys
+    dropped = lines.repartition("group").sortWithinPartitions("group", seq).mapInArrow(_gone_through(seq), f"{seq} long")
+    rest = open_rows.join(large, "group", "left_semi").select(seq, "key")
+    kept = _in_rounds(rest, seq, max_rounds)
+    dropped = dropped.unionByName(rest.select(F.col(seq).cast("long")).distinct().join(kept, seq, "left_anti"))
+    return rows.join(staged(dropped, "dedup-dropped"), seq, "left_anti")
+
+
+def _gone_through(seq: str):
+    """Rows (group, seq, keys) in order to the numbers of those that an earlier kept row shares a key with."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen = None, set()
+        for batch in batches:
+            gone = []
+            for g, n, keys in zip(*(batch[c].to_pylist() for c in ("group", seq, "keys"))):
+                if g != group:
+                    group, seen = g, set()
+                if seen.isdisjoint(keys):
+                    seen.update(keys)
+                else:
+                    gone.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], [seq])
+
+    return work
+
+
+def _in_rounds(open_rows: DataFrame, seq: str, max_rounds: int | None = None) -> DataFrame:
+    """Kept rows of (seq, key): every round keeps the rows that are smallest on all their keys.
+
+    Undecided rows that share a key with a kept row are dropped, the rest goes on. No pair of rows is formed: keys
+    carry one minimum and one flag, both from aggregates. Each round is written to the shared folder and read back.
     """
-    keyed = rows.select(seq, F.explode(identity_keys()).alias("key"))
-    keyless = rows.filter(F.size(identity_keys()) == 0).select(seq)
-    open_rows = staged(keyed, "dedup-keys")
-    kept, rounds = None, 0
+    kept, rounds = open_rows.select(F.col(seq).cast("long").alias(seq)).filter("false"), 0
     while not open_rows.isEmpty():
         first = open_rows.groupBy("key").agg(F.min(seq).alias("_min"))
         marked = open_rows.join(first, "key")
@@ -76,11 +116,9 @@ def greedy_dedup(rows: DataFrame, seq: str, max_rounds: int | None = None) -> Da
             .select("key")
         hit = open_rows.join(taken, "key", "left_semi").select(seq).distinct()
         winners = staged(winners, "dedup-kept")
-        rest = staged(open_rows.join(hit, seq, "left_anti"), "dedup-open")
-        kept = winners if kept is None else kept.unionByName(winners)
-        open_rows = rest
+        open_rows = staged(open_rows.join(hit, seq, "left_anti"), "dedup-open")
+        kept = kept.unionByName(winners)
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError("round limit reached before every row was decided")
-    kept = keyless if kept is None else kept.unionByName(keyless)
-    return rows.join(kept, seq, "left_semi")
+    return kept

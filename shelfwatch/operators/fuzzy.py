@@ -8,10 +8,11 @@ threshold is lost, and nothing is capped.
 2. Equal titles have ratio 1.0, the best there is, and need no scoring: one
    equi-join on the title settles them.
 3. The rest is blocked on (retailer, price bucket, piece of the title). A
-   listing's title is cut into so many pieces that a partner above the threshold
-   must contain one of them unchanged, and the number it shares is checked too.
-   Pieces are short (two to four characters), so a popular price still joins
-   many titles of like wording; the count and the next step thin them out.
+   listing's title is cut into more pieces than it can have edits against a
+   partner above the threshold. Only pieces within the pair's edits of their own
+   place count. Enough of them must be there, and one must fit as the first
+   unharmed piece from the left, one as the first from the right: as many edits
+   lie beyond such a piece as pieces do, which fixes how far it can have moved.
 4. Distinct title pairs pass the character-multiset bound and are scored once.
 """
 
@@ -79,24 +80,32 @@ def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: fl
     """Distinct (lt, rt) pairs that can reach the threshold inside the band.
 
     The larger side, the listings, is cut into its few pieces; the products
-    list every substring a piece may equal.
+    list every substring a piece may equal, with its place.
     """
     lefts = (spread_for_compute(
         left.select("retailer", "lt", _near_buckets(band, F.col("lp")).alias("bucket")).distinct(),
         "retailer", "lt", "bucket")
-        .withColumn("piece", F.explode(S.pieces(F.col("lt"), threshold))))
+        .select("*", F.posexplode(S.pieces(F.col("lt"), threshold)).alias("nth", "piece")))
     rights = (spread_for_compute(
         right.select("retailer", "rt", band.bucket(F.col("rp")).alias("bucket")).distinct(),
         "retailer", "rt", "bucket")
-        .withColumn("piece", F.explode(S.grams_for_partners(F.col("rt"), threshold))))
+        .withColumn("gram", F.explode(S.grams_for_partners(F.col("rt"), threshold)))
+        .select("retailer", "bucket", "rt", "gram.piece", "gram.place"))
     ll, rl = F.length("lt"), F.length("rt")
-    total_pieces = F.floor(ll / S.piece_width(ll, threshold))
-    return (lefts.join(rights, ["retailer", "bucket", "piece"])
-            .filter(rl.between(S.min_length(ll, threshold), S.max_length(ll, threshold)))
-            .groupBy("retailer", "bucket", "lt", "rt").agg(F.count(F.lit(1)).alias("shared"))
-            .filter(F.col("shared") >= total_pieces - S.pair_edits(ll, rl, threshold))
-            .filter(F.col("lt") != F.col("rt"))
-            .groupBy("lt", "rt").agg(F.max("shared").alias("shared")))
+    nth, shift = F.col("nth"), F.col("place") - F.col("nth") * S.piece_width(ll, threshold)
+    total, edits = F.floor(ll / S.piece_width(ll, threshold)), S.pair_edits(ll, rl, threshold)
+    rest = rl - ll - shift
+    met = (lefts.join(rights, ["retailer", "bucket", "piece"])
+           .filter(rl.between(S.min_length(ll, threshold), S.max_length(ll, threshold)))
+           .filter(S.unharmed(shift, ll, rl, threshold)).filter(F.col("lt") != F.col("rt")))
+    # Pieces past the 60th share marks: a mark then counts once, and only titles with that many pieces are counted low.
+    mark = F.expr("shiftleft(1L, cast(least(nth, 60) as int))")
+    pairs = met.groupBy("lt", "rt").agg(
+        F.bit_or(mark).alias("marks"), F.bool_or(S.outermost(nth, shift, rest, edits)).alias("from_left"),
+        F.bool_or(S.outermost(total - 1 - nth, rest, shift, edits)).alias("from_right"))
+    enough = (F.bit_count("marks") >= total - edits) | (total > 60)
+    return (pairs.filter(F.col("from_left") & F.col("from_right") & enough)
+            .select("lt", "rt", F.bit_count("marks").alias("shared")))
 
 
 def scored_title_pairs(pairs: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
@@ -113,6 +122,15 @@ def scored_title_pairs(pairs: DataFrame, threshold: float, inclusive: bool = Fal
     return scored.filter(keep)
 
 
+def ratios(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of distinct (lt, rt) with their exact ratio; only pairs that native rules leave open reach Python."""
+    known = pairs.withColumn("ratio", S.settled_ratio(F.col("lt"), F.col("rt")))
+    # A generator holds the value, so that the two filters below read it.
+    known = known.select("lt", "rt", F.explode(F.array("ratio")).alias("ratio"))
+    left = spread_for_compute(known.filter(F.col("ratio").isNull()).select("lt", "rt"), "lt", "rt")
+    return known.filter(F.col("ratio").isNotNull()).unionByName(left.withColumn("ratio", S.sequence_ratio()(F.col("lt"), F.col("rt"))))
+
+
 def best_fuzzy(listings: DataFrame, products: DataFrame, band, threshold: float) -> DataFrame:
     """Best product per distinct (retailer, lt, lp): ``url`` and ``ratio``.
 

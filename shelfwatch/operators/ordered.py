@@ -17,6 +17,41 @@ def chunk_of(seq: Column, width: int = 1_000_000) -> Column:
     return (seq - F.pmod(seq, F.lit(width))).cast("long")
 
 
+def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, nulls being equal; the right one's copies are dropped."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    test = None
+    for c in on:
+        one = left[c].eqNullSafe(other[f"_r_{c}"])
+        test = one if test is None else test & one
+    joined = left.join(other, test, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{c}" for c in on])
+
+
+def sums_before(chunks: DataFrame, keys: list[str], order: list[str], size: str, fan: int = 1000) -> DataFrame:
+    """Adds ``_before`` and ``total``: the sum of ``size`` over earlier rows of the key, and over all.
+
+    A tree of sums: rows are numbered into blocks of about ``fan`` by the ranges of their order, blocks are summed, and
+    the sums before a block come from a window over the blocks alone. ``chunks`` has one row per key and order; its
+    last order column is an integer, and of chunk starts.
+    """
+    *lead, last = order
+    spread = F.max(last) - F.min(last)
+    reach = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(last).alias("_low"), spread.alias("_span"))
+    rows = _same(chunks, reach, keys)
+    width = F.greatest(F.lit(1), F.ceil((F.col("_span") + 1) / F.greatest(F.lit(1), F.ceil(F.col("_rows") / fan))))
+    rows = rows.withColumn("_block", F.floor((F.col(last) - F.col("_low")) / width)).drop("_rows", "_low", "_span")
+    by_block = [*lead, "_block"]
+    blocks = rows.groupBy(*keys, *by_block).agg(F.sum(size).alias("_block_sum"))
+    over = W.partitionBy(*keys).orderBy(*by_block).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_blocks_before", F.coalesce(F.sum("_block_sum").over(over), F.lit(0))).drop("_block_sum")
+    totals = chunks.groupBy(*keys).agg(F.sum(size).alias("total"))
+    inside = W.partitionBy(*keys, *by_block).orderBy(last).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    rows = _same(_same(rows, blocks, [*keys, *by_block]), totals, keys)
+    return rows.withColumn("_before", F.col("_blocks_before") + F.col("_inside")).drop("_block", "_blocks_before", "_inside")
+
+
 def with_previous(df: DataFrame, keys: list[str], chunk: list[str], order: list[str],
                   value: str, name: str) -> DataFrame:
     """Adds ``name``: the ``value`` of the row before, in ``order`` within ``keys``.
@@ -30,7 +65,7 @@ def with_previous(df: DataFrame, keys: list[str], chunk: list[str], order: list[
     before = last.select(*keys, *chunk, F.lag(F.col("_m._v")).over(across).alias("_before"))
     rows = df.withColumn("_rn", F.row_number().over(inside)).withColumn(
         "_lag", F.lag(F.col(value)).over(inside))
-    return rows.join(before, [*keys, *chunk]).withColumn(
+    return _same(rows, before, [*keys, *chunk]).withColumn(
         name, F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_lag"))).drop(
         "_rn", "_lag", "_before")
 
@@ -38,11 +73,8 @@ def with_previous(df: DataFrame, keys: list[str], chunk: list[str], order: list[
 def with_position(df: DataFrame, keys: list[str], chunk: list[str], order: list[str]) -> DataFrame:
     """Adds 0-based ``position`` and ``total`` within ``keys`` along ``order``."""
     inside = W.partitionBy(*keys, *chunk).orderBy(*order)
-    across = W.partitionBy(*keys).orderBy(*chunk).rowsBetween(W.unboundedPreceding, -1)
-    sizes = (df.groupBy(*keys, *chunk).agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0)))
-             .withColumn("total", F.sum("_n").over(W.partitionBy(*keys))).drop("_n"))
-    return (df.withColumn("_rn", F.row_number().over(inside)).join(sizes, [*keys, *chunk])
+    sizes = sums_before(df.groupBy(*keys, *chunk).agg(F.count(F.lit(1)).alias("_n")), keys, chunk, "_n").drop("_n")
+    return (_same(df.withColumn("_rn", F.row_number().over(inside)), sizes, [*keys, *chunk])
             .withColumn("position", F.col("_before") + F.col("_rn") - 1).drop("_rn", "_before"))
 
 
@@ -50,14 +82,14 @@ def price_history(snapshots: DataFrame, seq: str, width: int = 1_000_000, heavy_
     """Price per listing and date with the previous price and the change.
 
     Listings are counted first (combined before the shuffle). Those of up to ``heavy_rows`` rows fit a window of their
-    own, one exchange in all; only larger ones are cut into chunks.
+    own, one exchange in all; only larger ones are cut into chunks. Rows without a url are a listing, null dates and
+    null ``seq`` come first; both ways give the same rows.
     """
     heavy = (snapshots.groupBy("catalog_url").agg(F.count(F.lit(1)).alias("_n"))
              .filter(F.col("_n") > heavy_rows).select("catalog_url"))
     own = W.partitionBy("catalog_url").orderBy("discovered_date", seq)
-    light = snapshots.filter(F.col("catalog_url").isNotNull()).join(heavy, "catalog_url", "left_anti").withColumn(
-        "previous_price", F.lag("price").over(own))
-    rows = snapshots.join(heavy, "catalog_url", "left_semi").withColumn("_chunk", chunk_of(F.col(seq), width))
+    light = _same(snapshots, heavy, ["catalog_url"], "left_anti").withColumn("previous_price", F.lag("price").over(own))
+    rows = _same(snapshots, heavy, ["catalog_url"], "left_semi").withColumn("_chunk", chunk_of(F.col(seq), width))
     out = with_previous(rows, ["catalog_url"], ["discovered_date", "_chunk"],
                         ["discovered_date", "_chunk", seq], "price", "previous_price").drop("_chunk")
     return light.unionByName(out).withColumn("price_change", F.col("price") - F.col("previous_price"))

@@ -12,7 +12,9 @@ from shelfwatch.functions import text as X
 from shelfwatch.functions import urls as U
 from shelfwatch.functions.prices import price_first_number
 from shelfwatch.functions.text import contains_any
+from shelfwatch.operators import fuzzy
 from shelfwatch.operators.keyed import computed_once, spread_for_compute
+from shelfwatch.session import staged
 
 # Texts of a blocked page, and words every retailer's page has.
 BLOCK_PHRASES = [
@@ -274,23 +276,21 @@ def reconcile_by_slug(first: DataFrame, second: DataFrame) -> DataFrame:
 
     Each row of ``second`` takes its most similar link of the page above 0.5,
     the earlier one on ties; without one it is dropped. Links nobody took are
-    appended with ``needs_reprocessing``. A page lists at most some hundred
-    links; the pairs of one page are spread over all tasks by (page, title).
+    appended with ``needs_reprocessing``.
+
+    At one half no key is exact, so titles meet the links of their page, but
+    only bounds are worked out for all pairs: the characters in common, read from
+    bags made once per text. A title is scored against the link of the highest
+    bound first, and then only against links whose bound is not below that score.
     """
     threshold = 0.5
     slug = F.substring_index(F.lower("url"), "/", -1)
     links = first.select("page_id", F.col("position").alias("link_position"), "url", "dom_title",
                          "dom_price", slug.alias("slug"))
     rows = second.withColumn("low", F.lower(F.coalesce("title", F.lit(""))))
-    a, b = F.length("low"), F.length("slug")
-    reach = 2.0 * F.least(a, b) / F.nullif(a + b, F.lit(0)) > threshold
-    on_page = (rows.select("page_id", "low").distinct()
-               .join(links.select("page_id", "slug").distinct(), "page_id").filter(reach))
-    pairs = on_page.select("low", "slug").distinct()
-    scored = (spread_for_compute(pairs, "low", "slug")
-              .withColumn("similarity", S.sequence_ratio()(F.col("low"), F.col("slug")))
-              .filter(F.col("similarity") > threshold))
-    best = (rows.join(on_page.join(scored, ["low", "slug"]), ["page_id", "low"]).join(links, ["page_id", "slug"])
+    scored = slug_scores(rows.select("page_id", "low"), links.select("page_id", "slug"), threshold)
+    scored = scored.filter(F.col("similarity") > threshold)
+    best = (rows.join(scored, ["page_id", "low"]).join(links, ["page_id", "slug"])
             .groupBy("page_id", "position", "title", "price")
             .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "link_position", "url"))
                  .alias("m"))
@@ -308,10 +308,42 @@ def reconcile_by_slug(first: DataFrame, second: DataFrame) -> DataFrame:
     return best.unionByName(left)
 
 
+def slug_scores(titles: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(page_id, low, slug, similarity) of the pairs of a page that can be a title's best above ``threshold``.
+
+    Every pair whose score is a title's highest, and above the threshold, is among them.
+    """
+    bag = lambda c: F.explode(F.array(S.char_bag(F.col(c))))  # noqa: E731  a value of its own, made once per text
+    left = titles.distinct().filter(F.col("low") != "").select("page_id", "low", bag("low").alias("_left"))
+    right = links.distinct().filter(F.col("slug") != "").select("page_id", "slug", bag("slug").alias("_right"))
+    a, b = F.length("low"), F.length("slug")
+    reach = 2.0 * F.least(a, b) / (a + b) > threshold
+    bound = 2.0 * F.size(F.array_intersect("_left", "_right")) / (a + b)
+    pairs = spread_for_compute(left, "page_id", "low").join(right, "page_id").filter(reach)
+    pairs = pairs.select("page_id", "low", "slug", F.explode(F.array(bound)).alias("bound")).filter(F.col("bound") > threshold)
+    pairs = staged(pairs, "slug-bounds")
+    first = pairs.groupBy("page_id", "low").agg(F.max(F.struct("bound", "slug")).alias("m")).select("page_id", "low", F.col("m.slug").alias("slug"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        texts = fuzzy.ratios(some.select(F.col("low").alias("lt"), F.col("slug").alias("rt")).distinct())
+        return some.join(texts.select(F.col("lt").alias("low"), F.col("rt").alias("slug"), F.col("ratio").alias("similarity")), ["low", "slug"])
+
+    head = staged(scored(first), "slug-first").select("page_id", "low", "slug", "similarity")
+    rest = pairs.join(head.select("page_id", "low", F.col("slug").alias("_done"), F.col("similarity").alias("_best")), ["page_id", "low"])
+    rest = rest.filter((F.col("slug") != F.col("_done")) & (F.col("bound") >= F.col("_best") - 1e-9)).select("page_id", "low", "slug")
+    return head.unionByName(scored(rest).select("page_id", "low", "slug", "similarity"))
+
+
 def title_cross_check(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """Similarity of two titles of one record; above 0.8 they validate each other."""
-    return rows.withColumn("similarity", S.sequence_ratio()(F.lower(left), F.lower(right))) \
-        .withColumn("validated", F.col("similarity") > 0.8)
+    """Similarity of two titles of one record; above 0.8 they validate each other.
+
+    Distinct title pairs are scored, those that need matching in Python; rows without one of the titles have no score.
+    """
+    low = rows.withColumns({"_lt": F.lower(left), "_rt": F.lower(right)})
+    there = F.col("_lt").isNotNull() & F.col("_rt").isNotNull()
+    texts = fuzzy.ratios(low.filter(there).select(F.col("_lt").alias("lt"), F.col("_rt").alias("rt")).distinct())
+    scored = low.join(texts, (F.col("_lt") == F.col("lt")) & (F.col("_rt") == F.col("rt")), "left")
+    return scored.withColumnRenamed("ratio", "similarity").drop("_lt", "_rt", "lt", "rt").withColumn("validated", F.col("similarity") > 0.8)
 
 
 def reconciliation_statistics(merged: DataFrame) -> DataFrame:
