@@ -98,21 +98,28 @@ def _substrings(text: Column, width: int) -> Column:
 def codes_in_urls(codes: DataFrame, products: DataFrame) -> DataFrame:
     """Smallest product url per (retailer, code) whose url contains the code.
 
-    Equi-joins only: a code of eight characters or more is looked up by its
-    last eight, a shorter one by its last four, and the hit is then checked
-    whole. Codes of up to three characters meet a table of all substrings of
-    their own length, already reduced to one row each.
+    Equi-joins only: a code of eight characters or more is looked up by one of
+    its pieces of eight, a shorter one by one of four, and the hit is then checked
+    whole. Urls are counted by piece first (combined before the shuffle), a code
+    takes the piece that the fewest urls have, and one of whose pieces no url has
+    is not looked up at all; so a piece that all urls share pairs nothing. Codes of
+    up to three characters meet a table of all substrings of their own length,
+    already reduced to one row each.
     """
     codes = codes.select("retailer", "code").filter(F.col("code") != "").distinct()
     size = F.length("code")
     url_rows = spread_for_compute(products.select("retailer", "url"), "url")
 
-    long_form = (F.when(size >= LONG_GRAM, F.right("code", F.lit(LONG_GRAM)))
-                 .when(size >= SHORT_GRAM, F.right("code", F.lit(SHORT_GRAM))))
+    own = F.when(size >= LONG_GRAM, _substrings(F.col("code"), LONG_GRAM)).when(size >= SHORT_GRAM, _substrings(F.col("code"), SHORT_GRAM))
+    asked = codes.withColumn("_own", F.array_distinct(own)).filter(F.col("_own").isNotNull())
+    asked = asked.select("retailer", "code", F.size("_own").alias("_asked"), F.explode("_own").alias("_g"))
     grams = url_rows.withColumn("_g", F.explode(F.concat(
         _substrings(F.col("url"), LONG_GRAM), _substrings(F.col("url"), SHORT_GRAM))))
-    long_hits = (codes.withColumn("_g", long_form).filter(F.col("_g").isNotNull())
-                 .join(grams, ["retailer", "_g"])
+    counts = grams.join(asked.select("retailer", "_g").distinct(), ["retailer", "_g"], "left_semi").groupBy("retailer", "_g").agg(F.count(F.lit(1)).alias("_urls"))
+    rarest = (asked.join(counts, ["retailer", "_g"]).groupBy("retailer", "code", "_asked")
+              .agg(F.min(F.struct("_urls", "_g")).alias("m"), F.count(F.lit(1)).alias("_there"))
+              .filter(F.col("_there") == F.col("_asked")).select("retailer", "code", F.col("m._g").alias("_g")))
+    long_hits = (staged(rarest, "code-pieces").join(grams, ["retailer", "_g"])
                  .filter(F.contains("url", "code"))
                  .groupBy("retailer", "code").agg(F.min("url").alias("url")))
 

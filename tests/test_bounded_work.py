@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_dedup import SCHEMA, loop
 
-from shelfwatch.operators import dedup, fuzzy, groups, ordered, quality
+from shelfwatch.operators import dedup, fuzzy, groups, linking, ordered, quality
 
 
 def test_long_chain_takes_few_rounds(spark):
@@ -83,6 +83,7 @@ def test_best_links_of_a_large_page(spark):
 
 def test_fuzzy_candidates_stay_near_the_true_pairs(spark):
     """On the listings: at most 20 candidates for a true pair. On titles all of like wording: a small part of all pairs."""
+    import catalog_queries.everything  # noqa: F401
     from catalog_queries.base import Views
 
     v = Views(spark, "/root/testdata/sf0.01")
@@ -98,3 +99,14 @@ def test_fuzzy_candidates_stay_near_the_true_pairs(spark):
     found = {(r.lt, r.rt) for r in fuzzy.candidate_title_pairs(left, right, fuzzy.AbsoluteBand(1.0), 0.9).collect()}
     true = {(a.lt, b.rt) for a in left.collect() for b in right.collect() if a.lt != b.rt and SequenceMatcher(None, a.lt, b.rt).ratio() >= 0.9}
     assert true <= found and len(found) <= len(base) ** 2 / 12
+
+
+def test_codes_are_looked_up_by_their_rarest_piece(spark):
+    """All urls share the pieces of the shop's name; codes that hold them still meet only the urls with their own part."""
+    n = 3000
+    products = spark.range(n).select(F.lit("r").alias("retailer"), F.concat(F.lit("https://shop-products.com/p/shop-products-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("url"))
+    codes = [("r", f"shop-products-{i:06d}") for i in range(0, 200)] + [("r", "products"), ("r", "shop-products-x"), ("r", "0012"), ("r", "99"), ("r", None), ("r", "")]
+    got = {r.code: r.url for r in linking.codes_in_urls(spark.createDataFrame(codes, "retailer string, code string"), products).collect()}
+    urls = [f"https://shop-products.com/p/shop-products-{i:06d}" for i in range(n)]
+    want = {c: min(u for u in urls if c in u) for _, c in codes if c and any(c in u for u in urls)}
+    assert got == want
