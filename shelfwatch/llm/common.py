@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.session import staged
 
-__all__ = ["BATCH_ROWS", "STEP_BYTES", "WORD", "blank_null", "documents", "sliced", "staged", "tag", "words_of"]
+__all__ = ["BATCH_ROWS", "STEP_BYTES", "WORD", "blank_null", "documents", "give_back", "sliced", "staged", "staged_few", "tag", "tidy", "words_of"]
 
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +40,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEP_BYTES = 2_000_000
 
 
+def give_back() -> None:
+    """Memory that this process no longer uses back to the system; idle workers wait with what they have."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work):
+    """A function of batches that gives its memory back when it ends."""
+    @functools.wraps(work)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the named columns of a slice have at most ``most`` bytes together, or one row."""
     for batch in batches:
@@ -48,6 +73,15 @@ def sliced(batches: Iterator[pa.RecordBatch], *columns: str, most: int = STEP_BY
             at = stop
 
 
+#: Rows of small records worth a task and a file of their own.
+FILE_ROWS = 5000
+
+
+def staged_few(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """:func:`staged` for about ``rows`` rows of small records: many shuffle partitions of a few rows each share tasks and files."""
+    return staged(df.coalesce(max(1, -(-rows // FILE_ROWS))), label)
+
+
 def blank_null(text: str | Column) -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

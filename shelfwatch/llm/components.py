@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import staged
+from shelfwatch.llm.common import staged, staged_few
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -27,13 +27,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
-    """(id, component) of every id of ``links`` (a, b); the component is its smallest id."""
-    now = staged(links.select("a", "b").where("a <> b").distinct(), label)
+def components(links: DataFrame, label: str = "components", rows: int | None = None) -> DataFrame:
+    """(id, component) of every id of ``links`` (a, b); the component is its smallest id. ``rows``: about how many links, if known."""
+    links = links.select("a", "b").where("a <> b").distinct()
+    now = staged(links, label) if rows is None else staged_few(links, label, rows)
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
     seen = mark(now)
     while seen[0]:
-        now = staged(_star(_star(now, True), False), label)
+        now = staged_few(_star(_star(now, True), False), label, seen[0])  # a round never has more links than nodes and links before
         before, seen = seen, mark(now)
         if seen == before:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwatch.llm.common import blank_null, staged, tag
+from shelfwatch.llm.common import blank_null, staged, tag, tidy
 
 #: Bytes of the content that take part in the splitters; ties go on to the hash and the id.
 HEAD_BYTES = 64
@@ -119,7 +119,7 @@ def marked(docs: DataFrame, columns: list[str], *, id_col: str, content: Column,
             yield from runs.add(batch)
         yield from runs.flush()
 
-    found = staged(rows.mapInArrow(walk, schema), "content-runs")
+    found = staged(rows.mapInArrow(tidy(walk), schema), "content-runs")
     same = Window.partitionBy(names["text"])
     merged = found.where(F.col(names["text"]).isNotNull()).select(
         names["part"], names["run"], F.max(names["keep"]).over(same).alias(names["keep"]), F.sum(names["n"]).over(same).alias(names["n"]),

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import STEP_BYTES, blank_null, sliced, staged
+from shelfwatch.llm.common import STEP_BYTES, blank_null, sliced, staged, staged_few, tidy
 from shelfwatch.llm.components import components
 from shelfwatch.llm.shingles import mixed, shingles
 
@@ -233,21 +233,23 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id, class_size, kept) of each row."""
     low = F.lower(blank_null(text_col))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), low.alias("text"), F.md5(low).alias("copy"))
-    signed = staged(rows.mapInArrow(_signed, "id long, copy string, bands array<bigint>, sketch binary"), "dart-signatures")
+    signed = staged(rows.mapInArrow(tidy(_signed), "id long, copy string, bands array<bigint>, sketch binary"), "dart-signatures")
+    n = signed.count()
+    few = lambda df, label: staged_few(df, label, n)  # noqa: E731  tables of a small record a document or link
     first = signed.groupBy("copy").agg(F.min("id").alias("first"))
-    of_copy = staged(signed.select("id", "copy").join(first, "copy").select("id", "first"), "dart-copies")
+    of_copy = few(signed.select("id", "copy").join(first, "copy").select("id", "first"), "dart-copies")
     alone = of_copy.where("id = first").select("id").distinct()
-    texts = staged(signed.join(alone, "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch"), "dart-texts-signed")
+    texts = few(signed.join(alone, "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch"), "dart-texts-signed")
     keys = texts.select("id", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    keys = staged(keys.join(sizes, "bucket"), "dart-buckets")
+    keys = few(keys.join(sizes, "bucket"), "dart-buckets")
     popular = keys.groupBy("id").agg(F.sum("size").alias("popular"))
     popular = popular.join(texts.select("id", "sketch"), "id")
-    members = staged(keys.join(popular, "id"), "dart-members")
+    members = few(keys.join(popular, "id"), "dart-members")
     wanted = members.select("id").distinct()
-    whole = rows.select("id", "text").mapInArrow(_pressed, "id long, packed binary")
+    whole = rows.select("id", "text").mapInArrow(tidy(_pressed), "id long, packed binary")
     # Most documents may be wanted: the plan of large tables, at every size.
-    whole = staged(whole.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
+    whole = few(whole.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "dart-texts")
 
     def led(rows: DataFrame) -> DataFrame:
         """Rows of buckets in more than one part, each with its bucket's lead."""
@@ -259,16 +261,16 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     now = led(members.withColumn("component", F.col("id"))).withColumn("order", F.substring("sketch", 1, 16))
     now = now.repartitionByRange("bucket", F.when(large, F.col("order")), F.when(large, F.col("id"))).sortWithinPartitions("bucket", "order", "id")
     now = now.select("id", "component", "bucket", "size", "sketch", "lead", "lead_component", "lead_sketch")
-    pairs = staged(now.mapInArrow(_sides, "a long, b long").distinct(), "dart-pairs")
+    pairs = few(now.mapInArrow(tidy(_sides), "a long, b long").distinct(), "dart-pairs")
     judged = pairs.join(whole.select(F.col("id").alias("a"), F.col("packed").alias("left")), "a")
     judged = judged.join(whole.select(F.col("id").alias("b"), F.col("packed").alias("right")), "b")
-    links = staged(judged.select("a", "b", "left", "right").mapInArrow(_judged, "a long, b long"), "dart-links")
-    parts = components(links, "dart-parts")
+    links = few(judged.select("a", "b", "left", "right").mapInArrow(tidy(_judged), "a long, b long"), "dart-links")
+    parts = components(links, "dart-parts", n)
     now = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = links.unionByName(staged(_rest(led(now), whole), "dart-rest"))
-    groups = components(links, "dart-classes")
+    links = links.unionByName(few(_rest(led(now), whole), "dart-rest"))
+    groups = components(links, "dart-classes", n)
     classes = of_copy.join(groups.withColumnRenamed("id", "first"), "first", "left").groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("class_id"))
-    classes = staged(classes, "dart-class-ids")
+    classes = few(classes, "dart-class-ids")
     counts = classes.groupBy("class_id").agg(F.count("*").alias("class_size"))
     done = classes.join(counts, "class_id").select(F.col("id").alias("_id"), "class_id", "class_size")
     out = docs.select(F.col(id_col).alias("_row")).join(done, F.col("_row").cast("long") == F.col("_id"), "left")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import staged
+from shelfwatch.llm.common import staged, staged_few
 from shelfwatch.llm.components import components
 
 WIDTH = 3
@@ -280,11 +280,12 @@ def fingerprint_links(distinct: DataFrame, *, limit: int = LEAVES) -> DataFrame:
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = LEAVES) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, one row per row of ``docs``."""
     prints = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "trie-prints")
-    distinct = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "trie-leaves")
-    linked = components(fingerprint_links(distinct, limit=limit), "trie-classes")
+    n = prints.count()
+    distinct = staged_few(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "trie-leaves", n)
+    linked = components(fingerprint_links(distinct, limit=limit), "trie-classes", n)
     linked = linked.select(F.col("id").alias("fingerprint"), "component")
     least = distinct.join(linked, "fingerprint").groupBy("component").agg(F.min("least").alias("component_id"))
     classes = distinct.join(linked.join(least, "component"), "fingerprint", "left")
     classes = classes.select("fingerprint", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    classes = staged(classes, "trie-components")  # a table of its own, so that a hot fingerprint's rows can be split in the join
+    classes = staged_few(classes, "trie-components", n)  # a table of its own, so that a hot fingerprint's rows can be split in the join
     return prints.join(classes, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwatch.llm.common import BATCH_ROWS
+from shelfwatch.llm.common import BATCH_ROWS, give_back, tidy
 
 #: Code points a chunk may hold before the next one begins.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Words the tokenizer encodes at a time.
 ENCODED = 10_000
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -229,13 +229,19 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
             table["decoded"] = pa.array([_text(x, held[path]) for x in out], pa.string())
         return pa.table(table)
 
+    def placed_tidily(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return placed(left, right)
+        finally:
+            give_back()
+
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
     chunk = T.StructField("chunk", T.LongType())
     table = T.StructType([chunk, *binary("seal"), T.StructField("bucket", T.IntegerType()), *binary("codes", "sizes", "data")])
-    words = rows.mapInArrow(distinct, table).repartition("bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(encoded, T.StructType([chunk, *binary("seal", "codes", "sizes", "data")]))
-    lines = rows.mapInArrow(codes, T.StructType([chunk, T.StructField("id", kind), *binary("codes", "seal")]))
-    whole = lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed, T.StructType(
+    words = rows.mapInArrow(tidy(distinct), table).repartition("bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(tidy(encoded), T.StructType([chunk, *binary("seal", "codes", "sizes", "data")]))
+    lines = rows.mapInArrow(tidy(codes), T.StructType([chunk, T.StructField("id", kind), *binary("codes", "seal")]))
+    whole = lines.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(placed_tidily, T.StructType(
         [T.StructField("id", kind), *binary("ids"), *([T.StructField("decoded", T.StringType())] if decoded_col else [])]))
     return whole.select(F.col("id").alias(id_col), "ids", *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
@@ -253,4 +259,4 @@ def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str
             text = [None if ids is None else _text(ids, table) for ids in batch.column(ids_col).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(text, pa.string())], schema=arrow)
 
-    return encoded.mapInArrow(joined, schema)
+    return encoded.mapInArrow(tidy(joined), schema)
