@@ -101,11 +101,11 @@ def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: fl
     # Pieces past the 60th share marks: a mark then counts once, and only titles with that many pieces are counted low.
     mark = F.expr("shiftleft(1L, cast(least(nth, 60) as int))")
     pairs = met.groupBy("lt", "rt").agg(
-        F.bit_or(mark).alias("marks"), F.bool_or(S.outermost(nth, shift, rest, edits)).alias("from_left"),
+        F.bit_or(mark).alias("shared_marks"), F.bool_or(S.outermost(nth, shift, rest, edits)).alias("from_left"),
         F.bool_or(S.outermost(total - 1 - nth, rest, shift, edits)).alias("from_right"))
-    enough = (F.bit_count("marks") >= total - edits) | (total > 60)
+    enough = (F.bit_count("shared_marks") >= total - edits) | (total > 60)
     return (pairs.filter(F.col("from_left") & F.col("from_right") & enough)
-            .select("lt", "rt", F.bit_count("marks").alias("shared")))
+            .select("lt", "rt", F.bit_count("shared_marks").alias("shared")))
 
 
 def scored_title_pairs(pairs: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:
