@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from catalog_queries.base import AS_OF, as_of, query
 from catalog_queries.linking import with_images
 from shelfwatch.operators import changes, linking, ordered
+from shelfwatch.session import scratch_path
+from shelfwatch.sources.buckets import BucketTable
 
 EXTRACT_JOIN = """
 WITH j AS (SELECT x.*, p.shopify_id, p.images_uploaded, p.price AS op, p.original_price AS oo,
@@ -110,9 +112,12 @@ def upsert(v):
     return changes.upsert_products(stored(v), incoming(v), as_of())
 
 
-@query("K5_upsert_keep_status", UPSERT.format(status="""
+KEPT_STATUS = UPSERT.format(status="""
   coalesce(p.shopify_status, 'not_uploaded') AS shopify_status, coalesce(p.images_uploaded, 0) AS images_uploaded,
-  coalesce(p.assessment_status, 'not_assessed') AS assessment_status"""))
+  coalesce(p.assessment_status, 'not_assessed') AS assessment_status""")
+
+
+@query("K5_upsert_keep_status", KEPT_STATUS)
 def upsert_keep(v):
     return changes.upsert_products(stored(v), incoming(v), as_of(), defaults_on_insert_only=True)
 
@@ -130,14 +135,21 @@ def defaults(v):
         F.array_join("image_urls", ",").alias("images"))
 
 
-@query("K6_upsert_listings", f"""
+UPSERT_LISTINGS = f"""
 WITH e AS (SELECT catalog_url, retailer, min(title) AS title, min(price) AS price, max(product_code) AS product_code, min(discovered_date) AS discovered_date FROM b_snapshots WHERE scan_type = 'baseline' GROUP BY ALL),
 n AS (SELECT catalog_url, retailer, min(title) AS title, CASE WHEN count(*) > 1 THEN min(price) END AS price, max(product_code) AS product_code FROM b_snapshots WHERE scan_type = 'monitor' GROUP BY ALL)
 SELECT coalesce(e.catalog_url, n.catalog_url) AS catalog_url, coalesce(e.retailer, n.retailer) AS retailer, coalesce(n.title, e.title) AS title,
   CASE WHEN n.catalog_url IS NOT NULL THEN n.price ELSE e.price END AS price, coalesce(n.product_code, e.product_code) AS product_code,
   coalesce(e.discovered_date, CAST({AS_OF} AS DATE)) AS discovered_date
-FROM e FULL OUTER JOIN n ON e.catalog_url = n.catalog_url AND e.retailer = n.retailer""")
+FROM e FULL OUTER JOIN n ON e.catalog_url = n.catalog_url AND e.retailer = n.retailer"""
+
+
+@query("K6_upsert_listings", UPSERT_LISTINGS)
 def upsert_listings(v):
+    return changes.upsert_listings(*listing_versions(v), as_of())
+
+
+def listing_versions(v):
     keys = ["catalog_url", "retailer"]
     e = v.b_snapshots.filter("scan_type = 'baseline'").groupBy(*keys).agg(
         F.min("title").alias("title"), F.min("price").alias("price"),
@@ -147,23 +159,53 @@ def upsert_listings(v):
         F.min("title").alias("title"),
         F.when(F.count(F.lit(1)) > 1, F.min("price")).alias("price"),
         F.max("product_code").alias("product_code"))
-    return changes.upsert_listings(e, n, as_of())
+    return e, n
+
+
+def in_buckets(rows, keys, updates, merge, group=None):
+    """The table after one upsert of a bucket table made of ``rows``."""
+    table = BucketTable.create(rows, scratch_path(rows.sparkSession, "table"), keys, 64, group)
+    table.upsert(updates, merge)
+    return table.read()
+
 
+@query("K5_upsert_in_buckets", KEPT_STATUS)
+def upsert_in_buckets(v):
+    return in_buckets(stored(v), ["url"], incoming(v), lambda old, new: changes.upsert_products(
+        old, new, as_of(), defaults_on_insert_only=True), "parse_url(url, 'HOST')")
 
-@query("K7_apply_updates", EXTRACT_JOIN + f"""
+
+@query("K6_upsert_listings_in_buckets", UPSERT_LISTINGS)
+def upsert_listings_in_buckets(v):
+    e, n = listing_versions(v)
+    return in_buckets(e, ["catalog_url", "retailer"], n, lambda old, new: changes.upsert_listings(old, new, as_of()), "retailer")
+
+
+APPLIED = EXTRACT_JOIN + f"""
 SELECT p.url, CASE WHEN a.action NOT IN ('unchanged', 'delisted') AND coalesce(a.title, '') <> '' THEN a.title ELSE p.title END AS title,
   CASE WHEN a.action NOT IN ('unchanged', 'delisted') AND coalesce(a.price, 0) <> 0 THEN a.price ELSE p.price END AS price,
   CASE WHEN a.action NOT IN ('unchanged', 'delisted') THEN coalesce(a.sale_status, p.sale_status) ELSE p.sale_status END AS sale_status,
   CASE WHEN a.action = 'delisted' THEN 'delisted' WHEN a.action <> 'unchanged' THEN coalesce(a.stock_status, p.stock_status) ELSE p.stock_status END AS stock_status,
   CASE WHEN a.action <> 'unchanged' THEN {AS_OF} ELSE p.last_updated END AS last_updated,
   CASE WHEN a.url IS NOT NULL THEN {AS_OF} ELSE p.last_checked END AS last_checked
-FROM b_products_full p LEFT JOIN (SELECT * FROM a WHERE action NOT IN ('failed', 'not_found')) a ON p.url = a.url""")
+FROM b_products_full p LEFT JOIN (SELECT * FROM a WHERE action NOT IN ('failed', 'not_found')) a ON p.url = a.url"""
+
+
+@query("K7_apply_updates", APPLIED)
 def apply_updates(v):
     rows = outcomes(v).filter("action NOT IN ('failed', 'not_found')")
     cols = ["url", "title", "price", "sale_status", "stock_status", "last_updated", "last_checked"]
     return changes.apply_updates(v.b_products_full.select(*cols), rows, as_of())
 
 
+@query("K7_apply_updates_in_buckets", APPLIED)
+def apply_updates_in_buckets(v):
+    rows = outcomes(v).filter("action NOT IN ('failed', 'not_found')")
+    cols = ["url", "title", "price", "sale_status", "stock_status", "last_updated", "last_checked"]
+    return in_buckets(v.b_products_full.select(*cols), ["url"], rows, lambda old, new: changes.apply_updates(old, new, as_of()),
+                      "parse_url(url, 'HOST')")
+
+
 @query("K12_mark_delisted", f"""
 SELECT p.url, CASE WHEN x.url IS NOT NULL THEN 'delisted' ELSE p.stock_status END AS stock_status,
   CASE WHEN x.url IS NOT NULL THEN {AS_OF} ELSE p.last_updated END AS last_updated,

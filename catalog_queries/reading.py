@@ -15,6 +15,7 @@ from shelfwatch.functions import urls as U
 from shelfwatch.operators import extraction, feed, quality
 from shelfwatch.session import scratch_path
 from shelfwatch.sources import files, sinks
+from shelfwatch.sources.buckets import PageStore
 
 
 def page(v, kind):
@@ -335,6 +336,24 @@ def store(v):
     return sinks.store_pages(old, new).select("url_hash", F.md5("html").alias("page_hash"), "accessed_count", "cached_at")
 
 
+@query("K14_page_accesses", """
+WITH s AS (SELECT url, page_id, html, TIMESTAMP '2001-11-29 12:00:00' AS cached_at FROM pages), n AS (SELECT url, page_id, concat('x', html) AS html, TIMESTAMP '2001-11-30' AS cached_at FROM pages WHERE page_id % 3 = 0),
+p AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT * FROM n) QUALIFY row_number() OVER (PARTITION BY url ORDER BY cached_at DESC) = 1),
+r AS (SELECT url, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY url)
+SELECT sha256(url) AS url_hash, md5(html) AS page_hash, (CASE WHEN cached_at > TIMESTAMP '2001-11-29 18:00:00' THEN coalesce(n, 0) ELSE 0 END + 1)::BIGINT AS accessed_count,
+  CASE WHEN cached_at > TIMESTAMP '2001-11-29 18:00:00' AND n IS NOT NULL THEN TIMESTAMP '2001-11-30 18:00:00' ELSE cached_at END AS last_accessed
+FROM p LEFT JOIN r USING (url)""")
+def page_accesses(v):
+    def pages(html, at, which="true"):
+        return v.pages.filter(which).select("url", F.lit("r").alias("retailer"), html.alias("html"), as_of(at).alias("cached_at"))
+
+    kept = PageStore(v.spark, scratch_path(v.spark, "pages"), 64)
+    kept.put(pages(F.col("html"), "2001-11-29 12:00:00"))
+    kept.put(pages(F.concat(F.lit("x"), "html"), "2001-11-30 00:00:00", "page_id % 3 = 0"))
+    kept.count_accesses(v.pages.filter("page_id % 2 = 0").select("url", as_of("2001-11-30 18:00:00").alias("read_at")))
+    return kept.pages().select("url_hash", F.md5("html").alias("page_hash"), "accessed_count", "last_accessed")
+
+
 @query("K15_append_attempts", "SELECT CAST(attempted_at AS DATE) AS log_date, count(*) AS n FROM b_attempts GROUP BY ALL")
 def logs(v):
     path = scratch_path(v.spark, "attempts")
