@@ -43,8 +43,11 @@ def ingest(v):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("ST2_suppress_repeats", """
-SELECT DISTINCT lower(rtrim(regexp_replace(catalog_url, '[?#].*$', ''), '/')) AS url_key, discovered_date AS seen_on FROM b_snapshots""")
+REPEATS = """
+SELECT DISTINCT lower(rtrim(regexp_replace(catalog_url, '[?#].*$', ''), '/')) AS url_key, discovered_date AS seen_on FROM b_snapshots"""
+
+
+@query("ST2_suppress_repeats", REPEATS)
 def repeats(v):
     live = StreamViews(v, ["lineitem"])
     rows = live.b_snapshots.select(F.col("catalog_url").alias("url"), F.col(
@@ -54,9 +57,20 @@ def repeats(v):
     return out.filter((F.col("batch_id") == newest) & F.col("kept")).select("url_key", F.to_date("seen_at").alias("seen_on"))
 
 
-@query("ST3_price_alerts", """
+@query("ST2_sight_log", REPEATS)
+def sight_log(v):
+    rows = StreamViews(v, ["lineitem"]).b_snapshots.select(
+        F.col("catalog_url").alias("url"), F.col("discovered_date").cast("timestamp").alias("seen_at"), "retailer")
+    log = running.update_available(rows, *folders(v, "sights"), apply=jobs.sight_log("seen_at", buckets=64), mode="append", by=["bucket"])
+    return jobs.kept_in_log(log).select("url_key", F.to_date("seen_at").alias("seen_on"))
+
+
+ALERTS = """
 WITH p AS (SELECT catalog_url, discovered_date, seq, price, lag(price) OVER (PARTITION BY catalog_url ORDER BY discovered_date, seq) AS old_price FROM b_snapshots WHERE price <> 0)
-SELECT catalog_url, seq, old_price, price AS new_price FROM p WHERE abs(price - old_price) >= 0.01""")
+SELECT catalog_url, seq, old_price, price AS new_price FROM p WHERE abs(price - old_price) >= 0.01"""
+
+
+@query("ST3_price_alerts", ALERTS)
 def alerts(v):
     live = StreamViews(v, ["lineitem"])
     rows = live.b_snapshots.select("catalog_url", F.col("discovered_date").cast("timestamp")
@@ -65,6 +79,14 @@ def alerts(v):
     return out.drop("micros")
 
 
+@query("ST3_last_price_alerts", ALERTS)
+def last_price_alerts(v):
+    rows = StreamViews(v, ["lineitem"]).b_snapshots.select(
+        "catalog_url", F.col("discovered_date").cast("timestamp").alias("seen_at"), "seq", "price")
+    apply = jobs.last_price_alerts(scratch_path(v.spark, "last_prices"), buckets=64, block="30 days")
+    return running.stateful_available(rows, *folders(v, "alerts"), apply).select("catalog_url", "seq", "old_price", "new_price")
+
+
 @query("ST4_retailer_state", "SELECT retailer, sample_size, url_changes_detected, best_dedup_method, dedup_confidence_threshold FROM (" + FOLD + ")")
 def state(v):
     live = StreamViews(v, ["events"])
@@ -136,6 +158,13 @@ def sessions_stream(v):
     return plain(out.filter(F.col("batch_id") == newest).drop("batch_id"), "session_start", "session_end")
 
 
+@query("ST6_sessions_from_slots", SESSIONS)
+def sessions_from_slots(v):
+    slots = running.update_available(reviews(StreamViews(v, ["events"])), *folders(v, "slots"),
+                                     apply=jobs.session_slots("reviewed_at"), mode="append")
+    return plain(jobs.sessions_of_slots(slots), "session_start", "session_end")
+
+
 @query("ST7_classify_micro_batches")
 def classify_stream(v):
     live = StreamViews(v, ["lineitem"])

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwatch.session import staged
+
 
 def chunk_of(seq: Column, width: int = 1_000_000) -> Column:
     """Chunk of an integer order column, by its start; exact for long integers."""
@@ -121,3 +123,49 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, n: int) -> DataFram
 def recent_attempts(attempts: DataFrame, n: int = 50) -> DataFrame:
     return top_per_key(attempts, ["retailer", "page_type"],
                        [F.desc("attempted_at"), F.desc("seq")], n)
+
+
+def spaced(points: DataFrame, key: str, at: str, span: int, light_rows: int = 1000) -> DataFrame:
+    """Adds ``kept``: of each key's points in order, the first and then each that lies ``span`` or more after the last kept.
+
+    ``points`` are distinct (key, integer at). Keys of up to ``light_rows`` points are folded as one array each. For
+    larger ones every point is linked to the first point ``span`` or more after it, which lies at the same offset of the
+    next block of ``span`` or later, or else opens a later block; so the search stays inside (key, block), and only block
+    starts meet by key. The links are then doubled: a round keeps what the links of twice the length reach, and chains of
+    n kept points take about log2(n) rounds, each written to the shared folder.
+    """
+    points = staged(points.select(key, at), "points")
+    counted = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    many = counted.filter(F.col("_n") > light_rows).select(key)
+    light = _same(points, many, [key], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_all"))
+    none = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+
+    def fold(acc, x):
+        return F.when(acc["last"].isNull() | (x - acc["last"] >= span), F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+
+    kept = light.select(key, F.explode(F.aggregate("_all", none, fold, lambda acc: acc["kept"])).alias(at))
+    if not many.isEmpty():
+        kept = kept.unionByName(_reached(_same(points, many, [key], "left_semi"), key, at, span))
+    return _same(points, kept.withColumn("kept", F.lit(True)), [key, at], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+def _reached(points: DataFrame, key: str, at: str, span: int) -> DataFrame:
+    block = F.expr(f"(`{at}` - pmod(`{at}`, {span}L)) div {span}L")
+    data = points.withColumn("_block", block).withColumns({"_from": F.lit(None).cast("bigint"), "_pos": F.col(at)})
+    asks = data.withColumns({"_block": F.col("_block") + 1, "_from": F.col(at), "_pos": F.col(at) + span})
+    own = F.when(F.col("_from").isNull(), F.col("_pos"))
+    onward = W.partitionBy(key, "_block").orderBy("_pos").rangeBetween(W.currentRow, W.unboundedFollowing)
+    found = data.unionByName(asks).withColumn("_to", F.min(own).over(onward)).filter(F.col("_from").isNotNull())
+    starts = data.unionByName(asks).groupBy(key, "_block").agg(F.min(own).alias("_first"))
+    later = W.partitionBy(key).orderBy("_block").rowsBetween(1, W.unboundedFollowing)
+    starts = starts.withColumn("_later", F.min("_first").over(later)).drop("_first")
+    links = _same(found, starts, [key, "_block"]).select(key, F.col("_from").alias(at), F.coalesce("_to", "_later").alias("_to"))
+    links = staged(links.filter(F.col("_to").isNotNull()), "links")
+    kept = staged(points.groupBy(key).agg(F.min(at).alias(at)), "kept")
+    while True:
+        more = staged(_same(kept, links, [key, at]).select(key, F.col("_to").alias(at)), "kept")
+        if more.isEmpty():
+            return kept
+        kept = staged(kept.unionByName(more), "kept")
+        onto = links.select(key, F.col(at).alias("_to"), F.col("_to").alias("_next"))
+        links = staged(_same(links, onto, [key, "_to"]).select(key, at, F.col("_next").alias("_to")), "links")

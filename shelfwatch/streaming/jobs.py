@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.urls import url_key_v3
-from shelfwatch.operators import changes, linking, review
+from shelfwatch.operators import changes, linking, ordered, review
 from shelfwatch.plans import monitor
+from shelfwatch.session import staged
+from shelfwatch.sources.buckets import BucketTable
 from shelfwatch.streaming.running import latest_updates, use_rocksdb
 
 
@@ -103,6 +106,96 @@ def kept_sights(ts: str, freshness: str = "24 hours", url: str = "url"):
     return apply
 
 
+def sight_log(ts: str, freshness: str = "24 hours", url: str = "url", buckets: int = 256):
+    """Function for one micro-batch of listings: rows of a log whose last state has the kept sights (:func:`kept_in_log`).
+
+    As :func:`kept_sights`, without writing older sights again: a batch adds its own sights (one row per url and time,
+    of several rows of one time that of the smallest hash) and the earlier ones of which it changes the verdict. Earlier
+    sights are read for its urls alone, from the folders of their buckets (the stream is run with ``by=["bucket"]``), and
+    a url's sights are spread over tasks by time (:func:`~shelfwatch.operators.ordered.spaced`). Any order of files gives
+    the same kept sights.
+    """
+    def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        spot = ["url_key", "event_micros"]
+        rows = _sights(batch, ts, url).withColumn("event_hash", F.xxhash64(*batch.columns))
+        rest = [c for c in rows.columns if c not in (*spot, "event_hash")]
+        held = F.struct("event_hash", *rest)
+        bucket = F.pmod(F.xxhash64("url_key"), F.lit(buckets)).cast("int").alias("bucket")
+        now = staged(rows.groupBy(*spot).agg(F.min_by(held, "event_hash").alias("held")).select("*", bucket), "sights")
+        span = _micros(batch.sparkSession, freshness)
+        if earlier is None:
+            both = now.withColumn("was", F.lit(None).cast("boolean"))
+        else:
+            touched = [r.bucket for r in now.select("bucket").distinct().collect()]  # at most ``buckets``
+            past = earlier.filter(F.col("bucket").isin(touched))
+            past = ordered._same(past, now.select("url_key").distinct(), ["url_key"], "left_semi")
+            past = past.groupBy(*spot, "bucket").agg(F.max_by(F.struct("kept", held.alias("held")), "batch_id").alias("m"))
+            past = past.select(*spot, "bucket", "m.held", F.col("m.kept").alias("was"))
+            both = now.withColumn("was", F.lit(None).cast("boolean")).unionByName(past)
+        both = staged(both.groupBy(*spot, "bucket").agg(
+            F.min_by("held", F.col("held.event_hash")).alias("held"), F.max("was").alias("was"),
+            F.max_by(F.col("held.event_hash"), F.col("was").isNotNull()).alias("old_hash")), "sights")
+        marked = ordered._same(both, ordered.spaced(both.select(*spot), *spot, span), spot)
+        news = F.col("was").isNull() | (F.col("was") != F.col("kept")) | (F.col("old_hash") != F.col("held.event_hash"))
+        return marked.filter(news).select(*spot, "bucket", "kept", "held.*")
+
+    return apply
+
+
+def kept_in_log(log: DataFrame) -> DataFrame:
+    """The kept sights among the folders that a stream of :func:`sight_log` wrote."""
+    rest = [c for c in log.columns if c not in ("url_key", "event_micros", "bucket", "batch_id", "kept", "event_hash")]
+    last = log.groupBy("url_key", "event_micros").agg(F.max_by(F.struct("kept", *rest), "batch_id").alias("m"))
+    return last.filter("m.kept").select("url_key", *[F.col(f"m.{c}").alias(c) for c in rest])
+
+
+def last_price_alerts(state: str, min_change: float = 0.01, buckets: int = 256, block: str = "1 hour"):
+    """Function for one numbered micro-batch of listings: changes against the last price seen per listing.
+
+    Columns and results as :func:`price_alerts`, without Python. The last price of each url lies in a bucket table at
+    ``state``, of which a batch reads and rewrites the buckets its urls lie in; a batch's rows are compared with the row
+    before by a lag inside ``block`` of time, one summary row per url and block carrying the price across, so that a url
+    may hold any share of a batch. Rows before the stored one are late and ignored; null times and numbers come first.
+    For :func:`~shelfwatch.streaming.running.stateful_available`.
+    """
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("catalog_url").agg(F.max(F.struct("micros", "seq", "price")).alias("m")).select("catalog_url", "m.*")
+
+    def apply(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        rows = staged(batch.filter(F.coalesce("price", F.lit(0.0)) != 0).select(
+            "catalog_url", F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(_NO_TIME)).alias("micros"),
+            F.coalesce("seq", F.lit(_NO_TIME)).cast("bigint").alias("seq"), F.col("price").cast("double").alias("price")), "prices")
+        if number == 0:
+            empty = spark.createDataFrame([], "catalog_url string, micros bigint, seq bigint, price double")
+            table = BucketTable.create(empty, state, ["catalog_url"], buckets) if not _made(spark, state) else BucketTable(spark, state)
+        else:
+            table = BucketTable(spark, state)
+        base = table.version(number)
+        held = table.read(base, table.touched(rows))
+        known = held.select("catalog_url", F.struct("micros", "seq").alias("_held"))
+        live = ordered._same(rows, known, ["catalog_url"], "left").filter(
+            F.col("_held").isNull() | (F.struct("micros", "seq") >= F.col("_held"))).drop("_held")
+        live = staged(live.withColumn("_new", F.lit(1)).unionByName(
+            ordered._same(held, rows.select("catalog_url").distinct(), ["catalog_url"], "left_semi").withColumn("_new", F.lit(0))), "prices")
+        table.upsert(live.filter("_new = 1").drop("_new"), lambda old, new: newest(old.unionByName(new)), at=number)
+        width = _micros(spark, block)
+        cut = live.withColumn("_block", F.col("micros") - F.pmod(F.col("micros"), F.lit(width)))
+        seen = ordered.with_previous(cut, ["catalog_url"], ["_block"], ["micros", "seq", "_new", "price"], "price", "old_price")
+        return seen.filter((F.col("_new") == 1) & (F.abs(F.col("price") - F.col("old_price")) >= min_change)).select(
+            "catalog_url", "micros", "seq", "old_price", F.col("price").alias("new_price"))
+
+    return apply
+
+
+def _made(spark, path: str) -> bool:
+    """A table of an earlier try of the first micro-batch."""
+    try:
+        return not spark.read.text(f"{path}/table").isEmpty()
+    except AnalysisException:
+        return False
+
+
 def price_alerts(listings: DataFrame, min_change: float = 0.01) -> DataFrame:
     """Changes against the last price seen per listing.
 
@@ -225,6 +318,56 @@ def merged_sessions(ts: str, gap: str = "30 minutes"):
     return apply
 
 
+def session_slots(ts: str, gap: str = "30 minutes"):
+    """Function for one micro-batch of reviews: its first and last review and their number per reviewer and slot of time.
+
+    A slot is as long as the gap, so its reviews are of one session whatever comes later, and the slots of several
+    batches add up. A batch writes its own slots and reads nothing; :func:`sessions_of_slots` makes the sessions, so a late
+    row extends, joins or opens them. A pause of the gap or more ends a session. Reviews without a time are of no session.
+    """
+    def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        width = _micros(batch.sparkSession, gap)
+        rows = batch.select("reviewed_by", micros.alias("at")).filter("at IS NOT NULL")
+        return rows.groupBy("reviewed_by", (F.col("at") - F.pmod(F.col("at"), F.lit(width))).alias("slot")).agg(
+            F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("reviews"))
+
+    return apply
+
+
+def sessions_of_slots(slots: DataFrame, gap: str = "30 minutes", block: str = "1 day") -> DataFrame:
+    """Review sessions per reviewer from the slots that batches have written.
+
+    Slots of a reviewer are joined inside blocks of time (a day has 48 of half an hour at most). Blocks are then chained by
+    one summary row each, which says where its last session began if that may go on in the next one; only these meet by
+    reviewer, so a reviewer may hold any share of the reviews.
+    """
+    span, width = _micros(slots.sparkSession, gap), _micros(slots.sparkSession, block)
+    rows = slots.groupBy("reviewed_by", "slot").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("reviews").alias("reviews"))
+    rows = rows.withColumn("_block", F.col("slot") - F.pmod(F.col("slot"), F.lit(width)))
+    inside = Window.partitionBy("reviewed_by", "_block").orderBy("slot")
+    opens = F.coalesce(F.col("first_at") - F.lag("last_at").over(inside) >= span, F.lit(True))
+    rows = rows.withColumn("_opens", opens.cast("int")).withColumn("_nth", F.sum("_opens").over(inside))
+    pieces = rows.groupBy("reviewed_by", "_block", "_nth").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("reviews").alias("reviews"))
+    blocks = pieces.groupBy("reviewed_by", "_block").agg(
+        F.min("first_at").alias("head"), F.max("last_at").alias("tail"), F.max("_nth").alias("n"), F.max("first_at").alias("tail_start"))
+    chain = Window.partitionBy("reviewed_by").orderBy("_block")
+    goes_on = F.coalesce(F.col("head") - F.lag("tail").over(chain) < span, F.lit(False))
+    blocks = blocks.withColumn("_goes_on", goes_on)
+    # where the session that reaches the end of a block began: in the last block that has a beginning of it
+    began = F.when((F.col("n") > 1) | ~F.col("_goes_on"), F.col("tail_start"))
+    blocks = blocks.withColumn("_began", F.last(began, ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+    heads = blocks.select("reviewed_by", "_block", F.when(F.col("_goes_on"), F.col("_began")).alias("_start"))
+    joined = ordered._same(pieces, heads, ["reviewed_by", "_block"])
+    start = F.when(F.col("_nth") == 1, F.coalesce("_start", "first_at")).otherwise(F.col("first_at"))
+    return joined.groupBy("reviewed_by", start.alias("_start")).agg(
+        F.max("last_at").alias("_last"), F.sum("reviews").alias("reviews")).select(
+        "reviewed_by", F.timestamp_micros("_start").alias("session_start"),
+        F.timestamp_micros(F.col("_last") + span).alias("session_end"), "reviews")
+
+
 def classify_and_queue(products: DataFrame, queue: DataFrame, as_of: Column, seq: str):
     """Function for one micro-batch: listings and what earlier batches queued in, queue rows to append out.
 

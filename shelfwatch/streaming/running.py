@@ -25,13 +25,14 @@ def append_available(stream: DataFrame, path: str, checkpoint: str,
 
 
 def update_available(stream: DataFrame, path: str, checkpoint: str, apply=None,
-                     mode: str = "update") -> DataFrame:
+                     mode: str = "update", by: list[str] | None = None) -> DataFrame:
     """Process all input there is, one folder per micro-batch.
 
     A repeated batch overwrites its own folder, so a restart after a failure
     between write and commit does not double its rows. ``apply`` turns a
     micro-batch, and what the batches before it have written (None for the
-    first), into the rows to write.
+    first), into the rows to write. ``by`` are columns a folder is partitioned by,
+    for an ``apply`` that reads only part of what was written.
     """
     spark = stream.sparkSession
 
@@ -42,7 +43,8 @@ def update_available(stream: DataFrame, path: str, checkpoint: str, apply=None,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = apply(batch, before(batch_id)) if apply else batch
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        writer = (rows.hint("rebalance", *by).write.partitionBy(*by) if by else rows.write).mode("overwrite")
+        writer.parquet(f"{path}/batch_id={batch_id}")
 
     (stream.writeStream.outputMode(mode).foreachBatch(write)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -50,6 +52,21 @@ def update_available(stream: DataFrame, path: str, checkpoint: str, apply=None,
     return spark.read.option("basePath", path).parquet(path)
 
 
+def stateful_available(stream: DataFrame, path: str, checkpoint: str, apply) -> DataFrame:
+    """As :func:`update_available` for an ``apply`` that keeps a state of its own; it gets the batch and its number.
+
+    A repeated batch has the number it had, so that the state can be made again from the version before it.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        apply(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    (stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def latest_updates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last state of every key among the folders that :func:`update_available` wrote."""
     rest = [c for c in rows.columns if c not in keys and c != "batch_id"]
