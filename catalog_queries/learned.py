@@ -188,6 +188,15 @@ def pattern(v):
     return v.pages.select("page_id", U.url_pattern(F.col("url")).alias("url_pattern"))
 
 
+@query("X12_pattern_without_host", """
+SELECT page_id, substring(concat('/', regexp_replace(url, '^https?://', ''), '/', url), 1, 100) AS url_pattern FROM pages""")
+def pattern_without_host(v):
+    """Links that begin with a slash after the scheme: the fixed prefix takes the place of host and segment."""
+    bare = F.regexp_replace("url", "^https?://", "")
+    link = F.concat(F.lit("https:///"), bare, F.lit("/"), "url")
+    return v.pages.select("page_id", U.url_pattern(link).alias("url_pattern"))
+
+
 @query("A24_fetch_usage", """
 SELECT retailer, count(*) AS requests, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, sum(cost::DECIMAL(28,6))::DOUBLE AS cost, sum(seq * 10)::BIGINT AS bytes,
   round(count(*) FILTER (success) / count(*), 6) AS success_rate, round(sum(cost::DECIMAL(28,6))::DOUBLE / count(*), 6) AS avg_cost FROM b_attempts GROUP BY ROLLUP (retailer)""")

@@ -238,6 +238,25 @@ def failure_files(v):
     return records.join(heads, ["workflow", "batch_id"]).select("batch_id", "workflow", "total_failed", "url", "reason")
 
 
+@query("S3_report_files", """
+SELECT retailer, 'updater' AS workflow, url, error AS reason, 'extraction' AS stage, true AS complete FROM b_extracts WHERE NOT success""")
+def report_files(v):
+    """Reports of some 500 failures, one JSON document a file, read back and flattened."""
+    failed = v.b_extracts.filter("NOT success")
+    parts = 1 + failed.count() // 500
+    record = F.struct("url", F.col("error").alias("reason"), F.lit("extraction").alias("stage"))
+    reports = failed.groupBy("retailer", F.pmod(F.xxhash64("url"), F.lit(parts)).alias("part")).agg(
+        F.collect_list(record).alias("failures"), F.count(F.lit(1)).alias("total_failed"))
+    report = F.struct(F.concat_ws("-", "retailer", "part").alias("batch_id"), F.lit("updater").alias("workflow"),
+                      "retailer", "total_failed", "failures")
+    path = scratch_path(v.spark, "reports")
+    reports.select("retailer", "part", F.to_json(report).alias("value")).write.partitionBy("retailer", "part").text(path)
+    rows = files.read_failures(v.spark, f"{path}/*/*")
+    found = rows.groupBy("batch_id").agg(F.count("url").alias("found"))
+    return rows.join(found, "batch_id").select("retailer", "workflow", "url", "reason", "stage",
+                                               (F.col("total_failed") == F.col("found")).alias("complete"))
+
+
 @query("K1_failure_headers", "SELECT 'updater' AS workflow, retailer AS batch_id, count(*) AS total_failed FROM b_extracts WHERE NOT success GROUP BY ALL")
 def failure_headers(v):
     return sinks.failure_headers(v.b_extracts.filter("NOT success").select(

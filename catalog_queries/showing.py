@@ -197,7 +197,13 @@ def product_feed(v):
     return feed.product_feed(v.b_products_full, as_of())
 
 
-@query("K10_feed_json")
+@query("K10_feed_json", FEED_ROWS + f"""
+SELECT url, to_json({{'product': {{'title': title, 'body_html': concat('<p>', description, '</p>'), 'vendor': brand, 'product_type': ptype,
+  'status': CASE WHEN decision IN ('modest', 'moderately_modest') THEN 'active' ELSE 'draft' END, 'tags': {TAGS},
+  'variants': [{{'option1': 'Default', 'price': printf('%.2f', price), 'compare_at_price': CASE WHEN sale_status = 'on_sale' AND original_price IS NOT NULL THEN printf('%.2f', original_price) END,
+    'sku': product_code, 'inventory_quantity': CASE stock_status WHEN 'out_of_stock' THEN 0 ELSE 100 END, 'inventory_management': 'shopify', 'inventory_policy': 'deny',
+    'fulfillment_service': 'manual', 'requires_shipping': true, 'taxable': true, 'weight': 0.5::DOUBLE, 'weight_unit': 'kg'}}],
+  'options': [{{'name': 'Title', 'position': 1, 'values': ['Default']}}], 'images': []::VARCHAR[]}}}})::VARCHAR AS value FROM t""")
 def feed_json(v):
     return feed.feed_json(feed.product_feed(v.b_products_full, as_of()))
 

@@ -79,16 +79,18 @@ def product_feed(products: DataFrame, as_of: Column, published: bool = True,
 
 
 def feed_json(feed: DataFrame) -> DataFrame:
-    """Feed rows as the JSON text a store import takes."""
+    """Feed rows as the JSON text a store import takes; missing values are written as nulls, images follow later."""
     variant = F.struct(
         F.lit("Default").alias("option1"), "price", "compare_at_price", "sku",
         "inventory_quantity", F.lit("shopify").alias("inventory_management"),
         F.lit("deny").alias("inventory_policy"), F.lit("manual").alias("fulfillment_service"),
         F.lit(True).alias("requires_shipping"), F.lit(True).alias("taxable"),
         F.lit(0.5).alias("weight"), F.lit("kg").alias("weight_unit"))
-    return feed.select("url", F.to_json(F.struct(F.struct(
-        "title", "body_html", "vendor", "product_type", "status", "tags",
-        F.array(variant).alias("variants")).alias("product"))).alias("value"))
+    option = F.struct(F.lit("Title").alias("name"), F.lit(1).alias("position"), F.array(F.lit("Default")).alias("values"))
+    product = F.struct(
+        "title", "body_html", "vendor", "product_type", "status", "tags", F.array(variant).alias("variants"),
+        F.array(option).alias("options"), F.array().cast("array<string>").alias("images"))
+    return feed.select("url", F.to_json(F.struct(product.alias("product")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def metafields(products: DataFrame, as_of: Column) -> DataFrame:

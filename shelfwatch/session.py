@@ -48,6 +48,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders :func:`staged` has written for this process and nothing has dropped yet.
+_STAGED: list[str] = []
+
+
+class staging:
+    """``with staging(spark):`` drops at its end what operators inside have staged.
+
+    To be left once the results that build on the staged rows have been written; a DataFrame that still reads them fails
+    afterwards. Only folders written inside are dropped, also when the block fails; tables and results are no such folders.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> staging:
+        self._before = len(_STAGED)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        while len(_STAGED) > self._before:
+            folder = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path under :func:`scratch_root`."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -61,6 +86,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _STAGED.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -94,3 +94,23 @@ def test_pages_move_only_for_changed_urls(spark, tmp_path):
     got = {r.url: r for r in store.pages().collect()}
     assert (got["u1"].accessed_count, got["u1"].last_accessed) == (3, dt.datetime(2025, 1, 3, 6))
     assert got["u2"].accessed_count == 1 and spark.read.parquet(str(tmp_path / "s" / "bodies")).count() == 23
+
+
+def test_staged_folders_go_when_their_block_ends(spark, tmp_path):
+    import os
+
+    from shelfwatch.session import scratch_root, staged, staging
+
+    root = scratch_root(spark)
+    kept = staged(spark.range(3), "kept-outside")
+    with staging(spark):
+        inside = staged(spark.range(5), "dropped-inside")
+        inside.write.parquet(str(tmp_path / "result"))
+    names = os.listdir(root)
+    assert not any(n.startswith("dropped-inside") for n in names)
+    assert kept.count() == 3 and spark.read.parquet(str(tmp_path / "result")).count() == 5
+    with pytest.raises(ValueError):
+        with staging(spark):
+            staged(spark.range(2), "dropped-failing")
+            raise ValueError
+    assert not any(n.startswith("dropped") for n in os.listdir(root))
