@@ -1,13 +1,14 @@
 """Tables kept in hash buckets, of which a change set rewrites only those it touches.
 
-Rows lie in folders ``data/version=N/_bucket=K``. The manifest of a version (one small file under ``versions``) names for
+Rows lie in folders ``data/version=N/_bucket=K``. The manifest of a version (one document under ``versions``) names for
 each bucket the folder that holds it, so a version shares the untouched buckets with the ones before. A version counts
 once its manifest is there, and folders it names are never written again: readers of an older version go on undisturbed,
 and a run that dies leaves at most folders no manifest names. One writer at a time.
 
-A manifest has one row a bucket and is read to the driver, so the number of buckets (fixed when the table is made) bounds
-what the driver holds. With ``group`` (SQL over the key columns, as the host of a url) the rows of one group lie in
-``spread`` neighbouring buckets; changes that come by group then touch few of them, and a hot group still has ``spread``.
+What reaches the driver is one manifest and the numbers of the touched buckets, each as one row with at most one entry a
+bucket; the number of buckets (fixed when the table is made) bounds both. With ``group`` (SQL over the key columns, as
+the host of a url) the rows of one group lie in ``spread`` neighbouring buckets; changes that come by group then touch few
+of them, and a hot group still has ``spread``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.types import StructType
 from shelfwatch.functions.urls import url_hash
 from shelfwatch.session import staged
 
-_MANIFEST = "entry int, folder string, version bigint"
+_MANIFEST = "folders map<string, string>, version bigint"
 
 
 class BucketTable:
@@ -65,12 +66,12 @@ class BucketTable:
 
     def manifest(self, version: int) -> dict[int, str]:
         """Bucket to folder; buckets without rows are left out."""
-        rows = self._manifests().filter((F.col("version") == version) & (F.col("entry") >= 0))
-        return {r.entry: r.folder for r in rows.collect()}
+        found = self._manifests().filter(F.col("version") == version).first()
+        return {int(b): f for b, f in found.folders.items()} if found else {}
 
     def touched(self, changes: DataFrame) -> list[int]:
         """Buckets the keys of ``changes`` lie in, at most as many as the table has."""
-        return sorted(r[0] for r in changes.select(self.bucket()).distinct().collect())
+        return self._numbers(changes.select(self.bucket().alias("_bucket")))
 
     def upsert(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], at: int | None = None) -> int:
         """Next version: ``merge(stored rows, changes)`` over the touched buckets, the rest as it is.
@@ -97,12 +98,16 @@ class BucketTable:
         fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         (rows.select(*fields).withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket")
          .write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{folder}"))
-        written = self.spark.read.schema("_bucket int").parquet(f"{self.path}/{folder}").distinct().collect()
-        return {r[0]: f"{folder}/_bucket={r[0]}" for r in written}
+        written = self._numbers(self.spark.read.schema("_bucket int").parquet(f"{self.path}/{folder}"))
+        return {b: f"{folder}/_bucket={b}" for b in written}
+
+    @staticmethod
+    def _numbers(rows: DataFrame) -> list[int]:
+        """The distinct ``_bucket`` numbers, a set no larger than the table has buckets."""
+        return rows.agg(F.sort_array(F.collect_set("_bucket"))).first()[0]
 
     def _commit(self, entries: dict[int, str], version: int) -> None:
-        rows = [(-1, ""), *sorted(entries.items())]  # the first row stands for the version itself
-        (self.spark.createDataFrame(rows, "entry int, folder string").coalesce(1)
+        (self.spark.createDataFrame([({str(b): f for b, f in sorted(entries.items())},)], "folders map<string, string>").coalesce(1)
          .write.mode("overwrite").json(f"{self.path}/versions/version={version}"))
 
     def _manifests(self) -> DataFrame:

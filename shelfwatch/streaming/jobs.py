@@ -126,8 +126,8 @@ def sight_log(ts: str, freshness: str = "24 hours", url: str = "url", buckets: i
         if earlier is None:
             both = now.withColumn("was", F.lit(None).cast("boolean"))
         else:
-            touched = [r.bucket for r in now.select("bucket").distinct().collect()]  # at most ``buckets``
-            past = earlier.filter(F.col("bucket").isin(touched))
+            touched = now.filter("bucket >= 0").select("bucket").distinct()  # at most ``buckets`` numbers: small enough to broadcast
+            past = earlier.join(F.broadcast(touched), "bucket", "left_semi")  # prunes the folders when it runs
             past = ordered._same(past, now.select("url_key").distinct(), ["url_key"], "left_semi")
             past = past.groupBy(*spot, "bucket").agg(F.max_by(F.struct("kept", held.alias("held")), "batch_id").alias("m"))
             past = past.select(*spot, "bucket", "m.held", F.col("m.kept").alias("was"))
