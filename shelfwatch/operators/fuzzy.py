@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions import similarity as S
 from shelfwatch.functions.text import title_key
-from shelfwatch.operators.keyed import spread_for_compute
+from shelfwatch.operators.keyed import shuffled, spread_for_compute
 from shelfwatch.session import staged
 
 
@@ -95,7 +95,7 @@ def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: fl
     nth, shift = F.col("nth"), F.col("place") - F.col("nth") * S.piece_width(ll, threshold)
     total, edits = F.floor(ll / S.piece_width(ll, threshold)), S.pair_edits(ll, rl, threshold)
     rest = rl - ll - shift
-    met = (lefts.join(rights, ["retailer", "bucket", "piece"])
+    met = (lefts.join(shuffled(rights), ["retailer", "bucket", "piece"])
            .filter(rl.between(S.min_length(ll, threshold), S.max_length(ll, threshold)))
            .filter(S.unharmed(shift, ll, rl, threshold)).filter(F.col("lt") != F.col("rt")))
     # Pieces past the 60th share marks: a mark then counts once, and only titles with that many pieces are counted low.
@@ -138,8 +138,7 @@ def best_fuzzy(listings: DataFrame, products: DataFrame, band, threshold: float)
 
     The distinct values of both sides are used several times below, and the
     listings of a cascade come at the end of a chain of joins: they are written
-    to the shared folder once and not derived anew for each use. The files also
-    give the planner true sizes to choose the joins by.
+    to the shared folder once and not derived anew for each use.
     """
     left = staged(_listing_values(listings), "listing-titles")
     right = staged(_product_values(products), "product-titles")
@@ -148,14 +147,14 @@ def best_fuzzy(listings: DataFrame, products: DataFrame, band, threshold: float)
     in_band = band.holds(F.col("lp"), F.col("rp"))
     key = ["retailer", "lt", "lp"]
 
-    same = (near.withColumn("rt", F.col("lt")).join(right, ["retailer", "bucket", "rt"])
+    same = (near.withColumn("rt", F.col("lt")).join(shuffled(right), ["retailer", "bucket", "rt"])
             .filter(in_band).groupBy(*key).agg(F.min("url").alias("url"))
             .withColumn("ratio", F.lit(1.0)))
-    open_left = left.join(same.select(*key), key, "left_anti")
+    open_left = left.join(shuffled(same.select(*key)), key, "left_anti")
     pairs = scored_title_pairs(
         candidate_title_pairs(open_left, right, band, threshold), threshold)
     close = (open_left.withColumn("bucket", _near_buckets(band, F.col("lp")))
-             .join(pairs, "lt").join(right, ["retailer", "bucket", "rt"])
+             .join(shuffled(pairs), "lt").join(shuffled(right), ["retailer", "bucket", "rt"])
              .filter(in_band)
              .groupBy(*key).agg(F.min(F.struct((-F.col("ratio")).alias("n"), "url")).alias("m"))
              .select(*key, F.col("m.url").alias("url"), (-F.col("m.n")).alias("ratio")))
@@ -200,9 +199,9 @@ def title_price_pairs(listings: DataFrame, threshold: float = 0.90,
     near = left.withColumn("bucket", _near_buckets(band, F.col("lp")))
     in_band = band.holds(F.col("lp"), F.col("rp"))
     ordered = F.struct("lt", "lp") < F.struct("rt", "rp")
-    same = (near.withColumn("rt", F.col("lt")).join(right, ["retailer", "bucket", "rt"])
+    same = (near.withColumn("rt", F.col("lt")).join(shuffled(right), ["retailer", "bucket", "rt"])
             .filter(in_band & (F.col("lp") < F.col("rp"))).withColumn("ratio", F.lit(1.0)))
-    close = (near.join(pairs, "lt").join(right, ["retailer", "bucket", "rt"])
+    close = (near.join(shuffled(pairs), "lt").join(shuffled(right), ["retailer", "bucket", "rt"])
              .filter(in_band & ordered))
     cols = ["retailer", "lt", "lp", "left_rows", "rt", "rp", "right_rows", "ratio"]
     return same.select(*cols).unionByName(close.select(*cols))

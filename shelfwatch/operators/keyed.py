@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of joins that is shuffled and sorted, whatever size the optimizer expects it to have.
+
+    Sizes are expected from compressed files and column types: a key table of a million urls, a table of exploded pieces
+    or staged titles count a few megabytes and take hundreds in the driver and each executor when broadcast.
+    """
+    return df.hint("merge")
+
+
 def spread_nulls(key: Column, by: Column) -> Column:
     """Replace NULL keys by values that match nothing, one per value of ``by``.
 
@@ -18,12 +28,12 @@ def smallest_per_key(table: DataFrame, keys: dict[str, Column], value: str, name
     """One row per key with the smallest ``value``: the deterministic tie-break.
 
     A plain aggregate, so hot keys shrink to one row per map task before the
-    shuffle.
+    shuffle. The table is never broadcast.
     """
     keyed = table.select(*[c.alias(k) for k, c in keys.items()], F.col(value).alias(name))
     for k in keys:
         keyed = keyed.filter(F.col(k).isNotNull())
-    return keyed.groupBy(*keys).agg(F.min(name).alias(name))
+    return shuffled(keyed.groupBy(*keys).agg(F.min(name).alias(name)))
 
 
 def first_of(*pairs) -> Column:

@@ -1,8 +1,8 @@
 """Matching of listings against known products, one level at a time and as cascades.
 
 A cascade is a chain of left joins on key tables that hold one row per key, so
-no level multiplies rows and a small key table is broadcast by the optimizer
-when its measured size allows. Only rows that no key level matched enter the
+no level multiplies rows; key tables are shuffled and never broadcast, as the
+size of a product's keys is not that of its compressed file. Only rows that no key level matched enter the
 fuzzy and image levels.
 """
 
@@ -15,7 +15,7 @@ from shelfwatch.functions import urls as U
 from shelfwatch.functions.text import title_key
 from shelfwatch.operators import fuzzy
 from shelfwatch.operators.keyed import (
-    first_of, smallest_per_key, spread_for_compute, spread_nulls)
+    first_of, shuffled, smallest_per_key, spread_for_compute, spread_nulls)
 from shelfwatch.session import staged
 
 # Confidence of each level when linking and when classifying.
@@ -115,18 +115,18 @@ def codes_in_urls(codes: DataFrame, products: DataFrame) -> DataFrame:
     asked = asked.select("retailer", "code", F.size("_own").alias("_asked"), F.explode("_own").alias("_g"))
     grams = url_rows.withColumn("_g", F.explode(F.concat(
         _substrings(F.col("url"), LONG_GRAM), _substrings(F.col("url"), SHORT_GRAM))))
-    counts = grams.join(asked.select("retailer", "_g").distinct(), ["retailer", "_g"], "left_semi").groupBy("retailer", "_g").agg(F.count(F.lit(1)).alias("_urls"))
-    rarest = (asked.join(counts, ["retailer", "_g"]).groupBy("retailer", "code", "_asked")
+    counts = grams.join(shuffled(asked.select("retailer", "_g").distinct()), ["retailer", "_g"], "left_semi").groupBy("retailer", "_g").agg(F.count(F.lit(1)).alias("_urls"))
+    rarest = (asked.join(shuffled(counts), ["retailer", "_g"]).groupBy("retailer", "code", "_asked")
               .agg(F.min(F.struct("_urls", "_g")).alias("m"), F.count(F.lit(1)).alias("_there"))
               .filter(F.col("_there") == F.col("_asked")).select("retailer", "code", F.col("m._g").alias("_g")))
-    long_hits = (staged(rarest, "code-pieces").join(grams, ["retailer", "_g"])
+    long_hits = (staged(rarest, "code-pieces").join(shuffled(grams), ["retailer", "_g"])
                  .filter(F.contains("url", "code"))
                  .groupBy("retailer", "code").agg(F.min("url").alias("url")))
 
     tiny = url_rows.withColumn("code", F.explode(F.concat(
         *[_substrings(F.col("url"), w) for w in range(1, SHORT_GRAM)]))) \
         .groupBy("retailer", "code").agg(F.min("url").alias("url"))
-    tiny_hits = codes.filter(size < SHORT_GRAM).join(tiny, ["retailer", "code"])
+    tiny_hits = codes.filter(size < SHORT_GRAM).join(shuffled(tiny), ["retailer", "code"])
     return long_hits.unionByName(tiny_hits)
 
 
@@ -138,7 +138,7 @@ def match_code_or_url(listings: DataFrame, products: DataFrame) -> DataFrame:
         "retailer", F.col("product_code").alias("code"))
     inside = codes_in_urls(codes, products).withColumnRenamed("url", "_in")
     return (equal.withColumn("code", spread_nulls(F.col("product_code"), F.col("catalog_url")))
-            .join(inside, ["retailer", "code"], "left").drop("code")
+            .join(shuffled(inside), ["retailer", "code"], "left").drop("code")
             .withColumn("linked_product_url", F.coalesce("_eq", "_in")).drop("_eq", "_in")
             .withColumn("link_confidence", F.when(F.col("linked_product_url").isNotNull(),
                                                   F.lit(CLASS_CONFIDENCE["product_code"]))))
@@ -168,7 +168,7 @@ def title_price_within(listings: DataFrame, products: DataFrame) -> DataFrame:
     right = (products.filter(F.col("price").isNotNull())
              .groupBy("retailer", "title", F.col("price").alias("rp"))
              .agg(F.min("url").alias("url")).withColumn("bucket", band.bucket(F.col("rp"))))
-    return (left.join(right, ["retailer", "title", "bucket"])
+    return (left.join(shuffled(right), ["retailer", "title", "bucket"])
             .filter(band.holds(F.col("lp"), F.col("rp")))
             .groupBy("retailer", "title", "lp").agg(F.min("url").alias("url")))
 
@@ -179,7 +179,7 @@ def match_title_near_price(listings: DataFrame, products: DataFrame) -> DataFram
         F.col("url").alias("linked_product_url"))
     return (listings.withColumn("_t", spread_nulls(F.col("title"), F.col("catalog_url")))
             .withColumn("_p", F.col("price"))
-            .join(hits, ["retailer", "_t", "_p"], "left").drop("_t", "_p")
+            .join(shuffled(hits), ["retailer", "_t", "_p"], "left").drop("_t", "_p")
             .withColumn("link_confidence", F.when(
                 F.col("linked_product_url").isNotNull(),
                 F.lit(LINK_CONFIDENCE["exact_title_price"]))))
@@ -214,7 +214,7 @@ def _shared_images(left_sets: DataFrame, right_sets: DataFrame) -> DataFrame:
     n = F.size("imgs")
     need = F.greatest(F.ceil(n / 2).cast("int"), F.lit(2))
     ranked = (left_sets.filter(n >= 2).select("retailer", "imgs", F.explode("imgs").alias("i"))
-              .join(spread, ["retailer", "i"])
+              .join(shuffled(spread), ["retailer", "i"])
               .groupBy("retailer", "imgs")
               .agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("known")))
     # Images no product has cannot be shared, so they count as the rarest ones.
@@ -222,7 +222,7 @@ def _shared_images(left_sets: DataFrame, right_sets: DataFrame) -> DataFrame:
     rare = ranked.filter(width > 0).select("retailer", "imgs", F.explode(
         F.slice("known", F.lit(1), width)).alias("k"))
     return (rare.select("retailer", "imgs", F.col("k.i").alias("i"))
-            .join(right_sets.select("retailer", "rimgs", F.explode("rimgs").alias("i")),
+            .join(shuffled(right_sets.select("retailer", "rimgs", F.explode("rimgs").alias("i"))),
                   ["retailer", "i"])
             .select("retailer", "imgs", "rimgs").distinct()
             .withColumn("shared", F.size(F.array_intersect("imgs", "rimgs")))
@@ -255,14 +255,14 @@ def image_overlap_values(listings: DataFrame, products: DataFrame,
 
     pairs = _shared_images(left.select("retailer", "imgs").distinct(),
                            right.select("retailer", "rimgs").distinct())
-    several = (near.join(pairs, ["retailer", "imgs"])
-               .join(right, ["retailer", "rimgs", "bucket"]).filter(in_band)
+    several = (near.join(shuffled(pairs), ["retailer", "imgs"])
+               .join(shuffled(right), ["retailer", "rimgs", "bucket"]).filter(in_band)
                .select(*key, "overlap", "url"))
     per_image = (right.select("retailer", "bucket", "rp", "url", F.explode("rimgs").alias("i"))
                  .groupBy("retailer", "bucket", "rp", "i").agg(F.min("url").alias("url")))
     single = (near.filter(F.size("imgs") <= 2)
               .select("*", F.explode("imgs").alias("i"))
-              .join(per_image, ["retailer", "bucket", "i"]).filter(in_band)
+              .join(shuffled(per_image), ["retailer", "bucket", "i"]).filter(in_band)
               .select(*key, (F.lit(1.0) / F.size("imgs")).alias("overlap"), "url"))
     best = (several.unionByName(single).groupBy(*key)
             .agg(F.min(F.struct((-F.col("overlap")).alias("n"), "url")).alias("m"))
@@ -285,7 +285,7 @@ def match_image_overlap(listings: DataFrame, products: DataFrame,
     own = F.concat_ws("\u0001", _image_set(F.col("image_urls")))
     return (listings.withColumn("_p", F.coalesce(F.col("price"), F.lit(0.0)))
             .withColumn("_s", spread_nulls(F.nullif(own, F.lit("")), F.col("catalog_url")))
-            .join(best, ["retailer", "_p", "_s"], "left").drop("_p", "_s"))
+            .join(shuffled(best), ["retailer", "_p", "_s"], "left").drop("_p", "_s"))
 
 
 # --- cascades -------------------------------------------------------------------------
@@ -304,7 +304,7 @@ def _with_policy(listings: DataFrame, patterns: DataFrame | None) -> DataFrame:
 def _add_hit(listings: DataFrame, known: DataFrame, keys: dict[str, Column], hit: str) -> DataFrame:
     """Left join on a one-row-per-key table, adding the column ``hit``."""
     keyed = listings.select("*", *[key.alias(name) for name, key in keys.items()])
-    return keyed.join(known, ["retailer", *keys], "left").drop(*keys)
+    return keyed.join(shuffled(known), ["retailer", *keys], "left").drop(*keys)
 
 
 def _key_levels(listings: DataFrame, products: DataFrame) -> DataFrame:
@@ -376,8 +376,8 @@ def backfill_links(snapshots: DataFrame, products: DataFrame, patterns: DataFram
         todo = todo.filter(F.col("linked_product_url").isNull())
     todo = todo.drop(*old)
     chain = _key_levels(_with_policy(todo, patterns), products)
-    unmatched = chain.filter(F.coalesce("_exact", "_norm", "_code").isNull())
-    near = title_price_within(unmatched, products).select(
+    # The titles of all rows: distinct values are few, finding those of unmatched rows would take the whole chain again.
+    near = title_price_within(todo, products).select(
         "retailer", F.col("title").alias("_t"), F.col("lp").alias("_p"),
         F.col("url").alias("_title"))
     chain = _add_hit(chain, near, {
@@ -408,7 +408,7 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
                       U.product_code(by, F.col("retailer"), "monitor"))
     chain = listings.withColumn("_c", code)
     exact = products.groupBy(F.col("url").alias("_k")).agg(F.min("url").alias("_exact"))
-    chain = chain.withColumn("_k", spread_nulls(by, F.col("title"))).join(exact, "_k", "left") \
+    chain = chain.withColumn("_k", spread_nulls(by, F.col("title"))).join(shuffled(exact), "_k", "left") \
         .drop("_k")
     if history is not None:
         seen = smallest_per_key(history, {**retailer, "_k": F.col("catalog_url")},
@@ -424,7 +424,7 @@ def classify_listings(listings: DataFrame, products: DataFrame, history: DataFra
     hits = ["_exact"] + (["_seen"] if history is not None else []) + ["_norm", "_code"]
     # Codes no product has as its own; a lookup table, so it needs no join chain.
     open_codes = (listings.select("retailer", code.alias("code")).filter(F.col("code").isNotNull())
-                  .distinct().join(eq.select("retailer", F.col("_k").alias("code")),
+                  .distinct().join(shuffled(eq.select("retailer", F.col("_k").alias("code"))),
                                    ["retailer", "code"], "left_anti"))
     # Taking all urls apart is the dear step and the result is small: once, to the shared folder.
     inside = staged(codes_in_urls(open_codes, products), "codes-in-urls").select(
@@ -502,7 +502,7 @@ def price_changes(listings: DataFrame, products: DataFrame, as_of: Column) -> Da
                             & _truthy_price(F.col("price")))
             .withColumn("_k", F.col("catalog_url"))
             .withColumn("_n", U.url_key_v1(F.col("catalog_url")))
-            .join(exact, ["retailer", "_k"], "left").join(known, ["retailer", "_n"], "left")
+            .join(shuffled(exact), ["retailer", "_k"], "left").join(shuffled(known), ["retailer", "_n"], "left")
             .withColumn("_m", F.coalesce("_em", "_nm")))
     difference = F.col("price") - F.col("_m.price")
     return (rows.filter(_truthy_price(F.col("_m.price")) & (F.abs(difference) >= 0.01))
@@ -518,7 +518,7 @@ def price_changes(listings: DataFrame, products: DataFrame, as_of: Column) -> Da
 
 def remaining_urls(all_urls: DataFrame, processed: DataFrame, url: str = "url") -> DataFrame:
     """Rows of a batch not yet processed; order columns and duplicates stay."""
-    return all_urls.join(processed.select(url).distinct(), url, "left_anti")
+    return all_urls.join(shuffled(processed.select(url).distinct()), url, "left_anti")
 
 
 def disappeared_since(snapshots: DataFrame, latest: Column, previous: Column) -> DataFrame:
