@@ -35,17 +35,22 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_batches(files: DataFrame) -> DataFrame:
-    """Url rows of batch files: an object with ``urls``, or a bare list."""
+    """Url rows of batch files: an object with ``urls``, or a bare list.
+
+    A file's fields are read before its urls are taken apart; beside the generator they would be read out of the whole
+    text once per url.
+    """
     v = F.try_parse_json("value")
 
     def get(path, kind="string"):
         return F.try_variant_get(v, path, kind)
 
     urls = F.coalesce(get("$.urls", "array<string>"), get("$", "array<string>"))
-    return files.select(
+    fields = ["batch_id", "modesty_level", "retailer", "product_type"]
+    read = files.select(
         _stem(F.col("file_name")).alias("batch_id"), get("$.modesty_level").alias("modesty_level"),
-        get("$.retailer").alias("retailer"), get("$.product_type").alias("product_type"),
-        F.posexplode(urls).alias("position", "url"))
+        get("$.retailer").alias("retailer"), get("$.product_type").alias("product_type"), urls.alias("urls"))
+    return read.select(*fields, F.posexplode("urls").alias("position", "url"))
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +92,29 @@ def checkpoint_remaining(checkpoints: DataFrame) -> DataFrame:
 
 
 def checkpoint_statistics(checkpoints: DataFrame) -> DataFrame:
-    left = F.filter("all_urls", lambda u: ~F.array_contains("processed_urls", u))
+    """Counts of each checkpoint; ``remaining`` are its urls not processed yet, duplicates counted.
+
+    Both lists are sorted together, a processed url before its copies in the whole list, and gone through once. Nothing
+    counts as remaining beside an unknown processed url, nor does an unknown url.
+    """
+    def marked(urls, rank):
+        known = F.filter(urls, lambda u: u.isNotNull())
+        return F.transform(known, lambda u: F.struct(u.alias("u"), F.lit(rank).alias("rank")))
+
+    both = F.sort_array(F.concat(marked("processed_urls", 0), marked("all_urls", 1)))
+    start = F.struct(F.lit(None).cast("string").alias("done"), F.lit(0).alias("n"))
+
+    def step(seen, x):
+        left = seen["n"] + (~x["u"].eqNullSafe(seen["done"])).cast("int")
+        return F.when(x["rank"] == 0, F.struct(x["u"].alias("done"), seen["n"].alias("n"))).otherwise(
+            F.struct(seen["done"].alias("done"), left.alias("n")))
+
+    unknown = F.col("processed_urls").isNull() | F.exists("processed_urls", lambda u: u.isNull())
+    left = F.when(unknown & (F.size("all_urls") >= 0), F.lit(0)).when(
+        F.size("all_urls") >= 0, F.aggregate(both, start, step, lambda seen: seen["n"])).otherwise(F.size("all_urls"))
     return checkpoints.select("batch_id", "total_urls", F.size("processed_urls").alias("processed"),
                               F.col("successful_count").alias("successful"),
-                              F.col("failed_count").alias("failed"), F.size(left).alias("remaining"))
+                              F.col("failed_count").alias("failed"), left.alias("remaining"))
 
 
 def parse_retailers(files: DataFrame) -> DataFrame:
