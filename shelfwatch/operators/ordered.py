@@ -58,18 +58,16 @@ def with_previous(df: DataFrame, keys: list[str], chunk: list[str], order: list[
                   value: str, name: str) -> DataFrame:
     """Adds ``name``: the ``value`` of the row before, in ``order`` within ``keys``.
 
-    ``chunk`` columns must be non-decreasing along ``order``.
+    ``chunk`` columns must be non-decreasing along ``order``. The value before a chunk comes as a row of its own ahead
+    of the chunk's rows, so that these are shuffled once and not joined.
     """
-    inside = W.partitionBy(*keys, *chunk).orderBy(*order)
+    inside = W.partitionBy(*keys, *chunk).orderBy("_own", *order)
     last = df.groupBy(*keys, *chunk).agg(
         F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_m"))
     across = W.partitionBy(*keys).orderBy(*chunk)
-    before = last.select(*keys, *chunk, F.lag(F.col("_m._v")).over(across).alias("_before"))
-    rows = df.withColumn("_rn", F.row_number().over(inside)).withColumn(
-        "_lag", F.lag(F.col(value)).over(inside))
-    return _same(rows, before, [*keys, *chunk]).withColumn(
-        name, F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_lag"))).drop(
-        "_rn", "_lag", "_before")
+    before = last.select(*keys, *chunk, F.lag(F.col("_m._v")).over(across).alias("_v"), F.lit(0).alias("_own"))
+    rows = df.withColumns({"_v": F.col(value), "_own": F.lit(1)}).unionByName(before, allowMissingColumns=True)
+    return rows.withColumn(name, F.lag("_v").over(inside)).filter("_own = 1").drop("_v", "_own")
 
 
 def with_position(df: DataFrame, keys: list[str], chunk: list[str], order: list[str]) -> DataFrame:
@@ -137,16 +135,26 @@ def spaced(points: DataFrame, key: str, at: str, span: int, light_rows: int = 10
     points = staged(points.select(key, at), "points")
     counted = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     many = counted.filter(F.col("_n") > light_rows).select(key)
-    light = _same(points, many, [key], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_all"))
+    heavy = not many.isEmpty()
+    few = _same(points, many, [key], "left_anti") if heavy else points
+    light = few.filter(F.col(at).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_all"))
     none = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def fold(acc, x):
         return F.when(acc["last"].isNull() | (x - acc["last"] >= span), F.struct(x.alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
 
-    kept = light.select(key, F.explode(F.aggregate("_all", none, fold, lambda acc: acc["kept"])).alias(at))
-    if not many.isEmpty():
-        kept = kept.unionByName(_reached(_same(points, many, [key], "left_semi"), key, at, span))
-    return _same(points, kept.withColumn("kept", F.lit(True)), [key, at], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    def flagged(kept):
+        mark = lambda xs, k: F.transform(xs, lambda x: F.struct(x.alias(at), F.lit(k).alias("kept")))
+        return F.concat(mark(kept, True), mark(F.array_except("_all", kept), False))
+
+    # The folded array is bound by an outer transform, as it is used twice.
+    folded = F.get(F.transform(F.array(F.aggregate("_all", none, fold, lambda acc: acc["kept"])), flagged), F.lit(0))
+    out = light.select(key, F.inline(folded)).unionByName(few.filter(F.col(at).isNull()).withColumn("kept", F.lit(False)))
+    if not heavy:
+        return out
+    large = _same(points, many, [key], "left_semi")
+    kept = _reached(large, key, at, span).withColumn("kept", F.lit(True))
+    return out.unionByName(_same(large, kept, [key, at], "left").withColumn("kept", F.coalesce("kept", F.lit(False))))
 
 
 def _reached(points: DataFrame, key: str, at: str, span: int) -> DataFrame:

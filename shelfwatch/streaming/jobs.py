@@ -82,26 +82,20 @@ def kept_sights(ts: str, freshness: str = "24 hours", url: str = "url"):
 
     Each version has every sight, so the kept ones are those of all rows in event order (then by a hash of the row),
     whatever micro-batches they came in. A sight is a repeat inside the freshness time of a kept one before it; of a url's
-    rows without a time one is kept. A url's sights meet in one task; old versions may be removed.
+    rows without a time one is kept. A url's sights are spread over tasks by time, as in :func:`sight_log`; old versions
+    may be removed.
     """
     def apply(batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         rows = _sights(batch, ts, url).withColumn("event_hash", F.xxhash64(*batch.columns))
         if earlier is not None:
             newest = earlier.agg(F.max("batch_id")).first()[0]
             rows = rows.unionByName(earlier.filter(F.col("batch_id") == newest).select(*rows.columns))
-        span = _micros(batch.sparkSession, freshness)
-
-        def mark(sights):
-            sights = sights.sort_values(["event_micros", "event_hash"], kind="stable")
-            times = sights["event_micros"].to_numpy()
-            kept, at = [False] * len(times), 0
-            while at < len(times):  # from kept sight to kept sight
-                kept[at] = True
-                at = max(at + 1, int(times.searchsorted(int(times[at]) + span)))
-            return sights.assign(kept=kept)
-
-        schema = rows.withColumn("kept", F.lit(True)).schema
-        return rows.groupBy("url_key").applyInPandas(mark, schema)
+        spot = ["url_key", "event_micros"]
+        rows = staged(rows, "sights")
+        points = ordered.spaced(rows.select(*spot).distinct(), *spot, _micros(batch.sparkSession, freshness))
+        nth = F.row_number().over(Window.partitionBy(*spot).orderBy("event_hash"))
+        marked = ordered._same(rows.withColumn("_nth", nth), points, spot)
+        return marked.withColumn("kept", F.col("kept") & (F.col("_nth") == 1)).drop("_nth")
 
     return apply
 
@@ -124,7 +118,7 @@ def sight_log(ts: str, freshness: str = "24 hours", url: str = "url", buckets: i
         now = staged(rows.groupBy(*spot).agg(F.min_by(held, "event_hash").alias("held")).select("*", bucket), "sights")
         span = _micros(batch.sparkSession, freshness)
         if earlier is None:
-            both = now.withColumn("was", F.lit(None).cast("boolean"))
+            both = now.withColumns({"was": F.lit(None).cast("boolean"), "old_hash": F.lit(None).cast("bigint")})
         else:
             touched = now.filter("bucket >= 0").select("bucket").distinct()  # at most ``buckets`` numbers: small enough to broadcast
             past = earlier.join(F.broadcast(touched), "bucket", "left_semi")  # prunes the folders when it runs
@@ -132,9 +126,9 @@ def sight_log(ts: str, freshness: str = "24 hours", url: str = "url", buckets: i
             past = past.groupBy(*spot, "bucket").agg(F.max_by(F.struct("kept", held.alias("held")), "batch_id").alias("m"))
             past = past.select(*spot, "bucket", "m.held", F.col("m.kept").alias("was"))
             both = now.withColumn("was", F.lit(None).cast("boolean")).unionByName(past)
-        both = staged(both.groupBy(*spot, "bucket").agg(
-            F.min_by("held", F.col("held.event_hash")).alias("held"), F.max("was").alias("was"),
-            F.max_by(F.col("held.event_hash"), F.col("was").isNotNull()).alias("old_hash")), "sights")
+            both = staged(both.groupBy(*spot, "bucket").agg(
+                F.min_by("held", F.col("held.event_hash")).alias("held"), F.max("was").alias("was"),
+                F.max_by(F.col("held.event_hash"), F.col("was").isNotNull()).alias("old_hash")), "sights")
         marked = ordered._same(both, ordered.spaced(both.select(*spot), *spot, span), spot)
         news = F.col("was").isNull() | (F.col("was") != F.col("kept")) | (F.col("old_hash") != F.col("held.event_hash"))
         return marked.filter(news).select(*spot, "bucket", "kept", "held.*")
@@ -173,11 +167,14 @@ def last_price_alerts(state: str, min_change: float = 0.01, buckets: int = 256,
             table = BucketTable(spark, state)
         base = table.version(number)
         held = table.read(base, table.touched(rows))
-        known = held.select("catalog_url", F.struct("micros", "seq").alias("_held"))
-        live = ordered._same(rows, known, ["catalog_url"], "left").filter(
-            F.col("_held").isNull() | (F.struct("micros", "seq") >= F.col("_held"))).drop("_held")
-        live = staged(live.withColumn("_new", F.lit(1)).unionByName(
-            ordered._same(held, rows.select("catalog_url").distinct(), ["catalog_url"], "left_semi").withColumn("_new", F.lit(0))), "prices")
+        if held.isEmpty():  # no url has a price before this batch
+            live = rows.withColumn("_new", F.lit(1))
+        else:
+            known = held.select("catalog_url", F.struct("micros", "seq").alias("_held"))
+            live = ordered._same(rows, known, ["catalog_url"], "left").filter(
+                F.col("_held").isNull() | (F.struct("micros", "seq") >= F.col("_held"))).drop("_held")
+            live = staged(live.withColumn("_new", F.lit(1)).unionByName(
+                ordered._same(held, rows.select("catalog_url").distinct(), ["catalog_url"], "left_semi").withColumn("_new", F.lit(0))), "prices")
         table.upsert(live.filter("_new = 1").drop("_new"), lambda old, new: newest(old.unionByName(new)), at=number)
         width = _micros(spark, block)
         cut = live.withColumn("_block", F.col("micros") - F.pmod(F.col("micros"), F.lit(width)))
@@ -196,35 +193,39 @@ def _made(spark, path: str) -> bool:
         return False
 
 
-def price_alerts(listings: DataFrame, min_change: float = 0.01) -> DataFrame:
+def price_alerts(listings: DataFrame, min_change: float = 0.01, buckets: int = 4096) -> DataFrame:
     """Changes against the last price seen per listing.
 
     Needs ``catalog_url``, ``seen_at`` (timestamp), ``seq`` and ``price``. A row
     older than the stored one is late and ignored. Rows of one url inside a
-    micro-batch are taken in (seen_at, seq) order; the size of a micro-batch
-    bounds what a hot url can bring to one task.
+    micro-batch are taken in (seen_at, seq) order, nulls first; the size of a
+    micro-batch bounds what a hot url can bring to one task. The last prices of
+    a hash bucket of urls are one list of state, so that Python is called once
+    per bucket and micro-batch and not per url; a touched bucket's list is read
+    and written whole. A checkpoint of the form with a state per url does not
+    fit.
     """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     use_rocksdb(listings.sparkSession)
 
-    class LastPrice(StatefulProcessor):
+    class LastPrices(StatefulProcessor):
         def init(self, handle):
-            self.last = handle.getValueState("last", "price double, micros bigint, seq bigint")
+            self.last = handle.getListState("last", "catalog_url string, price double, micros bigint, seq bigint")
 
         def handleInputRows(self, key, rows, timerValues):
-            seen = sorted(r for part in rows for r in zip(
-                part["micros"].tolist(), part["seq"].tolist(), part["price"].tolist()))
-            before = self.last.get()
-            held, out = (tuple(before) if before else None), []
-            for micros, seq, price in seen:
+            seen = sorted((r for part in rows for r in zip(*(part[c].tolist() for c in ("micros", "seq", "price", "catalog_url")))),
+                          key=lambda r: r[:3])
+            last, out = {r[0]: tuple(r[1:]) for r in self.last.get()}, []
+            for micros, seq, price, url in seen:
+                held = last.get(url)
                 if held is not None and (micros, seq) < held[1:]:
                     continue
                 if held is not None and abs(price - held[0]) >= min_change:
-                    out.append((key[0], micros, seq, held[0], price))
-                held = (price, micros, seq)
-            self.last.update(held)
+                    out.append((url, micros, seq, held[0], price))
+                last[url] = (price, micros, seq)
+            self.last.put([(url, *held) for url, held in last.items()])
             if out:
                 yield pd.DataFrame(out, columns=["catalog_url", "micros", "seq", "old_price",
                                                  "new_price"])
@@ -233,13 +234,15 @@ def price_alerts(listings: DataFrame, min_change: float = 0.01) -> DataFrame:
             pass
 
     rows = listings.filter(F.coalesce("price", F.lit(0.0)) != 0).select(
-        "catalog_url", F.unix_micros(F.col("seen_at").cast("timestamp")).alias("micros"), "seq",
-        "price")
-    return rows.groupBy("catalog_url").transformWithStateInPandas(
-        statefulProcessor=LastPrice(),
+        "catalog_url", F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(_NO_TIME)).alias("micros"),
+        F.coalesce("seq", F.lit(_NO_TIME)).alias("seq"), "price",
+        F.pmod(F.xxhash64("catalog_url"), F.lit(buckets)).alias("bucket"))
+    found = rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=LastPrices(),
         outputStructType="catalog_url string, micros bigint, seq bigint, old_price double, "
                          "new_price double",
         outputMode="append", timeMode="none")
+    return found.withColumns({c: F.nullif(c, F.lit(_NO_TIME)) for c in ("micros", "seq")})
 
 
 def retailer_state():
