@@ -14,6 +14,9 @@ threshold is lost, and nothing is capped.
    unharmed piece from the left, one as the first from the right: as many edits
    lie beyond such a piece as pieces do, which fixes how far it can have moved.
 4. Distinct title pairs pass the character-multiset bound and are scored once.
+5. Which product of a title comes first within the band is read off nested price
+   cells: one that lies in the band as a whole gives its smallest url, only the
+   cells at the band's two ends are opened.
 """
 
 from __future__ import annotations
@@ -32,12 +35,15 @@ from shelfwatch.session import staged
 class AbsoluteBand:
     """Prices closer than ``width`` dollars."""
 
+    #: Levels of cells below the buckets that :func:`smallest_in_band` opens.
+    levels = 1
+
     def __init__(self, width: float):
         self.width = width
         self.steps = range(-1, 2)
 
-    def bucket(self, price: Column) -> Column:
-        return F.floor(price / F.lit(self.width)).cast("long")
+    def bucket(self, price: Column, cells: int = 1) -> Column:
+        return F.floor(price / F.lit(self.width) * F.lit(float(cells))).cast("long")
 
     def holds(self, left: Column, right: Column) -> Column:
         return F.abs(right - left) < self.width
@@ -46,19 +52,25 @@ class AbsoluteBand:
 class RelativeBand:
     """Right price closer than ``share`` of the left price (both positive)."""
 
+    levels = 2
+
     def __init__(self, share: float):
         self.share = share
         self._log = math.log(1 + share)
         low = math.floor(math.log(1 - share) / self._log)
         self.steps = range(low, 2)
 
-    def bucket(self, price: Column) -> Column:
-        return F.floor(F.log(price) / F.lit(self._log)).cast("long")
+    def bucket(self, price: Column, cells: int = 1) -> Column:
+        return F.floor(F.log(price) / F.lit(self._log) * F.lit(float(cells))).cast("long")
 
     def holds(self, left: Column, right: Column) -> Column:
         return F.abs(left - right) / left < self.share
 
 
+#: Cells a bucket or a cell is cut into; a power of two, so that cells nest exactly.
+FAN = 16
+
+
 def _near_buckets(band, price: Column) -> Column:
     return F.explode(F.array(*[band.bucket(price) + F.lit(s) for s in band.steps]))
 
@@ -131,6 +143,40 @@ def ratios(pairs: DataFrame) -> DataFrame:
     return known.filter(F.col("ratio").isNotNull()).unionByName(left.withColumn("ratio", S.sequence_ratio()(F.col("lt"), F.col("rt"))))
 
 
+def smallest_in_band(near: DataFrame, right: DataFrame, band) -> DataFrame:
+    """``near`` (retailer, rt, lp, bucket and more) without the bucket, with urls among which is the smallest of ``right`` in the band.
+
+    A title can have as many prices as its products. Joined one by one they make listings times products rows, which
+    the aggregate behind sorts and spills. Here a row meets one row a bucket, with the FAN cells below it: cells that lie
+    in the band with their lowest and highest price do so as a whole, as the band's test is monotonous on either side
+    of the listing's price. At most the two cells at the band's ends go on to the next level, the last are compared by value.
+    """
+    keep = [c for c in near.columns if c != "bucket"]
+    # A row whose cells are settled goes on with its url and meets nothing; no bucket lies that low.
+    nothing = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("lp"), F.lit(1 << 20))
+
+    def lies(part: str, c: Column) -> Column:
+        low, high = band.holds(F.col("lp"), c["low"]), band.holds(F.col("lp"), c["high"])
+        if part == "inside":
+            return low & high
+        return ~(low & high) & ~((c["high"] < F.col("lp")) & ~high) & ~((c["low"] > F.col("lp")) & ~low)
+
+    rows, cells = near.select(*keep, F.lit(None).cast("string").alias("url"), F.col("bucket").alias("_cell")), 1
+    for _ in range(band.levels):
+        below = right.groupBy("retailer", "rt", band.bucket(F.col("rp"), cells).alias("_cell"), band.bucket(F.col("rp"), cells * FAN).alias("id")).agg(
+            F.min("rp").alias("low"), F.max("rp").alias("high"), F.min("url").alias("_url"))
+        table = below.groupBy("retailer", "rt", "_cell").agg(F.collect_list(F.struct("id", "low", "high", "_url")).alias("_below"))
+        met = rows.join(shuffled(table), ["retailer", "rt", "_cell"], "inner" if cells == 1 else "left")
+        inside = F.array_min(F.transform(F.filter("_below", lambda c: lies("inside", c)), lambda c: c["_url"]))
+        ends = F.transform(F.filter("_below", lambda c: lies("partly", c)), lambda c: c["id"])
+        rows = met.select(*keep, F.least("url", inside).alias("url"), F.explode_outer(ends).alias("_cell")).filter("url IS NOT NULL OR _cell IS NOT NULL") \
+            .withColumn("_cell", F.coalesce("_cell", nothing))
+        cells *= FAN
+    values = right.select("retailer", "rt", F.col("rp").alias("_rp"), F.col("url").alias("_url"), band.bucket(F.col("rp"), cells).alias("_cell"))
+    met = rows.join(shuffled(values), ["retailer", "rt", "_cell"], "left")
+    return met.select(*keep, F.least("url", F.when(band.holds(F.col("lp"), F.col("_rp")), F.col("_url"))).alias("url")).filter(F.col("url").isNotNull())
+
+
 def best_fuzzy(listings: DataFrame, products: DataFrame, band, threshold: float) -> DataFrame:
     """Best product per distinct (retailer, lt, lp): ``url`` and ``ratio``.
 
@@ -142,20 +188,15 @@ def best_fuzzy(listings: DataFrame, products: DataFrame, band, threshold: float)
     """
     left = staged(_listing_values(listings), "listing-titles")
     right = staged(_product_values(products), "product-titles")
-    right = right.withColumn("bucket", band.bucket(F.col("rp")))
     near = left.withColumn("bucket", _near_buckets(band, F.col("lp")))
-    in_band = band.holds(F.col("lp"), F.col("rp"))
     key = ["retailer", "lt", "lp"]
 
-    same = (near.withColumn("rt", F.col("lt")).join(shuffled(right), ["retailer", "bucket", "rt"])
-            .filter(in_band).groupBy(*key).agg(F.min("url").alias("url"))
-            .withColumn("ratio", F.lit(1.0)))
+    same = staged(smallest_in_band(near.withColumn("rt", F.col("lt")), right, band)
+                  .groupBy(*key).agg(F.min("url").alias("url")), "same-titles").withColumn("ratio", F.lit(1.0))
     open_left = left.join(shuffled(same.select(*key)), key, "left_anti")
     pairs = scored_title_pairs(
         candidate_title_pairs(open_left, right, band, threshold), threshold)
-    close = (open_left.withColumn("bucket", _near_buckets(band, F.col("lp")))
-             .join(shuffled(pairs), "lt").join(shuffled(right), ["retailer", "bucket", "rt"])
-             .filter(in_band)
+    close = (smallest_in_band(open_left.withColumn("bucket", _near_buckets(band, F.col("lp"))).join(shuffled(pairs), "lt"), right, band)
              .groupBy(*key).agg(F.min(F.struct((-F.col("ratio")).alias("n"), "url")).alias("m"))
              .select(*key, F.col("m.url").alias("url"), (-F.col("m.n")).alias("ratio")))
     return same.unionByName(close)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,33 @@ def test_price_alerts_hold_prices_by_bucket(spark, tmp_path):
                 last[url] = price
     got = spark.read.parquet(str(tmp_path / "out")).select("catalog_url", "seq", "old_price", "new_price").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_many_prices_of_one_title(spark):
+    """The smallest url in the band is found, and a listing meets cells of a title and not each of its prices."""
+    rng = random.Random(13)
+    nan, inf = float("nan"), float("inf")
+    products = sorted({("r", rng.choice(["red dress", "red dresses"]), round(rng.uniform(5, 300), 2), f"u{rng.randrange(10**6):06d}") for _ in range(3000)})
+    products += [("r", "red dress", p, "a") for p in (nan, inf, 0.0, -5.0, None)] + [("s", "red dress", 50.0, "b"), (None, "red dress", 50.0, "c")]
+    prices = [round(rng.uniform(4, 320), 2) for _ in range(60)] + [nan, None, 0.0, 50.0, 45.0, 55.0, 1e9, 0.005]
+    listings = [("r", t, p) for p in prices for t in ("Red dress ", "red dresses", "red dressed", "else")]
+    left = spark.createDataFrame(listings, "retailer string, title string, price double")
+    right = spark.createDataFrame(products, "retailer string, title string, price double, url string")
+    by_title = {}
+    for r, t, p, u in products:
+        if r == "r" and p and p > 0:
+            by_title.setdefault(t, []).append((p, u))
+    ratio = {(a, b): SequenceMatcher(None, a, b).ratio() for a in ("red dress", "red dresses", "red dressed", "else") for b in by_title}
+    for band, threshold, holds in ((fuzzy.RelativeBand(0.10), 0.85, lambda a, b: abs(a - b) / a < 0.10), (fuzzy.AbsoluteBand(1.0), 0.90, lambda a, b: abs(b - a) < 1.0)):
+        want = {}
+        for _, t, p in listings:
+            low = t.strip().lower()
+            best = min(((-ratio[low, b], u) for b, rows in by_title.items() if ratio[low, b] > threshold for q, u in rows if p and holds(p, q)), default=None)
+            if best:
+                want[low, p] = (best[1], -best[0])
+        got = {(r.lt, r.lp): (r.url, r.ratio) for r in fuzzy.best_fuzzy(left, right, band, threshold).collect()}
+        assert got == want and len(want) > 100
+    values = fuzzy._listing_values(left).withColumn("rt", F.col("lt")).filter("lp between 20 and 200")
+    near = values.withColumn("bucket", fuzzy._near_buckets(fuzzy.RelativeBand(0.10), F.col("lp")))
+    urls = fuzzy.smallest_in_band(near, fuzzy._product_values(right), fuzzy.RelativeBand(0.10))
+    assert urls.count() <= 16 * values.count()
