@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions import urls as U
 from shelfwatch.functions.text import title_key
 from shelfwatch.operators.groups import connected
+from shelfwatch.operators.keyed import shuffled
 from shelfwatch.session import staged
 
 #: Rows of a connected group that one pass of a task goes through.
@@ -59,25 +60,86 @@ def greedy_dedup(rows: DataFrame, seq: str, max_rounds: int | None = None, group
     """Keep a row unless an earlier *kept* row shares any of its keys.
 
     Same result as going through the rows in ``seq`` order (unique integers). Keys that only one row has decide
-    nothing. Rows that share keys, over however many steps, form connected groups, found in logarithmic rounds; what
-    happens in one group does not touch another. Groups of up to ``group_rows`` rows are gone through in order, many
-    of them in one task and each held only while it lasts, so a long chain of partial duplicates takes one pass. Only
-    larger groups are decided in rounds of aggregates (see :func:`_in_rounds`).
+    nothing. Rounds over all open rows come first: each keeps the rows that are smallest on all their keys and drops
+    those that share a key with one. They go on while a round decides half of the open rows, so they shrink as fast.
+    What is left, chains of partial duplicates, falls into connected groups, found in logarithmic rounds; what happens
+    in one group does not touch another. Groups of up to ``group_rows`` rows are gone through in order, many of them in
+    one task and each held only while it lasts. Only larger groups are decided in rounds however little one decides
+    (see :func:`_in_rounds`).
     """
-    keyed = staged(rows.select(seq, F.explode(identity_keys()).alias("key")), "dedup-keys")
-    shared = keyed.groupBy("key").agg(F.min(seq).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = staged(keyed.join(shared.select("key", "first"), "key"), "dedup-shared")
-    links = met.select(F.col(seq).alias("a"), F.col("first").alias("b"))
+    rows = staged(rows, "dedup-rows")
+    number = F.col(seq).cast("long").alias(seq)
+    lines, own = rows.filter(F.col(seq).isNotNull()), identity_keys()
+    if not lines.groupBy(number).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        # Rows of one number are one row with the keys of them all; the place of a key must be its alone.
+        lines = staged(lines.groupBy(number).agg(F.array_distinct(F.flatten(F.collect_list(own))).alias("keys")), "dedup-keys")
+        own = F.col("keys")
+    dropped, slow, n = [], False, rows.count()
+    while True:
+        met = staged(_met(lines.select(number, F.posexplode(own).alias("place", "key")), seq), "dedup-met")
+        if n <= group_rows:
+            dropped.append(_in_order(_lines(met, seq).withColumn("group", F.lit(0)), seq))
+            break
+        if slow:
+            dropped.append(_by_groups(_lines(met, seq), seq, max_rounds, group_rows))
+            break
+        decided = staged(_decided(met, seq), "dedup-round")
+        dropped.append(decided.filter("hit").select(seq))
+        lines, own = decided.filter("NOT hit").select(seq, "keys"), F.col("keys")
+        before, n = n, lines.count()
+        slow = n * 2 > before
+    every = dropped[0]
+    for some in dropped[1:]:
+        every = every.unionByName(some)
+    return rows.join(shuffled(every), seq, "left_anti")
+
+
+def _met(keyed: DataFrame, seq: str) -> DataFrame:
+    """(seq, first, at) of the keys of (seq, place, key) that several rows share.
+
+    From here on a key is the smallest row that has it and its place there, two numbers instead of a text.
+    """
+    shared = keyed.groupBy("key").agg(F.min(seq).alias("first"), F.min_by("place", seq).alias("at"), F.count(F.lit(1)).alias("n"))
+    return keyed.select(seq, "key").join(shuffled(shared.filter("n > 1").drop("n")), "key").select(seq, "first", "at")
+
+
+def _lines(met: DataFrame, seq: str) -> DataFrame:
+    """(seq, keys), one line a row. Plain rows are shuffled, as partly collected arrays take more bytes."""
+    return met.repartition(seq).groupBy(seq).agg(F.collect_list(F.struct("first", "at")).alias("keys"))
+
+
+def _decided(met: DataFrame, seq: str) -> DataFrame:
+    """(seq, hit, keys) of the rows that are not smallest on all their keys; hit: shares a key with one that is.
+
+    The rows that are get no line, they are kept. A key is theirs only as its smallest row, so a key is taken if its
+    smallest row is smallest throughout. Rows that are hit need their keys no more.
+    """
+    later = staged(met.filter(F.col("first") < F.col(seq)).select(F.col(seq).alias("first")).distinct(), "dedup-later")
+    flagged = met.join(shuffled(later.withColumn("open", F.lit(True))), "first", "left").filter(F.col("open") | (F.col("first") < F.col(seq)))
+    ends = flagged.select(seq, *[F.when(F.col("open"), F.col(c)).alias(c) for c in ("first", "at")]).repartition(seq)
+    keys = F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "at")))
+    return ends.groupBy(seq).agg(F.bool_or(F.col("first").isNull()).alias("hit"), keys.alias("keys")) \
+        .select(seq, "hit", F.when(~F.col("hit"), F.col("keys")).alias("keys"))
+
+
+def _in_order(lines: DataFrame, seq: str) -> DataFrame:
+    """Numbers of the rows of (seq, keys, group) that are dropped when each group is gone through in order."""
+    texts = F.transform("keys", lambda k: F.concat_ws(":", k["first"], k["at"]))
+    return staged(lines.select("group", seq, texts.alias("keys")).repartition("group").sortWithinPartitions("group", seq)
+                  .mapInArrow(_gone_through(seq), f"{seq} long"), "dedup-dropped")
+
+
+def _by_groups(lines: DataFrame, seq: str, max_rounds: int | None, group_rows: int) -> DataFrame:
+    """Numbers of the dropped rows of (seq, keys), by connected groups."""
+    links = lines.select(F.col(seq).alias("a"), F.explode("keys.first").alias("b"))
     found, _ = connected(links)
     found = staged(found.select(F.col("id").alias(seq), "group"), "dedup-groups")
     large = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows).select("group")
-    open_rows = met.select(seq, "key").join(found, seq)
-    lines = open_rows.join(large, "group", "left_anti").groupBy("group", seq).agg(F.collect_list("key").alias("keys"))  # a row's own keys
-    dropped = lines.repartition("group").sortWithinPartitions("group", seq).mapInArrow(_gone_through(seq), f"{seq} long")
-    rest = open_rows.join(large, "group", "left_semi").select(seq, "key")
+    grouped = lines.join(shuffled(found), seq)
+    dropped = _in_order(grouped.join(shuffled(large), "group", "left_anti"), seq)
+    rest = staged(grouped.join(shuffled(large), "group", "left_semi").select(seq, F.explode("keys").alias("key")), "dedup-large")
     kept = _in_rounds(rest, seq, max_rounds)
-    dropped = dropped.unionByName(rest.select(F.col(seq).cast("long")).distinct().join(kept, seq, "left_anti"))
-    return rows.join(staged(dropped, "dedup-dropped"), seq, "left_anti")
+    return dropped.unionByName(staged(rest.select(seq).distinct().join(shuffled(kept), seq, "left_anti"), "dedup-dropped"))
 
 
 def _gone_through(seq: str):

@@ -48,3 +48,25 @@ def test_keep_first_by_key(spark):
     rows = [(1, "https://S.com/a/?x=1"), (0, "https://s.com/A#f"), (2, "https://s.com/b")]
     df = spark.createDataFrame(rows, "seq bigint, url string")
     assert {r.seq for r in dedup.unique_urls(df, "seq").collect()} == {0, 2}
+
+
+def test_most_rows_are_decided_before_groups_are_sought(spark, monkeypatch):
+    """Groups joined by a common key were found whole, in many passes over all rows, though one round decides most of them."""
+    asked = []
+    found = dedup.connected
+    monkeypatch.setattr(dedup, "connected", lambda links: asked.append(links.count()) or found(links))
+    rng = random.Random(3)
+    rows = [(i, f"https://s.com/{rng.randint(0, 200)}", rng.choice(["sale", "n/a", f"t{i % 40}"]), rng.choice([0.5, 9.0]), f"c{rng.randint(0, 300)}") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.seq for r in dedup.greedy_dedup(df, "seq", group_rows=5).collect()} == loop(rows)
+    assert sum(asked) < 500
+
+
+@pytest.mark.parametrize("group_rows", [1, 200_000])
+def test_numbers_given_twice_and_none(spark, group_rows):
+    """Rows of one number are dropped or kept together, by the keys of them all; rows without one are kept and drop none."""
+    rows = [(1, "https://s.com/a", None, None, "x"), (1, "https://s.com/b", None, None, "y"), (2, "https://s.com/b", None, None, None),
+            (3, None, None, None, "x"), (4, "https://s.com/c", None, None, "z"), (4, "https://s.com/c", None, None, "z"),
+            (None, "https://s.com/c", None, None, None), (None, "https://s.com/d", None, None, None), (5, "https://s.com/d", None, None, None)]
+    got = dedup.greedy_dedup(spark.createDataFrame(rows, SCHEMA), "seq", group_rows=group_rows).collect()
+    assert sorted((r.seq or 0) for r in got) == [0, 0, 1, 1, 4, 4, 5]
