@@ -10,6 +10,7 @@ from shelfwatch.functions import prices as P
 from shelfwatch.functions import text as X
 from shelfwatch.functions import urls as U
 from shelfwatch.operators import dedup, fuzzy, linking, quality
+from shelfwatch.session import staged
 
 
 def sql_any(text, phrases):
@@ -360,6 +361,7 @@ def two_extractions(v):
     s = (v.b_snapshots.groupBy("l_orderkey", "l_linenumber")
          .agg(F.min(F.struct("seq", "catalog_url", "title", "price")).alias("m"))
          .select("l_orderkey", "l_linenumber", "m.*"))
+    s = staged(s, "extractions")  # both readings, and some of them twice, come from these rows
     first = s.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("position"),
                      F.col("catalog_url").alias("url"), F.col("title").alias("dom_title"),
                      F.concat(F.lit("$"), F.round("price", 2).cast("string")).alias("dom_price"))

@@ -13,7 +13,7 @@ from shelfwatch.functions import urls as U
 from shelfwatch.functions.prices import price_first_number
 from shelfwatch.functions.text import contains_any
 from shelfwatch.operators import fuzzy
-from shelfwatch.operators.keyed import computed_once, spread_for_compute
+from shelfwatch.operators.keyed import computed_once, shuffled, spread_for_compute
 from shelfwatch.session import staged
 
 # Texts of a blocked page, and words every retailer's page has.
@@ -290,10 +290,13 @@ def reconcile_by_slug(first: DataFrame, second: DataFrame) -> DataFrame:
     rows = second.withColumn("low", F.lower(F.coalesce("title", F.lit(""))))
     scored = slug_scores(rows.select("page_id", "low"), links.select("page_id", "slug"), threshold)
     scored = scored.filter(F.col("similarity") > threshold)
-    best = (rows.join(scored, ["page_id", "low"]).join(links, ["page_id", "slug"])
-            .groupBy("page_id", "position", "title", "price")
-            .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "link_position", "url"))
-                 .alias("m"))
+    # The best link is the title's, whichever rows have it, so it is found before the rows are met.
+    linked = (scored.join(shuffled(links.select("page_id", "slug", "link_position", "url")), ["page_id", "slug"])
+              .groupBy("page_id", "low")
+              .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "link_position", "url"))
+                   .alias("m")))
+    best = (rows.select("page_id", "low", "position", "title", "price").repartition("page_id", "low").distinct()
+            .join(shuffled(linked), ["page_id", "low"])
             .select("page_id", F.col("m.url").alias("url"), "title", "price",
                     (-F.col("m.s")).alias("match_confidence"),
                     F.lit(False).alias("needs_reprocessing")))
@@ -314,15 +317,17 @@ def slug_scores(titles: DataFrame, links: DataFrame, threshold: float) -> DataFr
     Every pair whose score is a title's highest, and above the threshold, is among them.
     """
     bag = lambda c: F.explode(F.array(S.char_bag(F.col(c))))  # noqa: E731  a value of its own, made once per text
-    left = titles.distinct().filter(F.col("low") != "").select("page_id", "low", bag("low").alias("_left"))
-    right = links.distinct().filter(F.col("slug") != "").select("page_id", "slug", bag("slug").alias("_right"))
+    # The texts of a page meet in one task before bags are made, which take several times their bytes.
+    left = spread_for_compute(titles.filter(F.col("low") != ""), "page_id").distinct().select("page_id", "low", bag("low").alias("_left"))
+    right = spread_for_compute(links.filter(F.col("slug") != ""), "page_id").distinct().select("page_id", "slug", bag("slug").alias("_right"))
     a, b = F.length("low"), F.length("slug")
     reach = 2.0 * F.least(a, b) / (a + b) > threshold
     bound = 2.0 * F.size(F.array_intersect("_left", "_right")) / (a + b)
-    pairs = spread_for_compute(left, "page_id", "low").join(right, "page_id").filter(reach)
+    pairs = left.join(shuffled(right), "page_id").filter(reach)
     pairs = pairs.select("page_id", "low", "slug", F.explode(F.array(bound)).alias("bound")).filter(F.col("bound") > threshold)
-    pairs = staged(pairs, "slug-bounds")
-    first = pairs.groupBy("page_id", "low").agg(F.max(F.struct("bound", "slug")).alias("m")).select("page_id", "low", F.col("m.slug").alias("slug"))
+    highest = F.max(F.struct("bound", "slug")).over(Window.partitionBy("page_id", "low"))
+    pairs = staged(pairs.withColumn("first", F.col("slug") == highest["slug"]), "slug-bounds")
+    first = pairs.filter("first").select("page_id", "low", "slug")
 
     def scored(some: DataFrame) -> DataFrame:
         texts = fuzzy.ratios(some.select(F.col("low").alias("lt"), F.col("slug").alias("rt")).distinct())

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from shelfwatch.operators import fuzzy, linking
+from shelfwatch.operators import fuzzy, linking, quality
 from shelfwatch.sources import files
 from shelfwatch.streaming import jobs
 
@@ -140,3 +140,26 @@ def test_many_prices_of_one_title(spark):
     near = values.withColumn("bucket", fuzzy._near_buckets(fuzzy.RelativeBand(0.10), F.col("lp")))
     urls = fuzzy.smallest_in_band(near, fuzzy._product_values(right), fuzzy.RelativeBand(0.10))
     assert urls.count() <= 16 * values.count()
+
+
+def test_texts_of_a_page_are_shuffled_once(spark, monkeypatch):
+    """Links are found as by the plain loop; texts go to their page once and without the bags of their characters."""
+    plans, kept = {}, quality.staged
+    monkeypatch.setattr(quality, "staged", lambda df, label: plans.setdefault(label, plan(df)) and kept(df, label))
+    rng = random.Random(11)
+    words = ["red", "blue", "silk", "midi", "dress", "skirt"]
+    links = [(p, i, f"https://s.com/{'-'.join(rng.choices(words, k=3))}", rng.choice(["a b", None, ""]), "$5") for p in range(6) for i in range(5)]
+    rows = [(p, i, rng.choice([str.upper, str.lower])(" ".join(rng.choices(words, k=3))), float(i % 2)) for p in range(7) for i in range(4)]
+    rows += [rows[0], (1, None, None, None), (None, 0, "red silk dress", 1.0), (2, 9, "", 1.0)]
+    out = quality.reconcile_by_slug(spark.createDataFrame(links, "page_id long, position int, url string, dom_title string, dom_price string"),
+                                    spark.createDataFrame(rows, "page_id long, position int, title string, price double")).collect()
+    want, taken = [], set()
+    for p, _, title, price in set(rows):
+        scores = [(-SequenceMatcher(None, (title or "").lower(), u.split("/")[-1]).ratio(), i, u) for q, i, u, *_ in links if q == p and title]
+        if scores and min(scores)[0] < -0.5:
+            want.append((p, min(scores)[2], title, price, -min(scores)[0]))
+            taken.add((p, min(scores)[2]))
+    left = sorted((p, u) for p, _, u, *_ in links if (p, u) not in taken)
+    assert sorted(r[:5] for r in map(tuple, out) if r[4] is not None) == sorted(want)
+    assert sorted(r[:2] for r in map(tuple, out) if r[4] is None) == left
+    assert plans["slug-bounds"].count("Exchange hashpartitioning(") == 2
