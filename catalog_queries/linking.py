@@ -9,6 +9,8 @@ from shelfwatch.operators import fuzzy, linking, patterns
 
 KEY = ["l_orderkey", "l_linenumber"]
 LINKED = [*KEY, "linked_product_url", "link_confidence"]
+# What cascades read of a listing; they write rows to the shared folder with all columns they are given.
+READ = ["retailer", "catalog_url", "title", "price", "product_code"]
 
 V1 = "rtrim(split_part({}, '?', 1), '/')"
 KNOWN = "SELECT retailer, {key}, min(url) AS u FROM b_products GROUP BY ALL"
@@ -114,8 +116,8 @@ def image_overlap(v):
 
 @query("J9_link_cascade")
 def link_cascade(v):
-    return linking.link_listings(with_images(v.b_listings), with_images(v.b_products_full)).select(
-        *LINKED, "link_method")
+    rows = with_images(v.b_listings).select(*KEY, *READ, "image_urls")
+    return linking.link_listings(rows, with_images(v.b_products_full)).select(*LINKED, "link_method")
 
 
 CASCADE_SQL = f"""
@@ -138,7 +140,7 @@ SELECT retailer, CASE WHEN eu IS NOT NULL THEN 'exact_url' WHEN nu IS NOT NULL T
   count(*) AS n, count(DISTINCT coalesce(eu, nu, cu, tu)) AS products
 FROM j WHERE coalesce(eu, nu, cu, tu) IS NOT NULL GROUP BY ALL""")
 def backfill_key_levels(v):
-    links = linking.backfill_links(v.b_snapshots, v.b_products)
+    links = all_links(v)
     return (links.filter(F.col("link_method") != "fuzzy_title_price")
             .groupBy("retailer", "link_method")
             .agg(F.count(F.lit(1)).alias("n"),
@@ -147,7 +149,7 @@ def backfill_key_levels(v):
 
 @query("J9b_backfill_links")
 def backfill(v):
-    return linking.backfill_links(v.b_snapshots, v.b_products).select(*LINKED, "link_method")
+    return linking.backfill_links(v.b_snapshots.select(*KEY, *READ), v.b_products).select(*LINKED, "link_method")
 
 
 CLASSIFY_SQL = f"""
@@ -187,13 +189,13 @@ def split_scans(v):
 @query("J10_classify_by_keys", CLASSIFY_SQL)
 def classify_by_keys(v):
     now, history = split_scans(v)
-    return linking.classify_listings(now, v.b_products, history, use_fuzzy=False).select(*CLASS)
+    return linking.classify_listings(now.select(*KEY, *READ), v.b_products, history, use_fuzzy=False).select(*CLASS)
 
 
 @query("J10_classify")
 def classify(v):
     now, history = split_scans(v)
-    return linking.classify_listings(now, v.b_products, history).select(*CLASS)
+    return linking.classify_listings(now.select(*KEY, *READ), v.b_products, history).select(*CLASS)
 
 
 PRICE_SQL = f"""
@@ -242,12 +244,12 @@ LINKS_SQL = CASCADE_SQL + """, links AS (SELECT *, coalesce(eu, nu, cu, tu) AS u
 
 
 def all_links(v):
-    return linking.backfill_links(v.b_snapshots, v.b_products)
+    return linking.backfill_links(v.b_snapshots.select(*READ), v.b_products)
 
 
 def key_links(v):
     """Links of the key levels only, so that plain SQL can check what is built on them."""
-    return linking.backfill_links(v.b_snapshots, v.b_products, fuzzy_level=False)
+    return linking.backfill_links(v.b_snapshots.select(*READ), v.b_products, fuzzy_level=False)
 
 
 @query("A1_linking_statistics")
@@ -326,7 +328,7 @@ SELECT retailer, CASE WHEN eu IS NOT NULL THEN 'exact_url' WHEN nu IS NOT NULL T
 FROM gated WHERE NOT fuzzy_only AND coalesce(eu, nu, cu) IS NOT NULL GROUP BY ALL""")
 def policy_key_levels(v):
     """The cascade under learned patterns: retailers whose urls move have no link by url or code."""
-    links = linking.link_listings(v.b_snapshots, v.b_products, learned_patterns(v))
+    links = linking.link_listings(v.b_snapshots.select(*READ), v.b_products, learned_patterns(v))
     return (links.filter(F.col("link_method") != "fuzzy_title_price").groupBy("retailer", "link_method")
             .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("linked_product_url").alias("products")))
 
@@ -337,7 +339,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN NOT fuzzy_only THEN coalesce(eu, nu,
     WHEN NOT fuzzy_only AND cu IS NOT NULL THEN 'product_code' WHEN tu IS NOT NULL THEN 'exact_title_price' END AS link_method
 FROM gated""")
 def policy_backfill(v):
-    links = linking.backfill_links(v.b_snapshots, v.b_products, learned_patterns(v), fuzzy_level=False)
+    links = linking.backfill_links(v.b_snapshots.select(*KEY, *READ), v.b_products, learned_patterns(v), fuzzy_level=False)
     return links.select(*KEY, "linked_product_url", "link_method")
 
 
@@ -365,5 +367,5 @@ def classify_by_images(v):
         "catalog_url": F.when(unknown, F.concat(F.lit("https://new.example.com/"), "l_orderkey", F.lit("/"), "l_linenumber")).otherwise(F.col("catalog_url")),
         "title": F.when(unknown, "never seen before").otherwise(F.col("title")), "product_code": F.when(~unknown, F.col("product_code"))})
     _, history = split_scans(v)
-    found = linking.classify_listings(now, with_images(v.b_products_full), history, use_fuzzy=False)
+    found = linking.classify_listings(now.select(*KEY, *READ, "image_urls"), with_images(v.b_products_full), history, use_fuzzy=False)
     return found.select(*KEY, "status", "match_method", "matched_url")

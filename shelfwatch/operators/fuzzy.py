@@ -33,36 +33,41 @@ from shelfwatch.session import staged
 
 
 class AbsoluteBand:
-    """Prices closer than ``width`` dollars."""
+    """Prices closer than ``width`` dollars. A bucket is as wide as a band, which so lies in two."""
 
     #: Levels of cells below the buckets that :func:`smallest_in_band` opens.
     levels = 1
 
     def __init__(self, width: float):
         self.width = width
-        self.steps = range(-1, 2)
 
     def bucket(self, price: Column, cells: int = 1) -> Column:
-        return F.floor(price / F.lit(self.width) * F.lit(float(cells))).cast("long")
+        return F.floor(price / F.lit(2 * self.width) * F.lit(float(cells))).cast("long")
+
+    def ends(self, price: Column) -> tuple[Column, Column]:
+        """No price that the band holds lies beyond these; rounding keeps the order."""
+        return price - F.lit(self.width), price + F.lit(self.width)
 
     def holds(self, left: Column, right: Column) -> Column:
         return F.abs(right - left) < self.width
 
 
 class RelativeBand:
-    """Right price closer than ``share`` of the left price (both positive)."""
+    """Right price closer than ``share`` of the left price (both positive). Buckets are a little wider than a band."""
 
     levels = 2
 
     def __init__(self, share: float):
         self.share = share
-        self._log = math.log(1 + share)
-        low = math.floor(math.log(1 - share) / self._log)
-        self.steps = range(low, 2)
+        self._log = math.log((1 + share) / (1 - share)) * 1.05
 
     def bucket(self, price: Column, cells: int = 1) -> Column:
         return F.floor(F.log(price) / F.lit(self._log) * F.lit(float(cells))).cast("long")
 
+    def ends(self, price: Column) -> tuple[Column, Column]:
+        """No price that the band holds lies beyond these, by more than all rounding."""
+        return price * F.lit((1 - self.share) * (1 - 1e-9)), price * F.lit((1 + self.share) * (1 + 1e-9))
+
     def holds(self, left: Column, right: Column) -> Column:
         return F.abs(left - right) / left < self.share
 
@@ -72,7 +77,7 @@ FAN = 16
 
 
 def _near_buckets(band, price: Column) -> Column:
-    return F.explode(F.array(*[band.bucket(price) + F.lit(s) for s in band.steps]))
+    return F.explode(F.sequence(*[band.bucket(end) for end in band.ends(price)]))
 
 
 def _listing_values(listings: DataFrame) -> DataFrame:
@@ -92,22 +97,24 @@ def candidate_title_pairs(left: DataFrame, right: DataFrame, band, threshold: fl
     """Distinct (lt, rt) pairs that can reach the threshold inside the band.
 
     The larger side, the listings, is cut into its few pieces; the products
-    list every substring a piece may equal, with its place.
+    list every substring a piece may equal, with its place. Both meet by a hash of
+    retailer, bucket and piece; what meets by chance is a pair more to score.
     """
+    cell = F.xxhash64("retailer", "bucket", "piece").alias("cell")
     lefts = (spread_for_compute(
         left.select("retailer", "lt", _near_buckets(band, F.col("lp")).alias("bucket")).distinct(),
         "retailer", "lt", "bucket")
-        .select("*", F.posexplode(S.pieces(F.col("lt"), threshold)).alias("nth", "piece")))
+        .select("*", F.posexplode(S.pieces(F.col("lt"), threshold)).alias("nth", "piece")).select(cell, "lt", "nth"))
     rights = (spread_for_compute(
         right.select("retailer", "rt", band.bucket(F.col("rp")).alias("bucket")).distinct(),
         "retailer", "rt", "bucket")
         .withColumn("gram", F.explode(S.grams_for_partners(F.col("rt"), threshold)))
-        .select("retailer", "bucket", "rt", "gram.piece", "gram.place"))
+        .select("retailer", "bucket", "rt", "gram.piece", "gram.place").select(cell, "rt", "place"))
     ll, rl = F.length("lt"), F.length("rt")
     nth, shift = F.col("nth"), F.col("place") - F.col("nth") * S.piece_width(ll, threshold)
     total, edits = F.floor(ll / S.piece_width(ll, threshold)), S.pair_edits(ll, rl, threshold)
     rest = rl - ll - shift
-    met = (lefts.join(shuffled(rights), ["retailer", "bucket", "piece"])
+    met = (lefts.join(shuffled(rights), "cell")
            .filter(rl.between(S.min_length(ll, threshold), S.max_length(ll, threshold)))
            .filter(S.unharmed(shift, ll, rl, threshold)).filter(F.col("lt") != F.col("rt")))
     # Pieces past the 60th share marks: a mark then counts once, and only titles with that many pieces are counted low.

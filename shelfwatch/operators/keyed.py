@@ -36,6 +36,22 @@ def smallest_per_key(table: DataFrame, keys: dict[str, Column], value: str, name
     return shuffled(keyed.groupBy(*keys).agg(F.min(name).alias(name)))
 
 
+def smallest_of_levels(levels: dict[str, tuple[DataFrame, dict[str, Column], str]]) -> DataFrame:
+    """:func:`smallest_per_key` of several levels that look the same key up, as one table.
+
+    ``levels`` has (table, keys, value) by the name of the level's column. A key that any of them has is one row, so
+    the listings meet all levels in one join.
+    """
+    every = None
+    for name, (table, keys, value) in levels.items():
+        values = [F.when(F.lit(other == name), F.col(value)).alias(other) for other in levels]
+        rows = table.select(*[c.alias(k) for k, c in keys.items()], *values)
+        for k in keys:
+            rows = rows.filter(F.col(k).isNotNull())
+        every = rows if every is None else every.unionByName(rows)
+    return shuffled(every.groupBy(*keys).agg(*[F.min(name).alias(name) for name in levels]))
+
+
 def first_of(*pairs) -> Column:
     """First non-null of (test, value) pairs, in order."""
     out = None

@@ -1,9 +1,10 @@
 """Matching of listings against known products, one level at a time and as cascades.
 
-A cascade is a chain of left joins on key tables that hold one row per key, so
+A cascade is a chain of joins with key tables that hold one row per key, so
 no level multiplies rows; key tables are shuffled and never broadcast, as the
-size of a product's keys is not that of its compressed file. Only rows that no key level matched enter the
-fuzzy and image levels.
+size of a product's keys is not that of its compressed file. Rows are written to the shared folder
+where the cascade parts: linked rows leave it there, only the others go on, and no level is derived anew for the next one.
+Levels that look the same key up share one table and one shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from shelfwatch.functions import urls as U
 from shelfwatch.functions.text import title_key
 from shelfwatch.operators import fuzzy
 from shelfwatch.operators.keyed import (
-    first_of, shuffled, smallest_per_key, spread_for_compute, spread_nulls)
+    first_of, shuffled, smallest_of_levels, smallest_per_key, spread_for_compute, spread_nulls)
 from shelfwatch.session import staged
 
 # Confidence of each level when linking and when classifying.
@@ -248,19 +249,22 @@ def image_overlap_values(listings: DataFrame, products: DataFrame,
                                    _image_set(F.col("image_urls")).alias("rimgs"))
                    .filter((F.size("rimgs") > 0) & F.col("rp").isNotNull())
                    .groupBy("retailer", "rp", "rimgs").agg(F.min("url").alias("url")),
-                   "product-images").withColumn("bucket", band.bucket(F.col("rp")))
-    near = left.withColumn("bucket", fuzzy._near_buckets(band, F.col("lp")))
+                   "product-images")
+    # The smaller side is multiplied: a product lies in each bucket from which a listing can meet it.
+    near = right.withColumn("bucket", fuzzy._near_buckets(band, F.col("rp")))
+    left = left.withColumn("bucket", band.bucket(F.col("lp")))
     in_band = band.holds(F.col("lp"), F.col("rp"))
     key = ["retailer", "lp", "imgs"]
 
     pairs = _shared_images(left.select("retailer", "imgs").distinct(),
                            right.select("retailer", "rimgs").distinct())
-    several = (near.join(shuffled(pairs), ["retailer", "imgs"])
-               .join(shuffled(right), ["retailer", "rimgs", "bucket"]).filter(in_band)
+    several = (left.join(shuffled(pairs), ["retailer", "imgs"])
+               .join(shuffled(near), ["retailer", "rimgs", "bucket"]).filter(in_band)
                .select(*key, "overlap", "url"))
-    per_image = (right.select("retailer", "bucket", "rp", "url", F.explode("rimgs").alias("i"))
-                 .groupBy("retailer", "bucket", "rp", "i").agg(F.min("url").alias("url")))
-    single = (near.filter(F.size("imgs") <= 2)
+    per_image = (right.select("retailer", "rp", "url", F.explode("rimgs").alias("i"))
+                 .groupBy("retailer", "rp", "i").agg(F.min("url").alias("url"))
+                 .withColumn("bucket", fuzzy._near_buckets(band, F.col("rp"))))
+    single = (left.filter(F.size("imgs") <= 2)
               .select("*", F.explode("imgs").alias("i"))
               .join(shuffled(per_image), ["retailer", "bucket", "i"]).filter(in_band)
               .select(*key, (F.lit(1.0) / F.size("imgs")).alias("overlap"), "url"))
@@ -290,6 +294,14 @@ def match_image_overlap(listings: DataFrame, products: DataFrame,
 
 # --- cascades -------------------------------------------------------------------------
 
+def _policies(patterns: DataFrame | None) -> DataFrame | None:
+    """The fields of ``patterns`` that cascades read: learned from a whole history, they are worked out once."""
+    if patterns is None:
+        return None
+    read = ["retailer", "url_stability_score", "best_dedup_method", "image_urls_consistent"]
+    return staged(patterns.select(*[c for c in read if c in patterns.columns]), "retailer-policies")
+
+
 def _with_policy(listings: DataFrame, patterns: DataFrame | None) -> DataFrame:
     """Adds ``_fuzzy_only``: the retailer's urls are too unstable for key levels."""
     if patterns is None:
@@ -301,34 +313,73 @@ def _with_policy(listings: DataFrame, patterns: DataFrame | None) -> DataFrame:
             .withColumn("_fuzzy_only", F.coalesce("_fuzzy_only", F.lit(False))))
 
 
-def _add_hit(listings: DataFrame, known: DataFrame, keys: dict[str, Column], hit: str) -> DataFrame:
-    """Left join on a one-row-per-key table, adding the column ``hit``."""
+def _add_hit(listings: DataFrame, known: DataFrame, keys: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Left join on a one-row-per-key table by ``by`` (the retailer) and ``keys``, adding its other columns."""
     keyed = listings.select("*", *[key.alias(name) for name, key in keys.items()])
-    return keyed.join(shuffled(known), ["retailer", *keys], "left").drop(*keys)
+    return keyed.join(shuffled(known), [*(["retailer"] if by is None else by), *keys], "left").drop(*keys)
 
 
-def _key_levels(listings: DataFrame, products: DataFrame) -> DataFrame:
-    gate = ~F.col("_fuzzy_only")
-    retailer = {"retailer": F.col("retailer")}
-    by = F.col("catalog_url")
-    exact = smallest_per_key(products, {**retailer, "_k": F.col("url")}, "url", "_exact")
-    norm = smallest_per_key(products, {**retailer, "_k": U.url_key_v1(F.col("url"))},
-                            "url", "_norm")
-    code = smallest_per_key(
-        products, {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}, "url", "_code")
-    out = _add_hit(listings, exact, {"_k": spread_nulls(F.when(gate, by), by)}, "_exact")
-    out = _add_hit(out, norm, {"_k": spread_nulls(F.when(gate, U.url_key_v1(by)), by)}, "_norm")
-    return _add_hit(out, code, {"_k": spread_nulls(F.when(
-        gate, F.nullif(F.col("product_code"), F.lit(""))), by)}, "_code")
+def _links(rows: DataFrame, columns: list[str], url: Column, confidence: Column, method: Column) -> DataFrame:
+    """``columns`` of rows with their link; without a url there is neither confidence nor method."""
+    found = url.isNotNull()
+    return rows.select(*columns, url.alias("linked_product_url"), F.when(found, confidence).alias("link_confidence"),
+                       F.when(found, method).alias("link_method"))
 
 
-def _add_fuzzy(chain: DataFrame, remainder: DataFrame, products: DataFrame) -> DataFrame:
-    links = fuzzy.fuzzy_links(remainder, products).select(
+def _key_levels(listings: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links by exact url, normalized url and code; rows without a link by url; those of them without a link by code.
+
+    Equal urls are equal when normalized, so one join serves both url levels. Its table has the first and last url of
+    a normalized one: a listing's url that is one of them is known, one that lies outside is not, and only one that
+    lies between them is looked up itself.
+    """
+    columns, gate, by = listings.columns, ~F.col("_fuzzy_only"), F.col("catalog_url")
+    columns = [c for c in columns if c != "_fuzzy_only"]
+    normalized = products.select("retailer", U.url_key_v1(F.col("url")).alias("_k"), "url").filter(
+        F.col("retailer").isNotNull() & F.col("_k").isNotNull())
+    known = normalized.groupBy("retailer", "_k").agg(F.min("url").alias("_norm"), F.max("url").alias("_last"))
+    rows = staged(_add_hit(listings, known, {"_k": spread_nulls(F.when(gate, U.url_key_v1(by)), by)}), "url-links")
+    between = F.coalesce((by > F.col("_norm")) & (by < F.col("_last")), F.lit(False))
+    at_end = F.coalesce((by == F.col("_norm")) | (by == F.col("_last")), F.lit(False))
+
+    def by_url(some: DataFrame, exact: Column) -> DataFrame:
+        return _links(some, columns, F.when(exact, by).otherwise(F.col("_norm")), F.when(exact, 1.0).otherwise(0.95),
+                      F.when(exact, "exact_url").otherwise("normalized_url"))
+
+    exact = smallest_per_key(products, {"retailer": F.col("retailer"), "_k": F.col("url")}, "url", "_exact")
+    linked = by_url(rows.filter(F.col("_norm").isNotNull() & ~between), at_end).unionByName(
+        by_url(_add_hit(rows.filter(between), exact, {"_k": by}), F.col("_exact").isNotNull()))
+
+    unknown = rows.filter(F.col("_norm").isNull()).drop("_norm", "_last")
+    code = F.when(gate, F.nullif(F.col("product_code"), F.lit("")))
+    codes = smallest_per_key(
+        products, {"retailer": F.col("retailer"), "_k": F.nullif(F.col("product_code"), F.lit(""))}, "url", "_code")
+    coded = _add_hit(unknown.filter(code.isNotNull()), codes, {"_k": code})
+    linked = linked.unionByName(_links(
+        coded.filter(F.col("_code").isNotNull()), columns, F.col("_code"), F.lit(0.90), F.lit("product_code")))
+    rest = coded.filter(F.col("_code").isNull()).select(*columns).unionByName(unknown.filter(code.isNull()).select(*columns))
+    return linked, unknown, rest
+
+
+def _add_fuzzy(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """``rows`` with ``_fuzzy`` and ``_fconf``; those without a title or price are not looked up. Reads ``rows`` several times."""
+    links = fuzzy.fuzzy_links(rows, products).select(
         "retailer", F.col("lt").alias("_t"), F.col("lp").alias("_p"),
         F.col("linked_product_url").alias("_fuzzy"), F.col("link_confidence").alias("_fconf"))
-    return _add_hit(chain, links, {
-        "_t": spread_nulls(F.nullif(title_key(F.col("title")), F.lit("")), F.col("catalog_url")),
-        "_p": F.col("price").cast("double")}, "_fuzzy")
+    title, price = title_key(F.col("title")), F.col("price").cast("double")
+    asked = F.coalesce((title != "") & (price > 0), F.lit(False))
+    return _add_hit(rows.filter(asked), links, {"_t": title, "_p": price}).unionByName(rows.filter(~asked), allowMissingColumns=True)
+
+
+def _add_image(rows: DataFrame, products: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """``rows`` with ``_img`` and ``_iconf``; those without images are not looked up. Reads ``rows`` several times."""
+    best = image_overlap_values(rows, products, patterns).select(
+        "retailer", F.col("lp").alias("_p"), F.concat_ws("\u0001", "imgs").alias("_s"),
+        F.col("url").alias("_img"), F.col("confidence").alias("_iconf"))
+    own = F.concat_ws("\u0001", _image_set(F.col("image_urls")))
+    asked = own != ""
+    return _add_hit(rows.filter(asked), best, {"_p": F.coalesce(F.col("price"), F.lit(0.0)), "_s": own}) \
+        .unionByName(rows.filter(~asked), allowMissingColumns=True)
 
 
 def link_listings(listings: DataFrame, products: DataFrame, patterns: DataFrame | None = None,
@@ -337,32 +388,18 @@ def link_listings(listings: DataFrame, products: DataFrame, patterns: DataFrame
 
     First hit wins; the key levels are skipped for retailers whose policy says
     so. Adds ``linked_product_url``, ``link_confidence`` and ``link_method``.
+    Listings are written to the shared folder with all their columns, so those nobody reads are better left out before.
     """
-    chain = _key_levels(_with_policy(listings, patterns), products)
-    unmatched = F.coalesce("_exact", "_norm", "_code").isNull()
-    chain = _add_fuzzy(chain, chain.filter(unmatched), products)
-    hits = [("_exact", "exact_url", F.lit(1.0)), ("_norm", "normalized_url", F.lit(0.95)),
-            ("_code", "product_code", F.lit(0.90)),
-            ("_fuzzy", "fuzzy_title_price", F.col("_fconf"))]
-    if images and "image_urls" in listings.columns:
-        open_rows = chain.filter(F.coalesce("_exact", "_norm", "_code", "_fuzzy").isNull())
-        best = image_overlap_values(open_rows, products, patterns).select(
-            "retailer", F.col("lp").alias("_p"), F.concat_ws("\u0001", "imgs").alias("_s"),
-            F.col("url").alias("_img"), F.col("confidence").alias("_iconf"))
-        own = F.concat_ws("\u0001", _image_set(F.col("image_urls")))
-        chain = _add_hit(chain, best, {
-            "_p": F.coalesce(F.col("price"), F.lit(0.0)),
-            "_s": spread_nulls(F.nullif(own, F.lit("")), F.col("catalog_url"))}, "_img")
-        hits.append(("_img", "image_url_match", F.col("_iconf")))
-    return _resolve(chain, listings, hits)
-
-
-def _resolve(chain: DataFrame, listings: DataFrame, hits) -> DataFrame:
-    return chain.select(
-        *listings.columns,
-        F.coalesce(*[F.col(h) for h, _, _ in hits]).alias("linked_product_url"),
-        first_of(*[(F.col(h).isNotNull(), c) for h, _, c in hits]).alias("link_confidence"),
-        first_of(*[(F.col(h).isNotNull(), F.lit(m)) for h, m, _ in hits]).alias("link_method"))
+    columns, patterns = listings.columns, _policies(patterns)
+    linked, _, rest = _key_levels(_with_policy(listings, patterns), products)
+    rows = _add_fuzzy(staged(rest, "unlinked"), products)
+    fuzzy_link = (F.col("_fuzzy"), F.col("_fconf"), F.lit("fuzzy_title_price"))
+    if not (images and "image_urls" in columns):
+        return linked.unionByName(_links(rows, columns, *fuzzy_link))
+    rows = staged(rows, "fuzzy-links")
+    linked = linked.unionByName(_links(rows.filter(F.col("_fuzzy").isNotNull()), columns, *fuzzy_link))
+    rows = _add_image(rows.filter(F.col("_fuzzy").isNull()).select(*columns), products, patterns)
+    return linked.unionByName(_links(rows, columns, F.col("_img"), F.col("_iconf"), F.lit("image_url_match")))
 
 
 def backfill_links(snapshots: DataFrame, products: DataFrame, patterns: DataFrame | None = None,
@@ -375,113 +412,138 @@ def backfill_links(snapshots: DataFrame, products: DataFrame, patterns: DataFram
     if "linked_product_url" in old:
         todo = todo.filter(F.col("linked_product_url").isNull())
     todo = todo.drop(*old)
-    chain = _key_levels(_with_policy(todo, patterns), products)
-    # The titles of all rows: distinct values are few, finding those of unmatched rows would take the whole chain again.
-    near = title_price_within(todo, products).select(
+    columns = todo.columns
+    linked, unknown, rest = _key_levels(_with_policy(todo, _policies(patterns)), products)
+    # The titles of rows that a code may link, too: they are read from the shared folder, those of the rest take a join more.
+    near = title_price_within(unknown, products).select(
         "retailer", F.col("title").alias("_t"), F.col("lp").alias("_p"),
         F.col("url").alias("_title"))
-    chain = _add_hit(chain, near, {
-        "_t": spread_nulls(F.col("title"), F.col("catalog_url")), "_p": F.col("price")}, "_title")
-    hits = [("_exact", "exact_url", F.lit(1.0)), ("_norm", "normalized_url", F.lit(0.95)),
-            ("_code", "product_code", F.lit(0.90)), ("_title", "exact_title_price", F.lit(0.95))]
+    rows = _add_hit(rest, near, {
+        "_t": spread_nulls(F.col("title"), F.col("catalog_url")), "_p": F.col("price")})
+    title_link = (F.col("_title"), F.lit(0.95), F.lit("exact_title_price"))
     if fuzzy_level:
-        still = chain.filter(F.coalesce("_exact", "_norm", "_code", "_title").isNull())
-        chain = _add_fuzzy(chain, still, products)
-        hits.append(("_fuzzy", "fuzzy_title_price", F.col("_fconf")))
-    out = _resolve(chain, todo, hits)
+        rows = staged(rows, "title-links")
+        linked = linked.unionByName(_links(rows.filter(F.col("_title").isNotNull()), columns, *title_link))
+        rows = _add_fuzzy(rows.filter(F.col("_title").isNull()).select(*columns), products)
+        out = linked.unionByName(_links(rows, columns, F.col("_fuzzy"), F.col("_fconf"), F.lit("fuzzy_title_price")))
+    else:
+        out = linked.unionByName(_links(rows, columns, *title_link))
     good = F.col("link_confidence") >= min_confidence
-    return out.select(*todo.columns, *[F.when(good, F.col(c)).alias(c) for c in (
+    return out.select(*columns, *[F.when(good, F.col(c)).alias(c) for c in (
         "linked_product_url", "link_confidence", "link_method")])
 
 
+def _url_level(listings: DataFrame, products: DataFrame, history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose url products have (``_exact``, of any retailer) or the retailer's history (``_seen``), and the others.
+
+    One join by url serves both. Its table has the first and last retailer of a url in the history; only a row whose
+    retailer lies between them is looked up by retailer and url.
+    """
+    by, retailer = F.col("catalog_url"), F.col("retailer")
+    urls = products.select(F.col("url").alias("_k"), F.lit(True).alias("_own"), F.lit(None).cast(listings.schema["retailer"].dataType).alias("_r"))
+    if history is not None:
+        urls = urls.unionByName(history.filter(by.isNotNull() & retailer.isNotNull()).select(
+            by.alias("_k"), F.lit(False).alias("_own"), retailer.alias("_r")))
+    known = urls.groupBy("_k").agg(F.max("_own").alias("_own"), F.min("_r").alias("_first"), F.max("_r").alias("_last"))
+    rows = staged(_add_hit(listings, known, {"_k": spread_nulls(by, F.col("title"))}, by=[]), "seen-urls")
+    own = F.coalesce("_own", F.lit(False))
+    at_end = F.coalesce((retailer == F.col("_first")) | (retailer == F.col("_last")), F.lit(False))
+    between = F.coalesce(~own & (retailer > F.col("_first")) & (retailer < F.col("_last")), F.lit(False))
+    exact, seen = F.when(own, by).alias("_exact"), F.when(at_end & ~own, by).alias("_seen")
+    sure = rows.filter(~between).select(*listings.columns, exact, seen)
+    if history is None:
+        found = sure
+    else:
+        pairs = smallest_per_key(history, {"retailer": retailer, "_k": by}, "catalog_url", "_seen")
+        found = sure.unionByName(staged(_add_hit(rows.filter(between).select(*listings.columns, exact), pairs, {"_k": by}), "seen-between"))
+    known_url = F.coalesce("_exact", "_seen").isNotNull()
+    return found.filter(known_url), found.filter(~known_url).select(*listings.columns)
+
+
 def classify_listings(listings: DataFrame, products: DataFrame, history: DataFrame | None = None,
                       use_fuzzy: bool = True) -> DataFrame:
     """Status per listing: confirmed_existing, suspected_duplicate or confirmed_new.
 
     Key levels look in the products first, then in the snapshot ``history``.
     Adds ``status``, ``match_method``, ``confidence`` and ``matched_url``.
-    The exact level ignores the retailer for products.
+    The exact level ignores the retailer for products. Listings are written to the shared folder with all their columns.
     """
     by = F.col("catalog_url")
     retailer = {"retailer": F.col("retailer")}
     code = F.coalesce(F.nullif(F.col("product_code"), F.lit("")),
                       U.product_code(by, F.col("retailer"), "monitor"))
-    chain = listings.withColumn("_c", code)
-    exact = products.groupBy(F.col("url").alias("_k")).agg(F.min("url").alias("_exact"))
-    chain = chain.withColumn("_k", spread_nulls(by, F.col("title"))).join(shuffled(exact), "_k", "left") \
-        .drop("_k")
     if history is not None:
-        seen = smallest_per_key(history, {**retailer, "_k": F.col("catalog_url")},
-                                "catalog_url", "_seen")
-        chain = _add_hit(chain, seen, {"_k": spread_nulls(by, F.col("title"))}, "_seen")
-    norm = smallest_per_key(products, {**retailer, "_k": U.url_key_v1(F.col("url"))},
-                            "url", "_norm")
-    chain = _add_hit(chain, norm, {
-        "_k": spread_nulls(U.url_key_v1(U.url_key_v2(by)), F.col("title"))}, "_norm")
+        read = ["retailer", "catalog_url", "title", "price", "product_code"]
+        history = staged(history.select(*[c for c in read if c in history.columns]), "history")
+    found, chain = _url_level(listings.withColumn("_c", code), products, history)
+    # Codes no product has as its own; a lookup table, so it needs no join chain.
     eq = smallest_per_key(
         products, {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}, "url", "_code")
-    chain = _add_hit(chain, eq, {"_k": spread_nulls(F.col("_c"), by)}, "_code")
-    hits = ["_exact"] + (["_seen"] if history is not None else []) + ["_norm", "_code"]
-    # Codes no product has as its own; a lookup table, so it needs no join chain.
-    open_codes = (listings.select("retailer", code.alias("code")).filter(F.col("code").isNotNull())
+    open_codes = (chain.select("retailer", F.col("_c").alias("code")).filter(F.col("code").isNotNull())
                   .distinct().join(shuffled(eq.select("retailer", F.col("_k").alias("code"))),
                                    ["retailer", "code"], "left_anti"))
     # Taking all urls apart is the dear step and the result is small: once, to the shared folder.
-    inside = staged(codes_in_urls(open_codes, products), "codes-in-urls").select(
-        "retailer", F.col("code").alias("_k"), F.col("url").alias("_inside"))
-    chain = _add_hit(chain, inside, {"_k": spread_nulls(F.col("_c"), by)}, "_inside")
-    hits.append("_inside")
-    if history is not None and "product_code" in history.columns:
-        seen_code = smallest_per_key(
-            history, {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}, "catalog_url", "_seencode")
-        chain = _add_hit(chain, seen_code, {"_k": spread_nulls(F.col("_c"), by)}, "_seencode")
-        hits.append("_seencode")
+    inside = staged(codes_in_urls(open_codes, products), "codes-in-urls")
+
+    norm = smallest_per_key(products, {**retailer, "_k": U.url_key_v1(F.col("url"))}, "url", "_norm")
+    chain = staged(_add_hit(chain, norm, {
+        "_k": spread_nulls(U.url_key_v1(U.url_key_v2(by)), F.col("title"))}), "normalized-urls")
+    found = found.unionByName(chain.filter(F.col("_norm").isNotNull()), allowMissingColumns=True)
+    chain = chain.filter(F.col("_norm").isNull()).drop("_norm")
+    own_code = {**retailer, "_k": F.nullif(F.col("product_code"), F.lit(""))}
+    by_code = {"_code": (products, own_code, "url"), "_inside": (inside, {**retailer, "_k": F.col("code")}, "url")}
     title = title_key(F.col("title"))
-    tp_key = {"_t": spread_nulls(F.nullif(title, F.lit("")), by), "_p": F.col("price")}
-    priced = smallest_per_key(products.filter(_truthy_price(F.col("price"))),
-                              {**retailer, "_t": title, "_p": F.col("price")}, "url", "_tp")
-    chain = _add_hit(chain, priced, tp_key, "_tp")
-    hits.append("_tp")
+    own_tp = {**retailer, "_t": title, "_p": F.col("price")}
+    by_tp = {"_tp": (products.filter(_truthy_price(F.col("price"))), own_tp, "url")}
     if history is not None:
-        seen_tp = smallest_per_key(
-            history.filter(_truthy_price(F.col("price"))),
-            {**retailer, "_t": title, "_p": F.col("price")}, "catalog_url", "_seentp")
-        chain = _add_hit(chain, seen_tp, tp_key, "_seentp")
-        hits.append("_seentp")
+        if "product_code" in history.columns:
+            by_code["_seencode"] = (history, own_code, "catalog_url")
+        by_tp["_seentp"] = (history.filter(_truthy_price(F.col("price"))), own_tp, "catalog_url")
+    coded = F.col("_c").isNotNull()
+    chain = _add_hit(chain.filter(coded), smallest_of_levels(by_code), {"_k": F.col("_c")}).unionByName(
+        chain.filter(~coded), allowMissingColumns=True)
+    tp_key = {"_t": spread_nulls(F.nullif(title, F.lit("")), by), "_p": F.col("price")}
+    chain = _add_hit(chain, smallest_of_levels(by_tp), tp_key)
+    known = [*by_code, *by_tp]
     method_of = {"_exact": "exact_url", "_seen": "exact_url", "_norm": "normalized_url",
                  "_code": "product_code", "_inside": "product_code", "_seencode": "product_code", "_tp": "title_price",
                  "_seentp": "title_price"}
-    known = list(hits)
     outcome = [(h, "confirmed_existing", method_of[h], F.lit(CLASS_CONFIDENCE[method_of[h]]))
-               for h in hits]
+               for h in ["_exact", "_seen", "_norm", *known]]
+    images = "image_urls" in listings.columns and "image_urls" in products.columns
+    if use_fuzzy or images:
+        chain = staged(chain, "known-listings")
+        is_known = F.coalesce(*known).isNotNull()
+        found = found.unionByName(chain.filter(is_known), allowMissingColumns=True)
+        chain = chain.filter(~is_known).drop(*known)
     if use_fuzzy:
         stage = F.col("lifecycle_stage")
         eligible = products
         if "lifecycle_stage" in products.columns:
             eligible = products.filter(stage.isNull() | ~(
                 stage.rlike("(?i)not.modest") | stage.rlike("(?i)no.longer.available")))
-        suspects = fuzzy.fuzzy_suspects(
-            chain.filter(F.coalesce(*known).isNull()), eligible).select(
+        suspects = fuzzy.fuzzy_suspects(chain, eligible).select(
             "retailer", F.col("lt").alias("_t"), F.col("lp").alias("_p"),
             F.col("url").alias("_fuzzy"), F.col("ratio").alias("_ratio"))
-        chain = _add_hit(chain, suspects, tp_key, "_fuzzy")
+        chain = _add_hit(chain, suspects, tp_key)
         outcome.append(("_fuzzy", "suspected_duplicate", "fuzzy_title", F.col("_ratio")))
-    if "image_urls" in listings.columns and "image_urls" in products.columns:
+    if images:
         stored = smallest_per_key(
             products.select("retailer", "url", F.explode("image_urls").alias("_i")),
             {**retailer, "_i": F.col("_i")}, "url", "_img")
         chain = _add_hit(chain, stored, {
-            "_i": spread_nulls(F.get("image_urls", F.lit(0)), by)}, "_img")
+            "_i": spread_nulls(F.get("image_urls", F.lit(0)), by)})
         outcome.append(("_img", "suspected_duplicate", "image_url",
                         F.lit(CLASS_CONFIDENCE["image_url"])))
-    found = [F.col(h).isNotNull() for h, _, _, _ in outcome]
-    return chain.select(
+    every = found.unionByName(chain, allowMissingColumns=True)
+    hit = [F.col(h).isNotNull() for h, _, _, _ in outcome]
+    return every.select(
         *listings.columns,
-        F.coalesce(first_of(*[(t, F.lit(o[1])) for t, o in zip(found, outcome)]),
+        F.coalesce(first_of(*[(t, F.lit(o[1])) for t, o in zip(hit, outcome)]),
                    F.lit("confirmed_new")).alias("status"),
-        F.coalesce(first_of(*[(t, F.lit(o[2])) for t, o in zip(found, outcome)]),
+        F.coalesce(first_of(*[(t, F.lit(o[2])) for t, o in zip(hit, outcome)]),
                    F.lit("none")).alias("match_method"),
-        F.coalesce(first_of(*[(t, o[3]) for t, o in zip(found, outcome)]),
+        F.coalesce(first_of(*[(t, o[3]) for t, o in zip(hit, outcome)]),
                    F.lit(0.0)).alias("confidence"),
         F.coalesce(*[F.col(o[0]) for o in outcome]).alias("matched_url"))
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -88,6 +89,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     _STAGED.append(path)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    empty = [f.name for f in df.schema if f.dataType.typeName() == "void"]  # files have no type for these
+    kept = df.drop(*empty)
+    kept.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(kept.schema).parquet(path).withColumns({c: F.lit(None) for c in empty}).select(*df.columns)
