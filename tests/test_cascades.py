@@ -132,4 +132,4 @@ def test_columns_without_a_type_pass_through(spark):
     rows = listings.withColumn("note", F.lit(None))
     out = linking.link_listings(rows, products)
     assert out.columns == [*rows.columns, "linked_product_url", "link_confidence", "link_method"]
-    assert out.filter("note IS NULL AND linked_product_url IS NOT NULL").count() == 3
+    assert out.filter("note IS NULL AND linked_product_url IS NOT NULL").count() == 4
